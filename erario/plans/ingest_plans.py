@@ -1,0 +1 @@
+"""Placeholder; filled in below."""
