@@ -1,0 +1,105 @@
+"""Ingest fixtures F1-F11 (FIXTURES.md §2)."""
+
+import json
+
+from conftest import land
+from pyspark.sql import functions as F
+
+from erario.functions.jsontext import py_float_text, py_text, real_affinity
+from erario.operators import ingest as I
+from erario.sources.payloads import scan_payloads
+
+EXP = {"codigo_orgao": "01", "codigo_unidade_orcamentaria": "02", "codigo_funcao": "10",
+       "codigo_subfuncao": "301", "codigo_programa": "7", "codigo_elemento_despesa": "339039",
+       "valor_empenhado_no_mes": 100.5, "valor_liquidado_no_mes": 90.25, "valor_pago_no_mes": 80.0}
+TENDER = {"numero_licitacao": "PE-001", "numero_processo_licitatorio": "P1", "objeto_licitacao": "Merenda",
+          "modalidade_licitacao": "Pregão", "data_realizacao_licitacao": "2024-01-10",
+          "valor_licitacao": 1500.0, "situacao_licitacao": "Concluída"}
+
+
+def _rows(spark, root, source):
+    return I.ingest(scan_payloads(spark, root), source)
+
+
+def test_float_text_matches_python(spark):
+    vals = [1500.0, 1234567890.12, 10000000.5, 1e-5, 0.00012, 1e16, 1.5e20, -2.5e-7, 0.001, 12.0,
+            123456789.0, 9999999.0, 1e7, 3.14159, -1e22]
+    df = spark.createDataFrame([(json.dumps({"v": v}),) for v in vals], "item string")
+    got = [r[0] for r in df.select(py_text("item", "v")).collect()]
+    assert got == [str(v) for v in vals]
+
+
+def test_key_text_missing_null_float_string(spark):
+    items = [json.dumps({}), json.dumps({"v": None}), json.dumps({"v": 1500.0}), json.dumps({"v": "10,5"}),
+             json.dumps({"v": 7}), json.dumps({"v": True})]
+    df = spark.createDataFrame([(i,) for i in items], "item string")
+    got = [r[0] for r in df.select(py_text("item", "v", "0")).collect()]
+    assert got == ["0", "None", "1500.0", "10,5", "7", "True"]
+
+
+def test_real_affinity(spark):  # F10
+    items = [{"v": " 12 "}, {"v": "1.234,56"}, {"v": "1d"}, {"v": "NaN"}, {"v": True}, {"v": None}, {}, {"v": 3}]
+    df = spark.createDataFrame([(json.dumps(i),) for i in items], "item string")
+    got = [(r.s.value, r.s.bad) for r in df.select(real_affinity("item", "v").alias("s")).collect()]
+    assert got == [(12.0, False), (None, True), (None, True), (None, True), (None, True),
+                   (None, False), (None, False), (3.0, False)]
+
+
+def test_tender_envelopes(spark, tmp_root):  # F1, F2, F11
+    land(tmp_root, "r1", "licitacoes", "0162", 2024, 1, 200, json.dumps([TENDER, dict(TENDER, numero_licitacao="PE-002")]))
+    land(tmp_root, "r1", "licitacoes", "0162", 2024, 2, 200, json.dumps({"data": [dict(TENDER, numero_licitacao="PE-003")]}))
+    land(tmp_root, "r1", "licitacoes", "0162", 2024, 3, 200, json.dumps({"x": 1}))
+    land(tmp_root, "r1", "licitacoes", "0162", 2024, 4, 200, json.dumps({"data": None}))
+    rows = _rows(spark, tmp_root, "licitacoes")
+    ok = I.valid(rows)
+    ids = sorted(r.id for r in ok.select("id").collect())
+    assert ids == ["0162_PE-001_2024", "0162_PE-002_2024", "0162_PE-003_2024"]
+    bad = I.quarantined(rows).select("quarantine_reason").collect()
+    assert [b[0] for b in bad] == ["data_not_list"]
+    r = ok.filter(F.col("id") == "0162_PE-001_2024").first()
+    assert r.valor_estimado == 1500.0 and r.exercicio_orcamento == "2024" and r.municipio_id == "0162"
+
+
+def test_finance_envelopes(spark, tmp_root):  # F3-F8
+    e2 = dict(EXP, codigo_elemento_despesa="339030")
+    land(tmp_root, "r1", "despesas", "0162", 2024, 1, 200, json.dumps({"rsp": {"_content": [EXP, e2]}}))
+    land(tmp_root, "r1", "despesas", "0162", 2024, 2, 200, json.dumps({"rsp": {"_content": EXP}}))
+    land(tmp_root, "r1", "despesas", "0162", 2024, 3, 200, json.dumps({"rsp": {"_content": []}, "data": [EXP]}))
+    land(tmp_root, "r1", "despesas", "0162", 2024, 4, 200, json.dumps({"rsp": {"_content": None}, "data": [EXP]}))
+    land(tmp_root, "r1", "despesas", "0162", 2024, 5, 200, json.dumps({"rsp": {"x": 1}, "data": [EXP]}))
+    land(tmp_root, "r1", "despesas", "0162", 2024, 6, 200, json.dumps({"data": [], "rows": [EXP]}))
+    land(tmp_root, "r1", "despesas", "0162", 2024, 7, 200, json.dumps({"balancete_despesa_orcamentaria": [EXP]}))
+    land(tmp_root, "r1", "despesas", "0162", 2024, 8, 200, json.dumps([EXP]))
+    land(tmp_root, "r1", "despesas", "0162", 2024, 9, 404, "")
+    rows = _rows(spark, tmp_root, "despesas")
+    per_month = {r.mes_referencia: r.n for r in I.valid(rows).groupBy("mes_referencia").agg(F.count("*").alias("n")).collect()}
+    assert per_month == {"202401": 2, "202402": 1, "202405": 1, "202406": 1, "202407": 1}
+    bad = [(r.mes_referencia, r.quarantine_reason) for r in I.quarantined(rows).collect()]
+    assert bad == [("202408", "top_level_list")]
+    first = I.valid(rows).filter(F.col("mes_referencia") == "202401").orderBy("pos").first()
+    assert first.id == "0162_202401_339039_80.0_0"
+    assert first.valor_pago == 80.0 and first.codigo_funcao == "10"
+
+
+def test_revenue_key_and_quarantine(spark, tmp_root):  # F9, F10
+    items = [{"codigo_receita": "1112", "valor_arrecadado_no_mes": 1500.0, "valor_previsto_arrecadacao": "1.234,56"},
+             {"valor_arrecadado_no_mes": None, "valor_previsto_arrecadacao": " 12 "},
+             {"codigo_receita": "9", "valor_arrecadado_no_mes": "10,5"}]
+    land(tmp_root, "r1", "receitas", "0162", 2023, 12, 200, json.dumps({"data": items}))
+    rows = _rows(spark, tmp_root, "receitas").orderBy("pos").collect()
+    assert [r.id for r in rows] == ["0162_202312_1112_1500.0_0", "0162_202312_0_None_1", "0162_202312_9_10,5_2"]
+    assert [r.quarantine_reason for r in rows] == ["non_numeric_money", None, "non_numeric_money"]
+    assert rows[1].valor_orcado == 12.0
+
+
+def test_nested_value_quarantined(spark, tmp_root):
+    land(tmp_root, "r1", "despesas", "0162", 2024, 1, 200,
+         json.dumps({"data": [dict(EXP, codigo_orgao={"a": 1}), "not-an-object"]}))
+    rows = _rows(spark, tmp_root, "despesas").orderBy("pos").collect()
+    assert [r.quarantine_reason for r in rows] == ["nested_value", "item_not_object"]
+
+
+def test_invalid_json_quarantined(spark, tmp_root):
+    land(tmp_root, "r1", "receitas", "0162", 2024, 1, 200, "{not json")
+    rows = _rows(spark, tmp_root, "receitas").collect()
+    assert [r.quarantine_reason for r in rows] == ["invalid_json"]
