@@ -1 +1,261 @@
-"""Placeholder; filled in below."""
+"""Ingest, key, upsert and ledger operators over the test tables
+(SURVEY §2.1-§2.4): calendar spines, month strings, surrogate keys, JSON
+columns, affinity coercion, latest-version upsert, ledger state, pending tasks,
+coverage gaps, record counts and code decoding.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from erario.functions.dates import fiscal_year_param, month_bounds, month_ref
+from erario.functions.jsontext import NUMERIC_TEXT, py_float_text, real_affinity_of
+from erario.operators import ledger as L
+from erario.operators.ingest import surrogate_key
+from erario.operators.upsert import latest_per_key
+from erario.plans.registry import register
+from erario.sources.tables import table
+
+
+# --------------------------------------------------------------------------
+# A1: calendar spine x status, zero-filled
+# --------------------------------------------------------------------------
+
+@register("calendar_coverage", "A1", """
+WITH b AS (SELECT date_trunc('month', min(o_orderdate)) AS lo, date_trunc('month', max(o_orderdate)) AS hi FROM orders),
+m AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS month_start FROM b),
+s AS (SELECT DISTINCT o_orderstatus FROM orders),
+c AS (SELECT date_trunc('month', o_orderdate) AS ms, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1, 2)
+SELECT strftime(m.month_start, '%Y%m') AS month_ref, s.o_orderstatus, COALESCE(c.n, 0) AS n_orders
+FROM m CROSS JOIN s LEFT JOIN c ON c.ms = m.month_start AND c.o_orderstatus = s.o_orderstatus
+""")
+def calendar_coverage(spark, sf_dir):
+    """Month spine from the first to the last order month, times every
+    status; months without orders count 0. The spine and status list come
+    from one global aggregate (bounded by the calendar and the status domain)
+    and are expanded with ``explode`` — no cross join."""
+    o = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderstatus")
+    bounds = o.agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"),
+                   F.collect_set("o_orderstatus").alias("statuses"))
+    grid = (bounds.select(F.explode(F.sequence(F.to_date(F.date_trunc("month", "lo")),
+                                               F.to_date(F.date_trunc("month", "hi")),
+                                               F.expr("INTERVAL 1 MONTH"))).alias("m"),
+                          "statuses")
+            .select(month_ref("m").alias("month_ref"), F.explode("statuses").alias("o_orderstatus")))
+    counts = (o.groupBy(month_ref("o_orderdate").alias("month_ref"), "o_orderstatus")
+              .agg(F.count(F.lit(1)).alias("n")))
+    return (grid.join(counts, ["month_ref", "o_orderstatus"], "left")
+            .select("month_ref", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders")))
+
+
+# --------------------------------------------------------------------------
+# A2 / A3: month bounds, YYYYMM, fiscal-year parameter
+# --------------------------------------------------------------------------
+
+@register("month_bounds", "A2 A3", """
+WITH m AS (SELECT DISTINCT year(o_orderdate) AS y, month(o_orderdate) AS mo FROM orders)
+SELECT strftime(make_date(y, mo, 1), '%Y%m') AS month_ref,
+       strftime(make_date(y, mo, 1), '%Y-%m-%d') AS first_day,
+       strftime(last_day(make_date(y, mo, 1)), '%Y-%m-%d') AS last_day,
+       strftime(make_date(y, mo, 1), '%Y-%m-%d') || '_' || strftime(last_day(make_date(y, mo, 1)), '%Y-%m-%d') AS start_end,
+       lpad(CAST(y AS VARCHAR), 4, '0') || '00' AS fiscal_param
+FROM m
+""")
+def month_bounds_q(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    m = o.select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("mo")).distinct()
+    b = month_bounds("y", "mo")
+    return m.select(month_ref(b["first_day"]).alias("month_ref"),
+                    F.date_format(b["first_day"], "yyyy-MM-dd").alias("first_day"),
+                    F.date_format(b["last_day"], "yyyy-MM-dd").alias("last_day"),
+                    b["start_end"].alias("start_end"),
+                    fiscal_year_param("y").alias("fiscal_param"))
+
+
+# --------------------------------------------------------------------------
+# Surrogate keys with Python-style float text
+# --------------------------------------------------------------------------
+
+@register("surrogate_keys", "A13 A3", """
+SELECT concat_ws('_', CAST(l_orderkey AS VARCHAR), strftime(l_shipdate, '%Y%m'),
+                 CAST(l_linenumber AS VARCHAR), CAST(l_extendedprice AS VARCHAR)) AS id,
+       strftime(l_shipdate, '%Y%m') AS mes_referencia
+FROM lineitem
+""")
+def surrogate_keys(spark, sf_dir):
+    """``{orderkey}_{YYYYMM}_{linenumber}_{price}`` as the reference's
+    f-string would print it (floats in Python's repr form)."""
+    li = table(spark, sf_dir, "lineitem")
+    price = py_float_text(F.col("l_extendedprice").cast("string"))
+    return li.select(surrogate_key([F.col("l_orderkey"), month_ref("l_shipdate"),
+                                    F.col("l_linenumber"), price]).alias("id"),
+                     month_ref("l_shipdate").alias("mes_referencia"))
+
+
+# --------------------------------------------------------------------------
+# JSON column extraction
+# --------------------------------------------------------------------------
+
+@register("json_extract", "A8", """
+SELECT event_type, COUNT(*) AS n_events, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS sum_k,
+       MAX(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS max_k
+FROM events GROUP BY event_type
+""")
+def json_extract(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum(k).alias("sum_k"),
+                                       F.max(k).alias("max_k"))
+
+
+# --------------------------------------------------------------------------
+# REAL affinity over money text (plain and thousands-separated)
+# --------------------------------------------------------------------------
+
+_NUM_RE = NUMERIC_TEXT.replace("\\s", "[ \\t\\n\\r]")
+
+
+@register("coerce_affinity", "A14", rf"""
+WITH t AS (
+  SELECT l_returnflag, CAST(l_extendedprice AS VARCHAR) AS plain, format('{{:,.2f}}', l_extendedprice) AS grouped FROM lineitem)
+SELECT l_returnflag,
+       SUM(CASE WHEN regexp_matches(plain, '{_NUM_RE}') THEN 1 ELSE 0 END) AS n_plain_ok,
+       SUM(CASE WHEN regexp_matches(grouped, '{_NUM_RE}') THEN 1 ELSE 0 END) AS n_grouped_ok,
+       SUM(CASE WHEN regexp_matches(grouped, '{_NUM_RE}') THEN 0 ELSE 1 END) AS n_quarantined,
+       CAST(SUM(CAST(TRY_CAST(trim(plain) AS DOUBLE) AS DECIMAL(18,2))) AS DOUBLE) AS plain_total
+FROM t GROUP BY l_returnflag
+""")
+def coerce_affinity(spark, sf_dir):
+    """Money text coerced with SQLite REAL-affinity rules: plain numbers pass,
+    thousands-separated text (``1,234.50``) is quarantined, not misread."""
+    li = table(spark, sf_dir, "lineitem")
+    s = F.lit("string")
+    plain = real_affinity_of(s, F.col("l_extendedprice").cast("string"))
+    grouped = real_affinity_of(s, F.format_number("l_extendedprice", 2))
+    return (li.select("l_returnflag", plain.alias("p"), grouped.alias("g"))
+            .groupBy("l_returnflag")
+            .agg(F.count(F.when(~F.col("p.bad"), 1)).alias("n_plain_ok"),
+                 F.count(F.when(~F.col("g.bad"), 1)).alias("n_grouped_ok"),
+                 F.count(F.when(F.col("g.bad"), 1)).alias("n_quarantined"),
+                 F.sum(F.col("p.value").cast("decimal(18,2)")).cast("double").alias("plain_total")))
+
+
+# --------------------------------------------------------------------------
+# Latest version per key (INSERT OR REPLACE semantics)
+# --------------------------------------------------------------------------
+
+@register("upsert_latest", "A15", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate, l_quantity
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                                   ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC) AS rn
+      FROM lineitem) WHERE rn = 1
+""")
+def upsert_latest_q(spark, sf_dir):
+    """(l_orderkey, l_linenumber) has up to 6 versions; the latest by
+    (shipdate, partkey, suppkey) wins. ``max_by`` aggregation, not a window."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                   "l_shipdate", "l_quantity")
+    out = latest_per_key(li, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"])
+    return out.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
+
+
+# --------------------------------------------------------------------------
+# Ledger state = latest event per key
+# --------------------------------------------------------------------------
+
+@register("ledger_state", "A17", """
+SELECT user_id, event_type AS status, value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS last_updated
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1
+""")
+def ledger_state(spark, sf_dir):
+    """Events as status updates per user; current state = the latest one."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), "value",
+                                                "ts", "event_id")
+    cur = latest_per_key(e, ["user_id"], ["ts", "event_id"])
+    return cur.select("user_id", "status", "value",
+                      F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_updated"))
+
+
+# --------------------------------------------------------------------------
+# Rows saved vs distinct ids
+# --------------------------------------------------------------------------
+
+@register("record_count", "A18", """
+SELECT strftime(l_shipdate, '%Y') AS year, COUNT(*) AS n_saved,
+       COUNT(DISTINCT CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR)) AS n_ids,
+       COUNT(*) - COUNT(DISTINCT CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR)) AS n_collapsed
+FROM lineitem GROUP BY 1
+""")
+def record_count(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(F.date_format("l_shipdate", "yyyy").alias("year"),
+                     surrogate_key([F.col("l_orderkey"), F.col("l_linenumber")]).alias("id"))
+    return L.record_counts(rows, ["year"])
+
+
+# --------------------------------------------------------------------------
+# Pending tasks = grid minus COMPLETED
+# --------------------------------------------------------------------------
+
+@register("pending_tasks", "A19", """
+WITH y AS (SELECT unnest(generate_series(min(year(o_orderdate)), max(year(o_orderdate)))) AS year FROM orders),
+done AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS year FROM orders WHERE o_orderstatus = 'F')
+SELECT c.c_custkey, y.year FROM customer c CROSS JOIN y
+WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.o_custkey = c.c_custkey AND d.year = y.year)
+""")
+def pending_tasks_q(spark, sf_dir):
+    """Tasks = every customer x every order year; a task is COMPLETED when the
+    customer has a status-F order that year. Pending = the rest (left anti)."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderstatus")
+    years = o.agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi"))
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    # the year range is one row; attach it with a scalar subquery, not a join
+    grid = c.select("c_custkey", F.explode(F.sequence(years.select("lo").scalar(),
+                                                      years.select("hi").scalar())).alias("year"))
+    ledger = (o.filter(F.col("o_orderstatus") == "F")
+              .select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("year"),
+                      F.lit("COMPLETED").alias("status")))
+    return L.pending_tasks(grid, ledger, key=["c_custkey", "year"])
+
+
+# --------------------------------------------------------------------------
+# Coverage gaps per customer
+# --------------------------------------------------------------------------
+
+@register("coverage_gaps", "A20", """
+WITH span AS (SELECT o_custkey, date_trunc('month', min(o_orderdate)) AS lo, date_trunc('month', max(o_orderdate)) AS hi
+              FROM orders GROUP BY o_custkey),
+g AS (SELECT o_custkey, unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS m FROM span),
+have AS (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate) AS m FROM orders)
+SELECT g.o_custkey, strftime(g.m, '%Y%m') AS month_ref FROM g
+WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.o_custkey = g.o_custkey AND h.m = g.m)
+""")
+def coverage_gaps_q(spark, sf_dir):
+    """Months between a customer's first and last order with no order: the
+    silent gaps. Spine per key via ``explode(sequence)``; gaps via anti join."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    m = F.to_date(F.date_trunc("month", "o_orderdate"))
+    span = o.groupBy("o_custkey").agg(F.min(m).alias("lo"), F.max(m).alias("hi"))
+    grid = span.select("o_custkey", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("m"))
+    grid = grid.select("o_custkey", month_ref("m").alias("month_ref"))
+    have = o.select("o_custkey", month_ref("o_orderdate").alias("month_ref")).distinct()
+    return grid.join(have, ["o_custkey", "month_ref"], "left_anti")
+
+
+# --------------------------------------------------------------------------
+# Code decoding through a bounded dimension (unknown -> NULL)
+# --------------------------------------------------------------------------
+
+@register("decode_codes", "B5", """
+SELECT s.s_suppkey, s.s_nationkey, n.n_name, r.r_name
+FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
+LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+""")
+def decode_codes(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    r = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+    return (s.join(n, s.s_nationkey == n.n_nationkey, "left")
+            .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
+            .select("s_suppkey", "s_nationkey", "n_name", "r_name"))
