@@ -1,0 +1,344 @@
+"""Skew-safe ordered scans: window functions without a per-key task.
+
+``Window.partitionBy(k)`` sends every row of a key to one task; when one key
+holds a third of the table, that task holds a third of the table. ``scan``
+computes the same values as
+
+    row_number() / rank() / dense_rank() / count(*) / ntile(n) /
+    percent_rank() / cume_dist() / running sum (ROWS UNBOUNDED PRECEDING) /
+    lag(c, 1) / lead(c, 1) / first_value(c)
+    OVER (PARTITION BY by ORDER BY order)
+
+with the work split by *position* instead of by key:
+
+1. ``repartitionByRange`` on (by, order, tiebreak) and a sort within each
+   partition. A hot key becomes a run spread over many tasks.
+2. A vectorised pandas scan per partition (``mapInPandas``) computes the
+   values local to the partition and flags the partition's first and last row.
+3. The flagged rows (two per partition: bounded by the partition count, not
+   by the data) are combined with ordinary windows into the carry each
+   partition needs from the partitions before it: rows, running sum and
+   distinct values of the key run that enters it, the absolute rank of a tie
+   that straddles the boundary, the previous row (lag), the next row (lead),
+   the first row of the run. The carry table is broadcast back (size proven
+   by the partition count) and added in a JVM projection.
+4. Group sizes (for ntile / percent_rank / cume_dist) are plain aggregations
+   (map-side combined) joined back on the key; AQE splits a hot key's join.
+
+The scan output is checkpointed into the shared checkpoint folder: lineage is
+cut, and the two consumers (edges, rows) do not run the Python scan twice.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+Order = str | tuple[str, bool]
+
+
+def _norm_order(order: Sequence[Order]) -> list[tuple[str, bool]]:
+    return [(o, True) if isinstance(o, str) else (o[0], bool(o[1])) for o in order]
+
+
+def _sort_cols(cols: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in cols]
+
+
+# ---------------------------------------------------------------------------
+# per-partition scan (runs in the Python workers on Arrow batches)
+# ---------------------------------------------------------------------------
+
+def _differs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    an = pd.isna(a)
+    bn = pd.isna(b)
+    with np.errstate(invalid="ignore"):
+        ne = np.asarray(a != b, dtype=bool)
+    return np.where(an & bn, False, np.where(an | bn, True, ne))
+
+
+def _starts(pdf: pd.DataFrame, cols: list[str], prev: tuple | None) -> np.ndarray:
+    """Row i starts a new run of ``cols``; row 0 is compared with ``prev``."""
+    n = len(pdf)
+    out = np.zeros(n, dtype=bool)
+    for i, c in enumerate(cols):
+        a = pdf[c].to_numpy(dtype=object)
+        b = np.empty(n, dtype=object)
+        b[1:] = a[:-1]
+        b[0] = None if prev is None else prev[i]
+        d = _differs(a, b)
+        out |= d
+    if prev is None and n:
+        out[0] = True
+    return out
+
+
+def _make_scan(by: list[str], vals: list[str], sum_col: str | None, lag_cols: list[str],
+               lead_cols: list[str], first_cols: list[str], out_cols: list[str]):
+
+    def process(pdf: pd.DataFrame, carry: dict | None, next_first: pd.Series | None):
+        n = len(pdf)
+        newkey = _starts(pdf, by, carry["key"] if carry else None)
+        if not by and carry is None:
+            newkey[0] = True
+        newval = newkey | _starts(pdf, vals, carry["val"] if carry else None)
+        seg = np.cumsum(newkey)
+        tie = np.cumsum(newval)
+        cont = carry is not None and not newkey[0]
+        first_seg = seg == seg[0]
+        ones = pd.Series(np.ones(n, dtype=np.int64))
+        rn = ones.groupby(seg).cumsum().to_numpy()
+        if cont:
+            rn[first_seg] += carry["rn"]
+        rank = pd.Series(rn).groupby(tie).transform("first").to_numpy()
+        if cont and not newval[0]:
+            rank[tie == tie[0]] = carry["rank"]
+        dense = pd.Series(newval.astype(np.int64)).groupby(seg).cumsum().to_numpy()
+        if cont:
+            dense[first_seg] += carry["dense"]
+        out = pdf.copy()
+        out["_lrn"] = rn
+        out["_lrank"] = rank
+        out["_ldense"] = dense
+        if sum_col is not None:
+            v = pdf[sum_col].fillna(0).astype(np.int64)
+            cs = v.groupby(seg).cumsum().to_numpy()
+            if cont:
+                cs[first_seg] += carry["sum"]
+            out["_lsum"] = cs
+        for j, c in enumerate(lag_cols):
+            a = pdf[c].to_numpy(dtype=object)
+            lg = np.empty(n, dtype=object)
+            lg[1:] = a[:-1]
+            lg[0] = None
+            lg[newkey] = None
+            if cont:
+                lg[0] = carry["lag"][j]
+            out[f"_llag_{c}"] = lg
+        for c in lead_cols:
+            a = pdf[c].to_numpy(dtype=object)
+            ld = np.empty(n, dtype=object)
+            ld[:-1] = a[1:]
+            ld[-1] = None
+            ends = np.append(newkey[1:], True)
+            ld[ends] = None
+            if next_first is not None:
+                same = not any(_differs(np.array([pdf[b].iloc[-1]], dtype=object),
+                                        np.array([next_first[b]], dtype=object))[0] for b in by)
+                if same:
+                    ld[-1] = next_first[c]
+            out[f"_llead_{c}"] = ld
+        for j, c in enumerate(first_cols):
+            fv = pd.Series(pdf[c].to_numpy(dtype=object)).groupby(seg).transform("first").to_numpy(dtype=object)
+            if cont:
+                fv[first_seg] = carry["first"][j]
+            out[f"_lfirst_{c}"] = fv
+        last = pdf.iloc[-1]
+        new_carry = {
+            "key": tuple(last[b] for b in by),
+            "val": tuple(last[v] for v in vals),
+            "rn": int(rn[-1]), "rank": int(rank[-1]), "dense": int(dense[-1]),
+            "sum": int(out["_lsum"].iloc[-1]) if sum_col is not None else 0,
+            "lag": tuple(last[c] for c in lag_cols),
+            "first": tuple(out[f"_lfirst_{c}"].iloc[-1] for c in first_cols),
+        }
+        return out, new_carry
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        carry = None
+        pending = None
+        emitted = False
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            if pending is not None:
+                out, carry = process(pending, carry, pdf.iloc[0])
+                out["_pid"] = pid
+                out["_edge"] = None
+                if not emitted:
+                    out.iloc[0, out.columns.get_loc("_edge")] = "F"
+                emitted = True
+                yield out[out_cols]
+            pending = pdf.reset_index(drop=True)
+        if pending is None:
+            return
+        out, carry = process(pending, carry, None)
+        out["_pid"] = pid
+        out["_edge"] = None
+        edge = out.columns.get_loc("_edge")
+        out.iloc[-1, edge] = "L"
+        if not emitted:
+            out.iloc[0, edge] = "FL" if len(out) == 1 else "F"
+        yield out[out_cols]
+
+    return run
+
+
+# ---------------------------------------------------------------------------
+# driver-side plan
+# ---------------------------------------------------------------------------
+
+def scan(df: DataFrame, by: Sequence[str], order: Sequence[Order], *,
+         tiebreak: Sequence[str] | None = None, sum_cents: str | None = None,
+         lag: Sequence[str] = (), lead: Sequence[str] = (), first: Sequence[str] = (),
+         group_counts: bool = False, tie_counts: bool = False,
+         num_partitions: int | None = None) -> DataFrame:
+    """Add ordered-window columns to ``df``.
+
+    Always added: ``row_number``, ``rank``, ``dense_rank``. Optional:
+    ``running_cents`` (running sum of the integer column ``sum_cents``),
+    ``lag_<c>``/``lead_<c>`` (offset 1), ``first_<c>``, ``group_rows`` (rows in
+    the key, with ``group_counts``) and ``tie_rows`` (rows sharing the order
+    value, with ``tie_counts``), from which ntile / percent_rank / cume_dist
+    follow.
+
+    ``tiebreak`` (default: every other column) makes the order total so
+    ``row_number`` is deterministic.
+    """
+    by = list(by)
+    order_n = _norm_order(order)
+    vals = [c for c, _ in order_n]
+    if tiebreak is None:
+        tiebreak = [c for c in df.columns if c not in by and c not in vals]
+    sort_spec = [(b, True) for b in by] + order_n + [(t, True) for t in tiebreak]
+    spark = df.sparkSession
+    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lag, lead, first = list(lag), list(lead), list(first)
+
+    ranged = df.repartitionByRange(n_parts, *_sort_cols(sort_spec)).sortWithinPartitions(*_sort_cols(sort_spec))
+    fields = list(df.schema.fields)
+    fields += [T.StructField("_lrn", T.LongType()), T.StructField("_lrank", T.LongType()),
+               T.StructField("_ldense", T.LongType())]
+    if sum_cents is not None:
+        fields.append(T.StructField("_lsum", T.LongType()))
+    typ = {f.name: f.dataType for f in df.schema.fields}
+    fields += [T.StructField(f"_llag_{c}", typ[c]) for c in lag]
+    fields += [T.StructField(f"_llead_{c}", typ[c]) for c in lead]
+    fields += [T.StructField(f"_lfirst_{c}", typ[c]) for c in first]
+    fields += [T.StructField("_pid", T.IntegerType()), T.StructField("_edge", T.StringType())]
+    schema = T.StructType(fields)
+    run = _make_scan(by, vals, sum_cents, lag, lead, first, [f.name for f in fields])
+    scanned = ranged.mapInPandas(run, schema).checkpoint(eager=True)
+
+    # ---- carries from the edge rows (<= 2 per partition) -------------------
+    key = F.struct(*[F.col(b) for b in by]) if by else F.lit(0)
+    val = F.struct(*[F.col(v) for v in vals]) if vals else F.lit(0)
+    e = scanned.filter(F.col("_edge").isNotNull())
+    fcols = [key.alias("fk"), val.alias("fv")] + [F.col(c).alias(f"fl_{c}") for c in lead]
+    lcols = [key.alias("lk"), val.alias("lv"), F.col("_lrn").alias("l_cnt"), F.col("_lrank").alias("l_rank"),
+             F.col("_ldense").alias("l_dense")]
+    if sum_cents is not None:
+        lcols.append(F.col("_lsum").alias("l_sum"))
+    lcols += [F.col(c).alias(f"ll_{c}") for c in lag] + [F.col(f"_lfirst_{c}").alias(f"lf_{c}") for c in first]
+    is_f = F.col("_edge").isin("F", "FL")
+    is_l = F.col("_edge").isin("L", "FL")
+    summ = e.groupBy("_pid").agg(F.max(F.when(is_f, F.struct(*fcols))).alias("f"),
+                                 F.max(F.when(is_l, F.struct(*lcols))).alias("l"))
+    summ = summ.select("_pid", "f.*", "l.*")
+    w = Window.orderBy("_pid")  # one row per non-empty partition
+    prev = lambda c: F.lag(c).over(w)
+    cont = F.coalesce(prev("lk").eqNullSafe(F.col("fk")), F.lit(False))
+    single_key = F.col("fk").eqNullSafe(F.col("lk"))
+    s = (summ.withColumn("cont", cont)
+         .withColumn("tcont", F.col("cont") & F.coalesce(prev("lv").eqNullSafe(F.col("fv")), F.lit(False)))
+         .withColumn("single_key", single_key)
+         .withColumn("begins", ~(F.col("single_key") & F.col("cont"))))
+    s = s.withColumn("chain", F.sum(F.col("begins").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    wc = Window.partitionBy("chain").orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
+    s = (s.withColumn("S_cnt", F.sum("l_cnt").over(wc))
+         .withColumn("S_dense", F.sum("l_dense").over(wc))
+         .withColumn("T_tie", F.sum(F.when(~F.col("begins"), F.col("tcont").cast("long")).otherwise(0)).over(wc)))
+    if sum_cents is not None:
+        s = s.withColumn("S_sum", F.sum("l_sum").over(wc))
+    for c in first:
+        s = s.withColumn(f"C_{c}", F.first(f"lf_{c}").over(wc))
+    # the carry into partition p is the chain state at p-1, when p continues it
+    s = (s.withColumn("carry_rows", F.when(F.col("cont"), prev("S_cnt")).otherwise(0))
+         .withColumn("carry_dense", F.when(F.col("cont"), prev("S_dense")).otherwise(0))
+         .withColumn("carry_ties", F.when(F.col("cont"), prev("T_tie") + F.col("tcont").cast("long")).otherwise(0)))
+    # absolute rank of each partition's last tie group
+    all_tie_cont = F.col("single_key") & F.col("fv").eqNullSafe(F.col("lv")) & F.col("tcont")
+    x = F.when(~all_tie_cont, F.when(F.col("single_key") & F.col("cont"), F.col("carry_rows")).otherwise(0)
+               + F.col("l_rank"))
+    s = s.withColumn("A", F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("first_tie_rank", prev("A"))
+    if sum_cents is not None:
+        s = s.withColumn("carry_sum", F.when(F.col("cont"), prev("S_sum")).otherwise(0))
+    for c in lag:
+        s = s.withColumn(f"carry_lag_{c}", F.when(F.col("cont"), prev(f"ll_{c}")))
+    for c in lead:
+        nxt = F.lead(f"fl_{c}").over(w)
+        s = s.withColumn(f"carry_lead_{c}", F.when(F.coalesce(F.lead("fk").over(w).eqNullSafe(F.col("lk")), F.lit(False)), nxt))
+    for c in first:
+        s = s.withColumn(f"carry_first_{c}", F.when(F.col("cont"), prev(f"C_{c}")))
+    keep = ["_pid", "fk", "fv", "cont", "tcont", "carry_rows", "carry_dense", "carry_ties", "first_tie_rank"]
+    keep += (["carry_sum"] if sum_cents is not None else [])
+    keep += [f"carry_lag_{c}" for c in lag] + [f"carry_lead_{c}" for c in lead] + [f"carry_first_{c}" for c in first]
+    carries = s.select(*[F.col(k).alias("_c_" + k if k != "_pid" else k) for k in keep])
+
+    # ---- fix-up -------------------------------------------------------------
+    d = scanned.join(F.broadcast(carries), "_pid", "left")
+    in_first = F.col("_c_cont") & key.eqNullSafe(F.col("_c_fk"))
+    rank = (F.when(in_first & F.col("_c_tcont") & val.eqNullSafe(F.col("_c_fv")), F.col("_c_first_tie_rank"))
+            .when(in_first, F.col("_lrank") + F.col("_c_carry_rows")).otherwise(F.col("_lrank")))
+    out = [F.col(c) for c in df.columns]
+    out += [F.when(in_first, F.col("_lrn") + F.col("_c_carry_rows")).otherwise(F.col("_lrn")).alias("row_number"),
+            rank.alias("rank"),
+            F.when(in_first, F.col("_ldense") + F.col("_c_carry_dense") - F.col("_c_carry_ties"))
+            .otherwise(F.col("_ldense")).alias("dense_rank")]
+    if sum_cents is not None:
+        out.append(F.when(in_first, F.col("_lsum") + F.col("_c_carry_sum")).otherwise(F.col("_lsum")).alias("running_cents"))
+    for c in lag:
+        out.append(F.when(in_first & (F.col("_lrn") == 1), F.col(f"_c_carry_lag_{c}"))
+                   .otherwise(F.col(f"_llag_{c}")).alias(f"lag_{c}"))
+    for c in lead:
+        out.append(F.when(F.col("_edge").isin("L", "FL"), F.col(f"_c_carry_lead_{c}"))
+                   .otherwise(F.col(f"_llead_{c}")).alias(f"lead_{c}"))
+    for c in first:
+        out.append(F.when(in_first, F.col(f"_c_carry_first_{c}")).otherwise(F.col(f"_lfirst_{c}")).alias(f"first_{c}"))
+    res = d.select(*out)
+    if group_counts:
+        if by:
+            g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"))
+            res = res.join(g, by, "left")
+        else:
+            res = res.withColumn("group_rows", F.lit(df.select(F.count(F.lit(1))).scalar()))
+    if tie_counts:
+        kc = [*by, *vals]
+        t = df.groupBy(*kc).agg(F.count(F.lit(1)).alias("tie_rows"))
+        t = t.select(*[F.col(c).alias(f"_t_{c}") for c in kc], "tie_rows")
+        cond = None
+        for c in kc:  # order values may be NULL: null-safe equality
+            e = res[c].eqNullSafe(t[f"_t_{c}"])
+            cond = e if cond is None else cond & e
+        res = res.join(t, cond, "left").drop(*[f"_t_{c}" for c in kc])
+    return res
+
+
+def ntile(n: int, row_number: Column | str = "row_number", group_rows: Column | str = "group_rows") -> Column:
+    """SQL ``ntile(n)`` from a row number and the group size: the first
+    ``rows % n`` buckets get one extra row."""
+    r = F.col(row_number) if isinstance(row_number, str) else row_number
+    g = F.col(group_rows) if isinstance(group_rows, str) else group_rows
+    q = F.floor(g / n)
+    rem = g % n
+    big = rem * (q + 1)
+    return F.when(r <= big, F.floor((r - 1) / (q + 1)) + 1).otherwise(
+        rem + F.floor((r - big - 1) / q) + 1).cast("int")
+
+
+def percent_rank(rank: str = "rank", group_rows: str = "group_rows") -> Column:
+    return F.when(F.col(group_rows) <= 1, F.lit(0.0)).otherwise(
+        (F.col(rank) - 1).cast("double") / (F.col(group_rows) - 1).cast("double"))
+
+
+def cume_dist(rank: str = "rank", tie_rows: str = "tie_rows", group_rows: str = "group_rows") -> Column:
+    return (F.col(rank) + F.col(tie_rows) - 1).cast("double") / F.col(group_rows).cast("double")
