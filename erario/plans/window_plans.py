@@ -1 +1,180 @@
-"""Placeholder; filled in below."""
+"""Window-function queries, ordered transcripts (T5)
+and span statistics with exact percentiles (T13), all on the skew-safe
+ordered scan rather than per-key window tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from erario.functions.dates import month_ref
+from erario.functions.money import money
+from erario.operators.ordered import cume_dist, ntile, percent_rank, scan
+from erario.operators.stats import exact_percentiles
+from erario.plans.registry import register
+from erario.sources.tables import table
+
+
+def _cents(c):
+    return (money(c) * 100).cast("long")
+
+
+# --------------------------------------------------------------------------
+# Ranking functions
+# --------------------------------------------------------------------------
+
+@register("ranking_functions", "C22", """
+WITH t AS (
+  SELECT c.c_custkey, c.c_nationkey, SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS v
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2)
+SELECT c_custkey, c_nationkey, CAST(v AS DOUBLE) AS total,
+       row_number() OVER (PARTITION BY c_nationkey ORDER BY v DESC, c_custkey) AS row_number,
+       rank() OVER (PARTITION BY c_nationkey ORDER BY v DESC) AS rank,
+       dense_rank() OVER (PARTITION BY c_nationkey ORDER BY v DESC) AS dense_rank,
+       ntile(4) OVER (PARTITION BY c_nationkey ORDER BY v DESC, c_custkey) AS quartile,
+       percent_rank() OVER (PARTITION BY c_nationkey ORDER BY v DESC) AS percent_rank,
+       cume_dist() OVER (PARTITION BY c_nationkey ORDER BY v DESC) AS cume_dist
+FROM t
+""")
+def ranking_functions(spark, sf_dir):
+    """Customers ranked by total spend within their nation."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    per = o.groupBy("o_custkey").agg(F.sum(money("o_totalprice")).alias("v"))
+    t = per.join(c, per.o_custkey == c.c_custkey).select("c_custkey", "c_nationkey", _cents("v").alias("cents"))
+    r = scan(t, ["c_nationkey"], [("cents", False)], tiebreak=["c_custkey"], group_counts=True, tie_counts=True)
+    return r.select("c_custkey", "c_nationkey", (F.col("cents").cast("decimal(20,0)") / 100).cast("double").alias("total"),
+                    "row_number", "rank", "dense_rank", ntile(4).alias("quartile"),
+                    percent_rank().alias("percent_rank"), cume_dist().alias("cume_dist"))
+
+
+# --------------------------------------------------------------------------
+# Analytic functions over raw rows per key
+# --------------------------------------------------------------------------
+
+@register("analytic_functions", "C23", """
+SELECT o_orderkey, o_custkey,
+       row_number() OVER w AS row_number,
+       lag(o_totalprice) OVER w AS prev_price,
+       lead(o_totalprice) OVER w AS next_price,
+       first_value(o_totalprice) OVER w AS first_price,
+       nth_value(o_totalprice, 2) OVER w AS second_price,
+       last_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_price
+FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+""")
+def analytic_functions(spark, sf_dir):
+    """Per customer, orders in date order: previous/next price, first price,
+    second price (NULL before the 2nd row) and last price of the customer.
+    nth and last values come from the rows with row_number 2 and n, joined
+    back on the key (an aggregate-sized side; AQE splits a hot key)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    r = scan(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], tiebreak=[], lag=["o_totalprice"],
+             lead=["o_totalprice"], first=["o_totalprice"], group_counts=True)
+    second = r.filter(F.col("row_number") == 2).select(F.col("o_custkey").alias("_k2"),
+                                                        F.col("o_totalprice").alias("_second"))
+    last = r.filter(F.col("row_number") == F.col("group_rows")).select(F.col("o_custkey").alias("_kl"),
+                                                                        F.col("o_totalprice").alias("_last"))
+    j = (r.join(second, r.o_custkey == second._k2, "left")
+         .join(last, r.o_custkey == last._kl, "left"))
+    return j.select("o_orderkey", "o_custkey", "row_number",
+                    F.col("lag_o_totalprice").alias("prev_price"),
+                    F.col("lead_o_totalprice").alias("next_price"),
+                    F.col("first_o_totalprice").alias("first_price"),
+                    F.when(F.col("row_number") >= 2, F.col("_second")).alias("second_price"),
+                    F.col("_last").alias("last_price"))
+
+
+# --------------------------------------------------------------------------
+# Running totals (ROWS frame), global and per key
+# --------------------------------------------------------------------------
+
+@register("running_total", "C24", """
+WITH m AS (SELECT strftime(o_orderdate, '%Y%m') AS month_ref, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS t
+           FROM orders GROUP BY 1)
+SELECT month_ref, CAST(t AS DOUBLE) AS total,
+       CAST(SUM(t) OVER (ORDER BY month_ref ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_total
+FROM m
+""")
+def running_total(spark, sf_dir):
+    """Cumulative monthly total: months aggregated first, then a running sum
+    in month order (exact, in cents)."""
+    o = table(spark, sf_dir, "orders")
+    m = o.groupBy(month_ref("o_orderdate").alias("month_ref")).agg(_cents(F.sum(money("o_totalprice"))).alias("cents"))
+    r = scan(m, [], ["month_ref"], tiebreak=[], sum_cents="cents")
+    to_money = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("double")
+    return r.select("month_ref", to_money("cents").alias("total"), to_money("running_cents").alias("running_total"))
+
+
+@register("running_total_by_key", "C24", """
+SELECT o_orderkey, o_custkey,
+       CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_total
+FROM orders
+""")
+def running_total_by_key(spark, sf_dir):
+    """Per customer, running total of order value in date order (raw rows)."""
+    o = (table(spark, sf_dir, "orders")
+         .select("o_orderkey", "o_custkey", "o_orderdate", _cents("o_totalprice").alias("cents")))
+    r = scan(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], tiebreak=[], sum_cents="cents")
+    return r.select("o_orderkey", "o_custkey",
+                    (F.col("running_cents").cast("decimal(20,0)") / 100).cast("double").alias("running_total"))
+
+
+# --------------------------------------------------------------------------
+# T5: transcript as ordered rows
+# --------------------------------------------------------------------------
+
+@register("transcript", "T5", """
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, turn, role, text,
+       lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role
+FROM conversations
+""")
+def transcript(spark, sf_dir):
+    """The append-only message list of each conversation as ordered rows:
+    0-based position, previous speaker. Rows rather than one array per
+    conversation, so a very long conversation is never one value."""
+    c = table(spark, sf_dir, "conversations")
+    r = scan(c, ["conv_id"], ["turn"], tiebreak=[], lag=["role"])
+    return r.select("conv_id", (F.col("row_number") - 1).alias("seq"), "turn", "role", "text",
+                    F.col("lag_role").alias("prev_role"))
+
+
+# --------------------------------------------------------------------------
+# Span statistics (calls, errors, exact percentiles, totals)
+# --------------------------------------------------------------------------
+
+_PS = (0.5, 0.9, 0.99)
+
+
+def _pct_sql(p):
+    h = f"((n - 1) * {p})"
+    return (f"MAX(CASE WHEN rn - 1 = floor({h}) THEN value END) + ({h} - floor({h})) * "
+            f"(MAX(CASE WHEN rn - 1 = ceil({h}) THEN value END) - MAX(CASE WHEN rn - 1 = floor({h}) THEN value END))")
+
+
+@register("span_stats", "T13", f"""
+WITH r AS (
+  SELECT event_type, value,
+         row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn,
+         COUNT(*) OVER (PARTITION BY event_type) AS n
+  FROM events WHERE value IS NOT NULL),
+p AS (SELECT event_type, {_pct_sql(0.5)} AS p50, {_pct_sql(0.9)} AS p90, {_pct_sql(0.99)} AS p99
+      FROM r GROUP BY event_type, n),
+a AS (SELECT event_type, COUNT(*) AS calls, COUNT(DISTINCT user_id) AS users,
+             CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value,
+             CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(value) AS avg_value
+      FROM events GROUP BY event_type)
+SELECT a.*, p.p50, p.p90, p.p99 FROM a JOIN p USING (event_type)
+""")
+def span_stats(spark, sf_dir):
+    """Per event type: calls, distinct users, total and mean value, and exact
+    p50/p90/p99 of the value."""
+    e = table(spark, sf_dir, "events")
+    s = money("value")
+    a = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("user_id").alias("users"),
+                                    F.sum(s).cast("double").alias("total_value"),
+                                    (F.sum(s).cast("double") / F.count("value")).alias("avg_value"))
+    p = exact_percentiles(e, ["event_type"], "value", _PS)
+    return a.join(p, "event_type")
