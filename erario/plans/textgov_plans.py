@@ -1 +1,120 @@
-"""Placeholder; filled in below."""
+"""Text governance over the test tables:
+accent folding and search, redaction, sensor counts, screening, last turns,
+statement checks, truncation and BRL formatting. Whole texts, every row.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from erario.functions import text as X
+from erario.operators.conversations import last_turn
+from erario.plans.registry import register
+from erario.sources.tables import table
+
+_SENSOR_SQL = ",\n       ".join(
+    f"SUM(len(regexp_extract_all(text, '{X._sql_str(p)}'))) AS n_{n}" for n, p, _ in X.REDACTION_RULES)
+_VERDICT_SQL, _HITS_SQL = X.screen_sql("text")
+
+
+@register("accent_fold", "B4", """
+SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents
+""")
+def accent_fold_q(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.accent_fold("text").alias("folded"))
+
+
+@register("accent_search", "B4 B3", """
+SELECT lang, COUNT(*) AS n_docs,
+       SUM(CASE WHEN contains(lower(strip_accents(text)), 'ete') THEN 1 ELSE 0 END) AS n_match
+FROM documents GROUP BY lang
+""")
+def accent_search(spark, sf_dir):
+    """Documents containing 'ÉTÉ' regardless of accents and case, per language."""
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"),
+                                 F.count(F.when(X.contains_folded("text", "ÉTÉ"), 1)).alias("n_match"))
+
+
+@register("redact_documents", "T1", f"""
+SELECT doc_id, {X.redact_sql('text')} AS redacted FROM documents
+""")
+def redact_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.redact("text").alias("redacted"))
+
+
+@register("sensor_counts", "T2", f"""
+SELECT lang, source, COUNT(*) AS n_docs,
+       {_SENSOR_SQL}
+FROM documents GROUP BY lang, source
+""")
+def sensor_counts(spark, sf_dir):
+    """Hits per sensor, per language and source."""
+    d = table(spark, sf_dir, "documents")
+    per_doc = d.select("lang", "source", *X.sensor_counts("text"))
+    names = [f"n_{n}" for n, _, _ in X.REDACTION_RULES]
+    return per_doc.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"),
+                                                 *[F.sum(c).alias(c) for c in names])
+
+
+@register("screen_messages", "T3", f"""
+SELECT conv_id, turn, {_VERDICT_SQL} AS verdict, {_HITS_SQL} AS hits
+FROM conversations WHERE role = 'user'
+""")
+def screen_messages(spark, sf_dir):
+    """Every user message screened SAFE/UNSAFE by the rule table."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return c.select("conv_id", "turn", X.screen_verdict("text").alias("verdict"), X.screen_hits("text").alias("hits"))
+
+
+@register("last_turn", "T4", """
+SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text
+FROM conversations WHERE role = 'user' GROUP BY conv_id
+""")
+def last_turn_q(spark, sf_dir):
+    """Last user message of each conversation (``max_by``, map-side combined)."""
+    return last_turn(table(spark, sf_dir, "conversations"), role="user")
+
+
+@register("last_context_free_turn", "T4", """
+SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text
+FROM conversations WHERE role <> 'system' GROUP BY conv_id
+""")
+def last_context_free_turn(spark, sf_dir):
+    """Last message of each conversation that is not context (system role)."""
+    return last_turn(table(spark, sf_dir, "conversations"), exclude_roles=["system"])
+
+
+@register("statement_check", "T7", """
+SELECT role, COUNT(*) AS n_messages,
+       SUM(CASE WHEN starts_with(upper(regexp_replace(text, '^[\\s ]+|[\\s ]+$', '', 'g')), 'SELECT')
+                THEN 1 ELSE 0 END) AS n_select
+FROM conversations GROUP BY role
+""")
+def statement_check(spark, sf_dir):
+    """How many messages would pass the read-only SELECT gate, per role."""
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n_messages"),
+                                 F.count(F.when(X.is_readonly_select("text"), 1)).alias("n_select"))
+
+
+@register("truncate_marked", "T11", """
+SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || '... [TRUNCATED]' ELSE text END AS summary
+FROM documents
+""")
+def truncate_marked(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.truncate_marked("text", 2000).alias("summary"))
+
+
+@register("format_brl", "T12", """
+SELECT c_custkey,
+       CASE WHEN CAST(c_acctbal AS DECIMAL(18,2)) < 0 THEN '-' ELSE '' END || 'R$ ' ||
+       translate(format('{:,.2f}', abs(CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS DOUBLE))), ',.', '.,') AS balance
+FROM customer
+""")
+def format_brl(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", X.format_brl("c_acctbal").alias("balance"))
