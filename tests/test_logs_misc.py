@@ -1,0 +1,92 @@
+"""Logs and traces (A11, T13, T14), decoding (T8), read-only SQL (Q1), month
+helpers (A2, C7)."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from erario.functions.dates import month_bounds, normalize_month_ref
+from erario.operators.decode import decode_rows
+from erario.operators.readonly import ReadOnlyViolation, check_readonly, run_readonly_sql
+from erario.operators.traces import span_stats, trace_rollup
+from erario.sources.logs import read_etl_log, read_trace_log
+
+
+def _span(trace, comp, status, lat, tokens, ev="THOUGHT", inp="{}", err=None):
+    d = {"timestamp": "2024-05-01T10:00:00+00:00", "level": "INFO", "message": f"Executed {comp}",
+         "logger": "x", "trace_id": trace, "span_id": comp + str(lat), "event_type": ev, "component": comp,
+         "status": status, "latency_ms": lat, "tokens": tokens, "input": inp, "output": "ok"}
+    if err:
+        d["error"] = err
+    return json.dumps(d)
+
+
+def test_trace_log(spark, tmp_root):
+    tok = {"total_tokens": 10, "prompt_tokens": 7, "completion_tokens": 3, "total_cost": 0.01}
+    lines = [_span("t1", "planner", "SUCCESS", 100.0, tok),
+             _span("t1", "planner", "SUCCESS", 300.0, tok),
+             _span("t1", "generate_sql", "ERROR", 50.0, {}, err="boom"),
+             _span("t2", "planner", "SUCCESS", 200.0, tok, inp="x" * 2000 + "... [TRUNCATED]"),
+             "{not json"]
+    p = os.path.join(tmp_root, "agent_trace.jsonl")
+    with open(p, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    spans = read_trace_log(spark, p)
+    assert spans.filter("corrupt").select("corrupt", "trace_id").collect() == [(True, None)]
+    st = {(r.component, r.event_type): r for r in span_stats(spans).collect()}
+    pl = st[("planner", "THOUGHT")]
+    assert (pl.calls, pl.errors, pl.p50, pl.total_tokens) == (3, 0, 200.0, 30)
+    gs = st[("generate_sql", "THOUGHT")]
+    assert (gs.errors, gs.error_rate, gs.total_tokens) == (1, 1.0, None)
+    roll = {r.trace_id: r for r in trace_rollup(spans).collect()}
+    assert roll["t1"].spans == 3 and roll["t1"].failed and roll["t1"].components == ["generate_sql", "planner"]
+    assert not roll["t2"].failed
+
+
+def test_etl_log(spark, tmp_root):
+    p = os.path.join(tmp_root, "etl.log")
+    with open(p, "w") as f:
+        f.write("2024-05-01 10:00:00,123 - INFO - >>> Starting Despesas (Financial)\n"
+                "2024-05-01 10:00:01,002 - ERROR - Failed DESPESAS:2024: boom\n"
+                "Traceback (most recent call last):\n")
+    rows = read_etl_log(spark, p).collect()
+    assert [r.level for r in rows] == ["INFO", "ERROR", None]
+    assert rows[1].message == "Failed DESPESAS:2024: boom"
+    assert str(rows[0].ts) == "2024-05-01 10:00:00.123000"
+
+
+def test_decode_rows(spark):
+    df = spark.createDataFrame([(1, '[{"valor": 5}, {"x": 1}]'), (2, '{"valor": 7}'), (3, "not json"), (4, "[]")],
+                               "id int, result string")
+    got = sorted(tuple(r) for r in decode_rows(df, "result", {"valor": 0}).collect())
+    assert got == [(1, 0, "5", None), (1, 1, "0", None), (2, None, "7", None), (3, None, None, "not json")]
+    assert decode_rows(df, "result", {"valor": 0}, keep_raw=False).filter("raw is not null").count() == 0
+
+
+@pytest.mark.parametrize("sql", ["SELECT 1", "  select 1", "with a as (select 1 as x) select * from a",
+                                 "-- note\nSELECT 1", "SELECT 'drop table x' AS s;"])
+def test_readonly_accepts(sql):
+    check_readonly(sql)
+
+
+@pytest.mark.parametrize("sql", ["DROP TABLE t", "SELECT 1; DROP TABLE t", "SELECT TRANSFORM(a) USING 'cat' FROM t",
+                                 "SELECT reflect('java.lang.System', 'exit', 0)",
+                                 "SELECT * FROM parquet.`/etc/passwd`", "INSERT INTO t SELECT 1", "SET x=1"])
+def test_readonly_rejects(sql):
+    with pytest.raises(ReadOnlyViolation):
+        check_readonly(sql)
+
+
+def test_readonly_runs(spark):
+    spark.range(3).createOrReplaceTempView("ro_t")
+    assert run_readonly_sql(spark, "SELECT count(*) AS n FROM ro_t").first().n == 3
+
+
+def test_month_helpers(spark):
+    df = spark.createDataFrame([(2024, 2, "02", "2024"), (2023, 2, "202312", "2023"), (2024, 12, "7", "2024"),
+                                (2024, 1, "13", "2024")], "y int, m int, mes string, ano string")
+    rows = df.select(month_bounds("y", "m").alias("b"), normalize_month_ref("mes", "ano").alias("r")).collect()
+    assert rows[0].b.start_end == "2024-02-01_2024-02-29" and rows[1].b.start_end == "2023-02-01_2023-02-28"
+    assert [r.r for r in rows] == ["202402", "202312", "202407", None]
