@@ -84,13 +84,34 @@ REDACTION_RULES: list[tuple[str, str, bool]] = [
     ("phone_br", r"\([0-9]{2}\) ?9?[0-9]{4}-[0-9]{4}", False),
 ]
 
+# Literals a rule cannot match without (any of them). A text without them
+# skips the regular expression: a byte search instead of a regex scan.
+RULE_LITERALS: dict[str, tuple[str, ...]] = {
+    "dsn": ("://",), "email": ("@",), "cpf": ("-",), "api_key": ("sk-",),
+    "secret": ("token", "api_key", "secret", "password"), "path": ("/",),
+    "phone": ("+",), "phone_br": ("(",),
+}
+
+
+def _guard(c: Column, name: str) -> Column | None:
+    lits = RULE_LITERALS.get(name)
+    if not lits:
+        return None
+    g = None
+    for lit in lits:
+        h = F.contains(c, F.lit(lit))
+        g = h if g is None else g | h
+    return g
+
 
 def redact(col, rules: Sequence[tuple[str, str, bool]] = REDACTION_RULES) -> Column:
     """Replace every sensor hit with ``[REDACTED]``; clean text is unchanged.
     For ``key = value`` secrets the key name is kept: ``token = [REDACTED]``."""
     out = _c(col)
-    for _, pat, keep in rules:
-        out = F.regexp_replace(out, pat, ("$1$2" if keep else "") + REDACTED)
+    for name, pat, keep in rules:
+        rep = F.regexp_replace(out, pat, ("$1$2" if keep else "") + REDACTED)
+        g = _guard(out, name)
+        out = rep if g is None else F.when(g, rep).otherwise(out)
     return out
 
 
@@ -105,7 +126,12 @@ def redact_sql(expr: str, rules: Sequence[tuple[str, str, bool]] = REDACTION_RUL
 
 def sensor_counts(col, rules: Sequence[tuple[str, str, bool]] = REDACTION_RULES) -> list[Column]:
     """One count column per sensor: hits in the original text."""
-    return [F.regexp_count(_c(col), F.lit(pat)).alias(f"n_{name}") for name, pat, _ in rules]
+    out = []
+    for name, pat, _ in rules:
+        cnt = F.regexp_count(_c(col), F.lit(pat))
+        g = _guard(_c(col), name)
+        out.append((cnt if g is None else F.when(g, cnt).otherwise(F.lit(0))).alias(f"n_{name}"))
+    return out
 
 
 def _sql_str(s: str) -> str:

@@ -1,10 +1,12 @@
 """Window-function queries, ordered transcripts (T5)
-and span statistics with exact percentiles (T13), all on the skew-safe
-ordered scan rather than per-key window tasks.
+and span statistics with exact percentiles (T13). Windows over raw rows use
+the skew-safe ordered scan rather than per-key window tasks; a window over an
+aggregate whose size the calendar bounds (one row per month) is a plain one.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from erario.functions.dates import month_ref
@@ -98,13 +100,14 @@ SELECT month_ref, CAST(t AS DOUBLE) AS total,
 FROM m
 """)
 def running_total(spark, sf_dir):
-    """Cumulative monthly total: months aggregated first, then a running sum
-    in month order (exact, in cents)."""
+    """Cumulative monthly total. Months are aggregated first; the running sum
+    then runs over one row per month — a size bounded by the calendar, not by
+    the data — so a single ordered window is the right tool here."""
     o = table(spark, sf_dir, "orders")
-    m = o.groupBy(month_ref("o_orderdate").alias("month_ref")).agg(_cents(F.sum(money("o_totalprice"))).alias("cents"))
-    r = scan(m, [], ["month_ref"], tiebreak=[], sum_cents="cents")
-    to_money = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("double")
-    return r.select("month_ref", to_money("cents").alias("total"), to_money("running_cents").alias("running_total"))
+    m = o.groupBy(month_ref("o_orderdate").alias("month_ref")).agg(F.sum(money("o_totalprice")).alias("t"))
+    w = Window.orderBy("month_ref").rowsBetween(Window.unboundedPreceding, 0)
+    return m.select("month_ref", F.col("t").cast("double").alias("total"),
+                    F.sum("t").over(w).cast("double").alias("running_total"))
 
 
 @register("running_total_by_key", "C24", """

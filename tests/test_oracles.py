@@ -1,0 +1,37 @@
+"""Every registered query against its DuckDB oracle (the driver's gate), on
+the smallest scale factor; ``tools/check_oracles.py`` runs the same at sf0.01."""
+
+import pytest
+from conftest import SF_SMALL
+from oracle import compare, duck
+
+import __spark_entry__ as E
+
+QUERIES = E.queries()
+ORACLES = E.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF_SMALL)
+
+
+def test_entry_smoke(spark):
+    df = E.entry(spark)
+    assert df.columns == ["building_total", "automobile_total", "difference"]
+    assert df.count() == 1
+
+
+def test_every_query_has_an_oracle_or_is_listed():
+    assert set(ORACLES) <= set(QUERIES)
+    assert len(QUERIES) >= 50
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_oracle(spark, con, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    if name not in ORACLES:
+        df.count()
+        return
+    ok, msg = compare(df, con, ORACLES[name])
+    assert ok, msg
