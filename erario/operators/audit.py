@@ -55,8 +55,9 @@ def compare_slices(df: DataFrame, value: str, slice_col: str, a: str, b: str,
     An empty slice totals 0.
     """
     s = F.col(slice_col)
-    ta = F.coalesce(F.sum(F.when(s == F.lit(a), money(value))), F.lit(0).cast("decimal(28,2)"))
-    tb = F.coalesce(F.sum(F.when(s == F.lit(b), money(value))), F.lit(0).cast("decimal(28,2)"))
+    v = F.col(value).cast("decimal(38,2)")  # money, or already-summed money
+    ta = F.coalesce(F.sum(F.when(s == F.lit(a), v)), F.lit(0).cast("decimal(38,2)"))
+    tb = F.coalesce(F.sum(F.when(s == F.lit(b), v)), F.lit(0).cast("decimal(38,2)"))
     return (df.filter(s.isin(a, b))
             .agg(ta.alias("_a"), tb.alias("_b"))
             .select(F.col("_a").cast("double").alias(names[0]),

@@ -68,13 +68,17 @@ def apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it; only when it is unset (local tests) a private temporary
-    folder is created and recorded in the session so later calls agree.
+    A cluster names it; only when it is unset in local mode (tests) a private
+    temporary folder is created and recorded in the session so later calls
+    agree. On a cluster an unset folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (a machine-local "
+                               "temporary folder does not survive a lost executor)")
         path = tempfile.mkdtemp(prefix="erario-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
