@@ -49,7 +49,10 @@ def accent_fold(col) -> Column:
     """``NFD -> drop Mn -> lower``: 'Saúde' -> 'saude', 'EDUCAÇÃO' -> 'educacao'.
     Decomposed input loses its combining marks; 'ß' and 'ø' stay (NFD does not
     decompose them)."""
-    return F.lower(F.regexp_replace(F.translate(_c(col), FOLD_SRC, FOLD_DST), r"\p{Mn}", ""))
+    c = _c(col)
+    folded = F.lower(F.regexp_replace(F.translate(c, FOLD_SRC, FOLD_DST), r"\p{Mn}", ""))
+    # pure ASCII text (as many bytes as characters) has nothing to fold
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(folded)
 
 
 def fold_literal(s: str) -> str:

@@ -233,14 +233,19 @@ WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.o_custkey = g.o_custkey AND h.m =
 """)
 def coverage_gaps_q(spark, sf_dir):
     """Months between a customer's first and last order with no order: the
-    silent gaps. Spine per key via ``explode(sequence)``; gaps via anti join."""
+    silent gaps. Spine per key via ``explode(sequence)`` over integer month
+    indexes; gaps via an anti join on (key, month index); only the gap rows
+    are formatted as ``YYYYMM``."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
-    m = F.to_date(F.date_trunc("month", "o_orderdate"))
-    span = o.groupBy("o_custkey").agg(F.min(m).alias("lo"), F.max(m).alias("hi"))
-    grid = span.select("o_custkey", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("m"))
-    grid = grid.select("o_custkey", month_ref("m").alias("month_ref"))
-    have = o.select("o_custkey", month_ref("o_orderdate").alias("month_ref")).distinct()
-    return grid.join(have, ["o_custkey", "month_ref"], "left_anti")
+    idx = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1
+    # one scan: the distinct (customer, month) set feeds both the span and the
+    # anti join (the same exchange is reused)
+    have = o.select("o_custkey", idx.alias("m")).distinct()
+    span = have.groupBy("o_custkey").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    grid = span.select("o_custkey", F.explode(F.sequence("lo", "hi")).alias("m"))
+    gaps = grid.join(have, ["o_custkey", "m"], "left_anti")
+    return gaps.select("o_custkey", F.format_string("%04d%02d", F.floor(F.col("m") / 12).cast("int"),
+                                                    (F.col("m") % 12 + 1).cast("int")).alias("month_ref"))
 
 
 # --------------------------------------------------------------------------
