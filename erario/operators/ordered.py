@@ -67,12 +67,23 @@ def _starts(pdf: pd.DataFrame, cols: list[str], prev: tuple | None) -> np.ndarra
     n = len(pdf)
     out = np.zeros(n, dtype=bool)
     for i, c in enumerate(cols):
-        a = pdf[c].to_numpy(dtype=object)
-        b = np.empty(n, dtype=object)
-        b[1:] = a[:-1]
-        b[0] = None if prev is None else prev[i]
-        d = _differs(a, b)
-        out |= d
+        s = pdf[c]
+        if n > 1 and s.dtype.kind in "iub":  # fixed-width, no NULLs: native compare
+            v = s.to_numpy()
+            out[1:] |= v[1:] != v[:-1]
+        elif n > 1 and s.dtype.kind == "f":  # NaN marks NULL: NULL == NULL
+            v = s.to_numpy()
+            na = np.isnan(v)
+            with np.errstate(invalid="ignore"):
+                ne = v[1:] != v[:-1]
+            out[1:] |= np.where(na[1:] & na[:-1], False, np.where(na[1:] | na[:-1], True, ne))
+        elif n > 1:
+            a = s.to_numpy(dtype=object)
+            out[1:] |= _differs(a[1:], a[:-1])
+        first = s.iloc[0] if n else None
+        if n:
+            out[0] |= bool(_differs(np.array([first], dtype=object),
+                                    np.array([None if prev is None else prev[i]], dtype=object))[0])
     if prev is None and n:
         out[0] = True
     return out

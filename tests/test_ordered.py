@@ -55,3 +55,15 @@ def test_scan_global_order(spark):
                     F.sum("cents").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running_cents"))
     a = sorted(map(tuple, got.select("id", "row_number", "rank", "running_cents").collect()))
     assert a == sorted(map(tuple, exp.collect()))
+
+
+def test_scan_string_keys_and_values(spark):
+    df = _data(spark, 5, 1500).selectExpr("concat('k', cast(k as string)) AS ks",
+                                          "cast(v as string) AS vs", "id", "cents")
+    got = scan(df, ["ks"], ["vs"], tiebreak=["id"], lag=["cents"], num_partitions=6)
+    w = Window.partitionBy("ks").orderBy(F.col("vs").asc_nulls_first(), "id")
+    wr = Window.partitionBy("ks").orderBy(F.col("vs").asc_nulls_first())
+    exp = df.select("id", F.row_number().over(w).alias("row_number"), F.rank().over(wr).alias("rank"),
+                    F.dense_rank().over(wr).alias("dense_rank"), F.lag("cents").over(w).alias("lag_cents"))
+    a = sorted(map(tuple, got.select("id", "row_number", "rank", "dense_rank", "lag_cents").collect()))
+    assert a == sorted(map(tuple, exp.collect()))
