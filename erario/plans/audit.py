@@ -541,3 +541,54 @@ def aggregate_functions(spark, sf_dir):
         # the status domain is small and fixed; collect_set is partial-combined
         F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"),
     )
+
+
+# --------------------------------------------------------------------------
+# §2.9 scalar functions delegated to the SQL engine (string, date, math,
+# conditional). Division by zero is NULL (try_divide), as in SQLite.
+# --------------------------------------------------------------------------
+
+@register("scalar_functions", "§2.9 S5 S6 S10", """
+SELECT o.o_orderkey,
+       substr(c.c_name, 1, 8) AS name8,
+       instr(c.c_name, '#') AS hash_pos,
+       replace(c.c_name, 'Customer', 'C') AS short_name,
+       upper(trim('  ' || lower(c.c_mktsegment) || ' ')) AS segment,
+       printf('%05d', c.c_nationkey) AS nation_code,
+       length(c.c_name) AS name_len,
+       strftime(o.o_orderdate, '%Y-%m-%d') AS order_day,
+       date_diff('day', TIMESTAMP '1995-01-01', o.o_orderdate) AS days_since_1995,
+       strftime(o.o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS due_day,
+       o.o_totalprice / NULLIF(c.c_nationkey, 0) AS price_per_nation_code,
+       o.o_custkey % 7 AS bucket7,
+       CAST(round(CAST(c.c_acctbal AS DECIMAL(18,2)), 1) AS DOUBLE) AS acctbal_1,
+       sqrt(abs(c.c_acctbal)) AS acctbal_sqrt,
+       CASE WHEN c.c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS balance_kind,
+       COALESCE(NULLIF(c.c_mktsegment, 'BUILDING'), 'B') AS segment_or_b
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE o.o_orderdate >= TIMESTAMP '1998-01-01' AND o.o_orderdate < TIMESTAMP '1998-04-01'
+""")
+def scalar_functions(spark, sf_dir):
+    o = (table(spark, sf_dir, "orders").filter(
+        (F.col("o_orderdate") >= _ts("1998-01-01")) & (F.col("o_orderdate") < _ts("1998-04-01")))
+         .select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    return j.select(
+        "o_orderkey",
+        F.substring("c_name", 1, 8).alias("name8"),
+        F.instr("c_name", "#").alias("hash_pos"),
+        F.replace(F.col("c_name"), F.lit("Customer"), F.lit("C")).alias("short_name"),
+        F.upper(F.trim(F.concat(F.lit("  "), F.lower("c_mktsegment"), F.lit(" ")))).alias("segment"),
+        F.format_string("%05d", "c_nationkey").alias("nation_code"),
+        F.length("c_name").alias("name_len"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_day"),
+        F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long").alias("days_since_1995"),
+        F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 30), "yyyy-MM-dd").alias("due_day"),
+        F.try_divide(F.col("o_totalprice"), F.col("c_nationkey").cast("double")).alias("price_per_nation_code"),
+        (F.col("o_custkey") % 7).alias("bucket7"),
+        F.round(money("c_acctbal"), 1).cast("double").alias("acctbal_1"),
+        F.sqrt(F.abs("c_acctbal")).alias("acctbal_sqrt"),
+        F.when(F.col("c_acctbal") < 0, F.lit("debt")).otherwise(F.lit("credit")).alias("balance_kind"),
+        F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("B")).alias("segment_or_b"),
+    )

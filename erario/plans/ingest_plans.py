@@ -264,3 +264,32 @@ def decode_codes(spark, sf_dir):
     return (s.join(n, s.s_nationkey == n.n_nationkey, "left")
             .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
             .select("s_suppkey", "s_nationkey", "n_name", "r_name"))
+
+
+# --------------------------------------------------------------------------
+# Explode with 0-based position (lines of every document)
+# --------------------------------------------------------------------------
+
+@register("explode_lines", "A7", r"""
+SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,
+       unnest(string_split(text, chr(10))) AS line
+FROM documents
+""")
+def explode_lines(spark, sf_dir):
+    """Every line of every document with its 0-based position (``posexplode``,
+    the same operator that numbers the items of a payload)."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+
+
+# --------------------------------------------------------------------------
+# §2.9 json_each: every key/value of a JSON object column
+# --------------------------------------------------------------------------
+
+@register("json_each", "A8 §2.9", """
+SELECT e.event_id, j.key AS key, CAST(j.value AS BIGINT) AS value
+FROM events e, json_each(e.props) j
+""")
+def json_each(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))

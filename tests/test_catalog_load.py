@@ -54,3 +54,22 @@ def test_load_job_idempotent(spark, tmp_root):
     assert cur == {("despesas", "FAILED", 0), ("receitas", "COMPLETED", 1), ("licitacoes", "COMPLETED", 2)}
     q = spark.read.parquet(silver + "/_quarantine").filter(F.col("source") == "despesas")
     assert {r.quarantine_reason for r in q.collect()} == {"non_numeric_money"}
+
+
+def test_budget_execution_on_loaded_expenses(spark, tmp_root):  # C20 + B5
+    from erario.operators.audit import budget_execution
+
+    landing, silver = tmp_root + "/landing", tmp_root + "/silver"
+    land(landing, "r1", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [
+        EXP, dict(EXP, codigo_elemento_despesa="2", valor_empenhado_no_mes=50.0, valor_liquidado_no_mes=25.0,
+                  valor_pago_no_mes=0.0),
+        dict(EXP, codigo_funcao="12", valor_empenhado_no_mes=0.0, valor_liquidado_no_mes=0.0, valor_pago_no_mes=0.0)]}))
+    run_load(spark, landing, silver, sources=["despesas"])
+    d = C.decode_function(spark.read.parquet(silver + "/despesas"))
+    got = {r.funcao: r for r in budget_execution(
+        d, [("empenhado", "valor_empenhado"), ("liquidado", "valor_liquidado"), ("pago", "valor_pago")],
+        keys=["funcao"]).collect()}
+    s = got["Saúde"]
+    assert (s.empenhado, s.liquidado, s.pago) == (150.0, 115.0, 80.0)
+    assert abs(s.liquidado_ratio - 115 / 150) < 1e-12 and abs(s.pago_ratio - 80 / 150) < 1e-12
+    assert got["Educação"].pago_ratio is None  # 0 / 0 -> NULL, not an error
