@@ -566,12 +566,11 @@ SELECT o.o_orderkey,
        CASE WHEN c.c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS balance_kind,
        COALESCE(NULLIF(c.c_mktsegment, 'BUILDING'), 'B') AS segment_or_b
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-WHERE o.o_orderdate >= TIMESTAMP '1998-01-01' AND o.o_orderdate < TIMESTAMP '1998-04-01'
 """)
 def scalar_functions(spark, sf_dir):
-    o = (table(spark, sf_dir, "orders").filter(
-        (F.col("o_orderdate") >= _ts("1998-01-01")) & (F.col("o_orderdate") < _ts("1998-04-01")))
-         .select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"))
+    """String, date, math and conditional functions over every order and its
+    customer."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey)
     return j.select(
