@@ -211,14 +211,19 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[Order], *,
     value, with ``tie_counts``), from which ntile / percent_rank / cume_dist
     follow.
 
-    ``tiebreak`` (default: every other column) makes the order total so
-    ``row_number`` is deterministic.
+    ``tiebreak`` columns make the order total so ``row_number`` is
+    deterministic. By default a row id (``monotonically_increasing_id``,
+    fixed by the checkpoint) is used: besides ordering ties it lets range
+    partitioning split a run of identical rows — a group of copies holding a
+    third of the table is spread over many tasks like any other run.
     """
     by = list(by)
     order_n = _norm_order(order)
     vals = [c for c, _ in order_n]
+    user_cols = list(df.columns)
     if tiebreak is None:
-        tiebreak = [c for c in df.columns if c not in by and c not in vals]
+        df = df.withColumn("_row_id", F.monotonically_increasing_id())
+        tiebreak = ["_row_id"]
     sort_spec = [(b, True) for b in by] + order_n + [(t, True) for t in tiebreak]
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -300,7 +305,7 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[Order], *,
     in_first = F.col("_c_cont") & key.eqNullSafe(F.col("_c_fk"))
     rank = (F.when(in_first & F.col("_c_tcont") & val.eqNullSafe(F.col("_c_fv")), F.col("_c_first_tie_rank"))
             .when(in_first, F.col("_lrank") + F.col("_c_carry_rows")).otherwise(F.col("_lrank")))
-    out = [F.col(c) for c in df.columns]
+    out = [F.col(c) for c in user_cols]
     out += [F.when(in_first, F.col("_lrn") + F.col("_c_carry_rows")).otherwise(F.col("_lrn")).alias("row_number"),
             rank.alias("rank"),
             F.when(in_first, F.col("_ldense") + F.col("_c_carry_dense") - F.col("_c_carry_ties"))
@@ -316,6 +321,7 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[Order], *,
     for c in first:
         out.append(F.when(in_first, F.col(f"_c_carry_first_{c}")).otherwise(F.col(f"_lfirst_{c}")).alias(f"first_{c}"))
     res = d.select(*out)
+    df = df.select(*user_cols)
     if group_counts:
         if by:
             g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"))

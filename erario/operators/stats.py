@@ -31,7 +31,8 @@ def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, ps: Sequence
     """One row per group: ``p50``, ``p90``, ... of ``value`` (NULLs ignored)."""
     by = list(by)
     base = df.select(*by, value, *(tiebreak or [])).filter(F.col(value).isNotNull())
-    ranked = scan(base, by, [value], tiebreak=list(tiebreak or []), group_counts=True)
+    # default tiebreak: a row id, so a group of equal values is split across tasks
+    ranked = scan(base, by, [value], tiebreak=list(tiebreak) if tiebreak else None, group_counts=True)
     pos = F.col("row_number") - 1
     n1 = (F.col("group_rows") - 1).cast("double")
     need = None

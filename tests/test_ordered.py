@@ -67,3 +67,20 @@ def test_scan_string_keys_and_values(spark):
                     F.dense_rank().over(wr).alias("dense_rank"), F.lag("cents").over(w).alias("lag_cents"))
     a = sorted(map(tuple, got.select("id", "row_number", "rank", "dense_rank", "lag_cents").collect()))
     assert a == sorted(map(tuple, exp.collect()))
+
+
+def test_scan_splits_identical_copies(spark):
+    """A third of the rows are identical copies: they must not sit in one
+    partition, and ranks/counts must still be exact."""
+    copies = spark.range(0, 3000).select(F.lit(1).alias("k"), F.lit(7).alias("v"))
+    rest = spark.range(0, 6000).select((F.col("id") % 5 + 1).alias("k"), (F.col("id") % 11).alias("v"))
+    df = copies.unionByName(rest)
+    got = scan(df, ["k"], ["v"], group_counts=True, tie_counts=True, num_partitions=8)
+    per_part = got.filter("k = 1 AND v = 7").select(F.spark_partition_id().alias("p")).distinct().count()
+    wr = Window.partitionBy("k").orderBy("v")
+    exp = df.select("k", "v", F.rank().over(wr).alias("rank"), F.dense_rank().over(wr).alias("dense_rank"))
+    a = sorted(map(tuple, got.select("k", "v", "rank", "dense_rank").collect()))
+    assert a == sorted(map(tuple, exp.collect()))
+    rn = sorted(r[0] for r in got.filter("k = 1").select("row_number").collect())
+    assert rn == list(range(1, len(rn) + 1))
+    assert per_part > 1
