@@ -72,3 +72,9 @@ def test_truncate_and_brl(spark):
     assert _one(spark, lambda c: X.truncate_marked(c, 5), ["abcdefgh", "abc"]) == ["abcde... [TRUNCATED]", "abc"]
     got = _one(spark, X.format_brl, [1000.0, -50000.0, 0.5, 1234567.891, -0.004], "double")
     assert got == ["R$ 1.000,00", "-R$ 50.000,00", "R$ 0,50", "R$ 1.234.567,89", "R$ 0,00"]
+
+
+def test_fold_is_idempotent(spark):
+    vals = ["Saúde Pública", "ÆØÅ ß", "Ação", "plain"]
+    once = _one(spark, X.accent_fold, vals)
+    assert _one(spark, X.accent_fold, once) == once
