@@ -360,4 +360,59 @@ def ingest_expenses(spark, sf_dir):
     from erario.operators.ingest import ingest
 
     rows = ingest(expense_payloads(spark, sf_dir), "despesas")
-    return rows.drop("raw_data", "run_id", "month", "pos")
+    return rows.drop("raw_data", "run_id", "month", "path", "pos")
+
+
+def tender_payloads(spark, sf_dir):
+    """Stand-in landed tender responses built from ``orders``: one tender per
+    order (the customer as tender number, so numbers repeat within a year),
+    one response per (priority as municipality, year, month, chunk of at most
+    ~1,000 items), as a bare list or as ``{"data": [...]}``."""
+    o = table(spark, sf_dir, "orders")
+    key = [F.col("o_orderpriority").alias("municipio_id"), F.year("o_orderdate").alias("year"),
+           F.month("o_orderdate").alias("month")]
+    o = o.select(*key, "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
+    n = o.groupBy("municipio_id", "year", "month").agg(F.count(F.lit(1)).alias("_n"))
+    o = o.join(n, ["municipio_id", "year", "month"])
+    o = o.withColumn("chunk", F.col("o_orderkey") % F.greatest(F.lit(1), F.ceil(F.col("_n") / MAX_ITEMS_PER_PAYLOAD)))
+    item = F.struct(F.col("o_custkey").cast("string").alias("numero_licitacao"),
+                    F.col("o_orderkey").cast("string").alias("numero_processo_licitatorio"),
+                    F.col("o_orderstatus").alias("objeto_licitacao"),
+                    F.col("o_orderpriority").alias("modalidade_licitacao"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("data_realizacao_licitacao"),
+                    F.col("o_totalprice").alias("valor_licitacao"),
+                    F.col("o_orderstatus").alias("situacao_licitacao"))
+    g = o.groupBy("municipio_id", "year", "month", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("o_orderkey"), item.alias("item")))).alias("_rows"))
+    items = F.transform("_rows", lambda r: r["item"])
+    body = F.when(F.col("month") % 2 == 0, F.to_json(items)).otherwise(F.to_json(F.struct(items.alias("data"))))
+    return g.select(F.lit("r1").alias("run_id"), F.lit("licitacoes").alias("source"), "municipio_id", "year",
+                    "month", F.lit(200).alias("http_status"), body.alias("body"),
+                    F.concat(F.lit("chunk-"), F.lpad(F.col("chunk").cast("string"), 6, "0")).alias("path"))
+
+
+@register("ingest_tenders", "A5 A7 A12 A13 A15 F11", f"""
+WITH o AS (
+  SELECT *, COUNT(*) OVER (PARTITION BY o_orderpriority, year(o_orderdate), month(o_orderdate)) AS n FROM orders),
+p AS (SELECT *, o_orderkey % greatest(1, CAST(ceil(n / {MAX_ITEMS_PER_PAYLOAD}.0) AS BIGINT)) AS chunk FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, year(o_orderdate), month(o_orderdate), chunk
+                                   ORDER BY o_orderkey) - 1 AS pos FROM p),
+k AS (SELECT *, o_orderpriority || '_' || CAST(o_custkey AS VARCHAR) || '_' || strftime(o_orderdate, '%Y') AS id FROM r),
+w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY month(o_orderdate) DESC, chunk DESC, pos DESC) AS rn FROM k)
+SELECT id, o_orderpriority AS municipio_id, CAST(o_custkey AS VARCHAR) AS numero_licitacao,
+       CAST(o_orderkey AS VARCHAR) AS numero_processo, o_orderstatus AS objeto_licitacao,
+       o_orderpriority AS modalidade_licitacao, strftime(o_orderdate, '%Y-%m-%d') AS data_realizacao_licitacao,
+       o_totalprice AS valor_estimado, o_orderstatus AS situacao_licitacao,
+       strftime(o_orderdate, '%Y') AS exercicio_orcamento
+FROM w WHERE rn = 1
+""")
+def ingest_tenders(spark, sf_dir):
+    """The tender ingest (list / ``data`` envelopes, lossy ``municipio_numero_ano``
+    key) followed by INSERT-OR-REPLACE semantics: per id the last month, file
+    and position wins (``upsert_latest``)."""
+    from erario.operators.ingest import ingest, valid
+    from erario.operators.upsert import upsert_latest
+
+    rows = valid(ingest(tender_payloads(spark, sf_dir), "licitacoes"))
+    latest = upsert_latest(None, rows, ["id"], ["run_id", "month", "path", "pos"], stamp=None)
+    return latest.drop("raw_data", "run_id", "month", "path", "pos")
