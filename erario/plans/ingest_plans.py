@@ -416,3 +416,55 @@ def ingest_tenders(spark, sf_dir):
     rows = valid(ingest(tender_payloads(spark, sf_dir), "licitacoes"))
     latest = upsert_latest(None, rows, ["id"], ["run_id", "month", "path", "pos"], stamp=None)
     return latest.drop("raw_data", "run_id", "month", "path", "pos")
+
+
+def revenue_payloads(spark, sf_dir):
+    """Stand-in landed revenue responses built from ``events``: one revenue
+    item per event (its JSON ``props`` text as the description), one response
+    per (user as municipality, year, month, chunk of at most ~1,000 items),
+    in one of the three finance envelopes."""
+    e = table(spark, sf_dir, "events")
+    key = [F.col("user_id").cast("string").alias("municipio_id"), F.year("ts").alias("year"),
+           F.month("ts").alias("month")]
+    e = e.select(*key, "event_id", "event_type", "value", "props")
+    n = e.groupBy("municipio_id", "year", "month").agg(F.count(F.lit(1)).alias("_n"))
+    e = e.join(n, ["municipio_id", "year", "month"])
+    e = e.withColumn("chunk", F.col("event_id") % F.greatest(F.lit(1), F.ceil(F.col("_n") / MAX_ITEMS_PER_PAYLOAD)))
+    item = F.struct(F.lit("01").alias("codigo_orgao"), F.col("municipio_id").alias("codigo_unidade_orcamentaria"),
+                    F.col("event_type").alias("codigo_receita"), F.col("props").alias("descricao_receita"),
+                    F.col("value").alias("valor_previsto_arrecadacao"),
+                    F.col("value").alias("valor_arrecadado_no_mes"))
+    g = e.groupBy("municipio_id", "year", "month", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("event_id"), item.alias("item")))).alias("_rows"))
+    items = F.transform("_rows", lambda r: r["item"])
+    env = (F.col("municipio_id").cast("long") + F.col("chunk")) % 3
+    body = (F.when(env == 0, F.to_json(F.struct(F.struct(items.alias("_content")).alias("rsp"))))
+            .when(env == 1, F.to_json(F.struct(items.alias("balancete_receita_orcamentaria"))))
+            .otherwise(F.to_json(F.struct(F.array().cast("array<string>").alias("data"), items.alias("rows")))))
+    return g.select(F.lit("r1").alias("run_id"), F.lit("receitas").alias("source"), "municipio_id", "year",
+                    "month", F.lit(200).alias("http_status"), body.alias("body"),
+                    F.concat(F.lit("chunk-"), F.lpad(F.col("chunk").cast("string"), 6, "0")).alias("path"))
+
+
+@register("ingest_revenue", "A6 A7 A12 A13 A14", f"""
+WITH e AS (
+  SELECT *, COUNT(*) OVER (PARTITION BY user_id, year(ts), month(ts)) AS n FROM events),
+p AS (SELECT *, event_id % greatest(1, CAST(ceil(n / {MAX_ITEMS_PER_PAYLOAD}.0) AS BIGINT)) AS chunk FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, year(ts), month(ts), chunk ORDER BY event_id) - 1 AS pos FROM p)
+SELECT concat_ws('_', CAST(user_id AS VARCHAR), strftime(ts, '%Y%m'), event_type, CAST(value AS VARCHAR),
+                 CAST(pos AS VARCHAR)) AS id,
+       CAST(user_id AS VARCHAR) AS municipio_id, strftime(ts, '%Y') AS exercicio_orcamento,
+       strftime(ts, '%Y%m') AS mes_referencia, '01' AS codigo_orgao,
+       CAST(user_id AS VARCHAR) AS codigo_unidade_orcamentaria, event_type AS codigo_receita,
+       props AS descricao_receita, value AS valor_orcado, value AS valor_arrecadado,
+       CAST(NULL AS VARCHAR) AS quarantine_reason
+FROM r
+""")
+def ingest_revenue(spark, sf_dir):
+    """The revenue ingest (``rsp._content``, ``balancete_receita_orcamentaria``
+    and ``rows``-after-empty-``data`` envelopes, renamed money fields, keys
+    with the collected value) over landed responses built from ``events``."""
+    from erario.operators.ingest import ingest
+
+    rows = ingest(revenue_payloads(spark, sf_dir), "receitas")
+    return rows.drop("raw_data", "run_id", "month", "path", "pos")
