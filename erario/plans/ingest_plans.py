@@ -306,11 +306,12 @@ MAX_ITEMS_PER_PAYLOAD = 1000
 
 def expense_payloads(spark, sf_dir):
     """Stand-in landed responses built from ``lineitem``: one expense item per
-    line, one response per (supplier as municipality, year, month, chunk) with
-    at most ~1,000 items, wrapped in one of the three envelopes the finance
-    feed uses. Only rows in the payload schema; the ingest does the work."""
+    line, one response per (return flag + line status as municipality, year,
+    month, chunk) with at most ~1,000 items, wrapped in one of the three
+    envelopes the finance feed uses. Only rows in the payload schema; the
+    ingest does the work."""
     li = table(spark, sf_dir, "lineitem")
-    key = [F.col("l_suppkey").cast("string").alias("municipio_id"),
+    key = [F.concat("l_returnflag", "l_linestatus").alias("municipio_id"),
            F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")]
     li = li.select(*key, *_ITEM_ORDER)
     n = li.groupBy("municipio_id", "year", "month").agg(F.count(F.lit(1)).alias("_n"))
@@ -339,13 +340,15 @@ def expense_payloads(spark, sf_dir):
 
 @register("ingest_expenses", "A4 A5 A6 A7 A12 A13 A14 A10", f"""
 WITH li AS (
-  SELECT *, COUNT(*) OVER (PARTITION BY l_suppkey, year(l_shipdate), month(l_shipdate)) AS n FROM lineitem),
+  SELECT *, l_returnflag || l_linestatus AS muni,
+         COUNT(*) OVER (PARTITION BY l_returnflag || l_linestatus, year(l_shipdate), month(l_shipdate)) AS n
+  FROM lineitem),
 p AS (SELECT *, l_orderkey % greatest(1, CAST(ceil(n / {MAX_ITEMS_PER_PAYLOAD}.0) AS BIGINT)) AS chunk FROM li),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, year(l_shipdate), month(l_shipdate), chunk
+r AS (SELECT *, row_number() OVER (PARTITION BY muni, year(l_shipdate), month(l_shipdate), chunk
                                    ORDER BY {", ".join(_ITEM_ORDER)}) - 1 AS pos FROM p)
-SELECT concat_ws('_', CAST(l_suppkey AS VARCHAR), strftime(l_shipdate, '%Y%m'), CAST(l_linenumber AS VARCHAR),
+SELECT concat_ws('_', muni, strftime(l_shipdate, '%Y%m'), CAST(l_linenumber AS VARCHAR),
                  CAST(l_quantity AS VARCHAR), CAST(pos AS VARCHAR)) AS id,
-       CAST(l_suppkey AS VARCHAR) AS municipio_id, strftime(l_shipdate, '%Y') AS exercicio_orcamento,
+       muni AS municipio_id, strftime(l_shipdate, '%Y') AS exercicio_orcamento,
        strftime(l_shipdate, '%Y%m') AS mes_referencia, l_returnflag AS codigo_orgao,
        l_linestatus AS codigo_unidade_orcamentaria, CAST(l_suppkey AS VARCHAR) AS codigo_funcao,
        CAST(l_partkey AS VARCHAR) AS codigo_subfuncao, CAST(l_orderkey AS VARCHAR) AS codigo_programa,
