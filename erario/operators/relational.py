@@ -1,7 +1,7 @@
 """Joins and set operations with explicit NULL and scale semantics.
 
 * ``not_in`` reproduces SQL ``NOT IN (subquery)`` (three-valued logic) with a
-  shuffle anti join plus two scalar subqueries. Spark plans a raw ``NOT IN``
+  shuffle anti join plus one scalar subquery (row and NULL counts). Spark plans a raw ``NOT IN``
   either as a broadcast null-aware anti join (only when the subquery side is
   small) or as a nested-loop join, which does not survive a large subquery.
 * ``band_join`` answers ``|l - r| <= width`` (optionally within equal keys)
@@ -24,11 +24,12 @@ def not_in(outer: DataFrame, outer_key: str, inner: DataFrame, inner_key: str) -
     outer key qualifies only when the subquery is empty.
     """
     keys = inner.select(F.col(inner_key).alias("_k"))
-    n_null = keys.filter(F.col("_k").isNull()).select(F.count(F.lit(1))).scalar()
-    n_all = keys.select(F.count(F.lit(1))).scalar()
+    # one pass over the subquery for both facts SQL's three-valued logic needs
+    stats = keys.select(F.struct(F.count(F.lit(1)).alias("n_all"),
+                                 F.count_if(F.col("_k").isNull()).alias("n_null")).alias("s")).scalar()
     anti = outer.join(keys.filter(F.col("_k").isNotNull()),
                       F.col(outer_key) == F.col("_k"), "left_anti")
-    return anti.filter((n_null == 0) & (F.col(outer_key).isNotNull() | (n_all == 0)))
+    return anti.filter((stats["n_null"] == 0) & (F.col(outer_key).isNotNull() | (stats["n_all"] == 0)))
 
 
 def not_exists(outer: DataFrame, inner: DataFrame, on) -> DataFrame:

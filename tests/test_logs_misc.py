@@ -90,3 +90,15 @@ def test_month_helpers(spark):
     rows = df.select(month_bounds("y", "m").alias("b"), normalize_month_ref("mes", "ano").alias("r")).collect()
     assert rows[0].b.start_end == "2024-02-01_2024-02-29" and rows[1].b.start_end == "2023-02-01_2023-02-28"
     assert [r.r for r in rows] == ["202402", "202312", "202407", None]
+
+
+def test_not_in_three_valued_logic(spark):
+    from erario.operators.relational import not_in
+
+    outer = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    inner = spark.createDataFrame([(2,)], "k int")
+    assert sorted(r.k for r in not_in(outer, "k", inner, "k").collect()) == [1]
+    with_null = spark.createDataFrame([(2,), (None,)], "k int")
+    assert not_in(outer, "k", with_null, "k").count() == 0
+    empty = spark.createDataFrame([], "k int")
+    assert sorted((r.k is None, r.k) for r in not_in(outer, "k", empty, "k").collect()) == [(False, 1), (False, 2), (True, None)]
