@@ -103,3 +103,13 @@ def test_invalid_json_quarantined(spark, tmp_root):
     land(tmp_root, "r1", "receitas", "0162", 2024, 1, 200, "{not json")
     rows = _rows(spark, tmp_root, "receitas").collect()
     assert [r.quarantine_reason for r in rows] == ["invalid_json"]
+
+
+def test_municipio_code_keeps_leading_zero_with_inference_on(spark, tmp_root):
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "true")
+    try:
+        land(tmp_root, "r1", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [EXP]}))
+        rows = _rows(spark, tmp_root, "despesas").collect()
+        assert [r.municipio_id for r in rows] == ["0162"] and rows[0].id.startswith("0162_202401_")
+    finally:
+        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
