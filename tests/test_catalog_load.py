@@ -73,3 +73,21 @@ def test_budget_execution_on_loaded_expenses(spark, tmp_root):  # C20 + B5
     assert (s.empenhado, s.liquidado, s.pago) == (150.0, 115.0, 80.0)
     assert abs(s.liquidado_ratio - 115 / 150) < 1e-12 and abs(s.pago_ratio - 80 / 150) < 1e-12
     assert got["Educação"].pago_ratio is None  # 0 / 0 -> NULL, not an error
+
+
+def test_upsert_load_reads_back_codes_as_text(spark, tmp_root):
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "true")
+    try:
+        landing, silver = tmp_root + "/landing", tmp_root + "/silver"
+        land(landing, "r1", "licitacoes", "0162", 2024, 1, 200, json.dumps([{"numero_licitacao": "A", "valor_licitacao": 1.0}]))
+        run_load(spark, landing, silver, sources=["licitacoes"])
+        land(tmp_root + "/landing2", "r2", "licitacoes", "0162", 2024, 2, 200,
+             json.dumps([{"numero_licitacao": "A", "valor_licitacao": 2.0}, {"numero_licitacao": "B", "valor_licitacao": 3.0}]))
+        run_load(spark, tmp_root + "/landing2", silver, sources=["licitacoes"])
+        from erario.operators.load import PARTITIONS  # noqa: F401
+        t = spark.read.schema("id string, valor_estimado double, municipio_id string, exercicio_orcamento string") \
+            .parquet(silver + "/licitacoes").collect()
+        assert sorted((r.id, r.valor_estimado, r.municipio_id) for r in t) == [
+            ("0162_A_2024", 2.0, "0162"), ("0162_B_2024", 3.0, "0162")]
+    finally:
+        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
