@@ -304,19 +304,27 @@ _ITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipda
 MAX_ITEMS_PER_PAYLOAD = 1000
 
 
+def _chunked(df, group, order):
+    """Number rows within each response group by the item order (skew-safe
+    ordered scan) and cut the group into chunks of MAX_ITEMS_PER_PAYLOAD: no
+    response holds more, however many rows one group has."""
+    from erario.operators.ordered import scan
+
+    r = scan(df, group, order, tiebreak=[])
+    return r.withColumn("chunk", F.floor((F.col("row_number") - 1) / MAX_ITEMS_PER_PAYLOAD).cast("long"))
+
+
 def expense_payloads(spark, sf_dir):
     """Stand-in landed responses built from ``lineitem``: one expense item per
     line, one response per (return flag + line status as municipality, year,
-    month, chunk) with at most ~1,000 items, wrapped in one of the three
-    envelopes the finance feed uses. Only rows in the payload schema; the
-    ingest does the work."""
+    month, chunk of at most 1,000 items in item order), wrapped in one of the
+    three envelopes the finance feed uses. Only rows in the payload schema;
+    the ingest does the work."""
     li = table(spark, sf_dir, "lineitem")
     key = [F.concat("l_returnflag", "l_linestatus").alias("municipio_id"),
            F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")]
     li = li.select(*key, *_ITEM_ORDER)
-    n = li.groupBy("municipio_id", "year", "month").agg(F.count(F.lit(1)).alias("_n"))
-    li = li.join(n, ["municipio_id", "year", "month"])
-    li = li.withColumn("chunk", F.col("l_orderkey") % F.greatest(F.lit(1), F.ceil(F.col("_n") / MAX_ITEMS_PER_PAYLOAD)))
+    li = _chunked(li, ["municipio_id", "year", "month"], _ITEM_ORDER)
     item = F.struct(F.col("l_returnflag").alias("codigo_orgao"),
                     F.col("l_linestatus").alias("codigo_unidade_orcamentaria"),
                     F.col("l_suppkey").cast("string").alias("codigo_funcao"),
@@ -339,13 +347,10 @@ def expense_payloads(spark, sf_dir):
 
 
 @register("ingest_expenses", "A4 A5 A6 A7 A12 A13 A14 A10", f"""
-WITH li AS (
-  SELECT *, l_returnflag || l_linestatus AS muni,
-         COUNT(*) OVER (PARTITION BY l_returnflag || l_linestatus, year(l_shipdate), month(l_shipdate)) AS n
-  FROM lineitem),
-p AS (SELECT *, l_orderkey % greatest(1, CAST(ceil(n / {MAX_ITEMS_PER_PAYLOAD}.0) AS BIGINT)) AS chunk FROM li),
-r AS (SELECT *, row_number() OVER (PARTITION BY muni, year(l_shipdate), month(l_shipdate), chunk
-                                   ORDER BY {", ".join(_ITEM_ORDER)}) - 1 AS pos FROM p)
+WITH li AS (SELECT *, l_returnflag || l_linestatus AS muni FROM lineitem),
+q AS (SELECT *, row_number() OVER (PARTITION BY muni, year(l_shipdate), month(l_shipdate)
+                                   ORDER BY {", ".join(_ITEM_ORDER)}) - 1 AS q FROM li),
+r AS (SELECT *, q % {MAX_ITEMS_PER_PAYLOAD} AS pos FROM q)
 SELECT concat_ws('_', muni, strftime(l_shipdate, '%Y%m'), CAST(l_linenumber AS VARCHAR),
                  CAST(l_quantity AS VARCHAR), CAST(pos AS VARCHAR)) AS id,
        muni AS municipio_id, strftime(l_shipdate, '%Y') AS exercicio_orcamento,
@@ -370,14 +375,12 @@ def tender_payloads(spark, sf_dir):
     """Stand-in landed tender responses built from ``orders``: one tender per
     order (the customer as tender number, so numbers repeat within a year),
     one response per (priority as municipality, year, month, chunk of at most
-    ~1,000 items), as a bare list or as ``{"data": [...]}``."""
+    1,000 items), as a bare list or as ``{"data": [...]}``."""
     o = table(spark, sf_dir, "orders")
     key = [F.col("o_orderpriority").alias("municipio_id"), F.year("o_orderdate").alias("year"),
            F.month("o_orderdate").alias("month")]
     o = o.select(*key, "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
-    n = o.groupBy("municipio_id", "year", "month").agg(F.count(F.lit(1)).alias("_n"))
-    o = o.join(n, ["municipio_id", "year", "month"])
-    o = o.withColumn("chunk", F.col("o_orderkey") % F.greatest(F.lit(1), F.ceil(F.col("_n") / MAX_ITEMS_PER_PAYLOAD)))
+    o = _chunked(o, ["municipio_id", "year", "month"], ["o_orderkey"])
     item = F.struct(F.col("o_custkey").cast("string").alias("numero_licitacao"),
                     F.col("o_orderkey").cast("string").alias("numero_processo_licitatorio"),
                     F.col("o_orderstatus").alias("objeto_licitacao"),
@@ -395,11 +398,9 @@ def tender_payloads(spark, sf_dir):
 
 
 @register("ingest_tenders", "A5 A7 A12 A13 A15 F11", f"""
-WITH o AS (
-  SELECT *, COUNT(*) OVER (PARTITION BY o_orderpriority, year(o_orderdate), month(o_orderdate)) AS n FROM orders),
-p AS (SELECT *, o_orderkey % greatest(1, CAST(ceil(n / {MAX_ITEMS_PER_PAYLOAD}.0) AS BIGINT)) AS chunk FROM o),
-r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, year(o_orderdate), month(o_orderdate), chunk
-                                   ORDER BY o_orderkey) - 1 AS pos FROM p),
+WITH q AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, year(o_orderdate), month(o_orderdate)
+                                        ORDER BY o_orderkey) - 1 AS q FROM orders),
+r AS (SELECT *, q // {MAX_ITEMS_PER_PAYLOAD} AS chunk, q % {MAX_ITEMS_PER_PAYLOAD} AS pos FROM q),
 k AS (SELECT *, o_orderpriority || '_' || CAST(o_custkey AS VARCHAR) || '_' || strftime(o_orderdate, '%Y') AS id FROM r),
 w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY month(o_orderdate) DESC, chunk DESC, pos DESC) AS rn FROM k)
 SELECT id, o_orderpriority AS municipio_id, CAST(o_custkey AS VARCHAR) AS numero_licitacao,
@@ -424,15 +425,13 @@ def ingest_tenders(spark, sf_dir):
 def revenue_payloads(spark, sf_dir):
     """Stand-in landed revenue responses built from ``events``: one revenue
     item per event (its JSON ``props`` text as the description), one response
-    per (user as municipality, year, month, chunk of at most ~1,000 items),
+    per (user as municipality, year, month, chunk of at most 1,000 items),
     in one of the three finance envelopes."""
     e = table(spark, sf_dir, "events")
     key = [F.col("user_id").cast("string").alias("municipio_id"), F.year("ts").alias("year"),
            F.month("ts").alias("month")]
     e = e.select(*key, "event_id", "event_type", "value", "props")
-    n = e.groupBy("municipio_id", "year", "month").agg(F.count(F.lit(1)).alias("_n"))
-    e = e.join(n, ["municipio_id", "year", "month"])
-    e = e.withColumn("chunk", F.col("event_id") % F.greatest(F.lit(1), F.ceil(F.col("_n") / MAX_ITEMS_PER_PAYLOAD)))
+    e = _chunked(e, ["municipio_id", "year", "month"], ["event_id"])
     item = F.struct(F.lit("01").alias("codigo_orgao"), F.col("municipio_id").alias("codigo_unidade_orcamentaria"),
                     F.col("event_type").alias("codigo_receita"), F.col("props").alias("descricao_receita"),
                     F.col("value").alias("valor_previsto_arrecadacao"),
@@ -450,10 +449,9 @@ def revenue_payloads(spark, sf_dir):
 
 
 @register("ingest_revenue", "A6 A7 A12 A13 A14", f"""
-WITH e AS (
-  SELECT *, COUNT(*) OVER (PARTITION BY user_id, year(ts), month(ts)) AS n FROM events),
-p AS (SELECT *, event_id % greatest(1, CAST(ceil(n / {MAX_ITEMS_PER_PAYLOAD}.0) AS BIGINT)) AS chunk FROM e),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, year(ts), month(ts), chunk ORDER BY event_id) - 1 AS pos FROM p)
+WITH q AS (SELECT *, row_number() OVER (PARTITION BY user_id, year(ts), month(ts) ORDER BY event_id) - 1 AS q
+           FROM events),
+r AS (SELECT *, q % {MAX_ITEMS_PER_PAYLOAD} AS pos FROM q)
 SELECT concat_ws('_', CAST(user_id AS VARCHAR), strftime(ts, '%Y%m'), event_type, CAST(value AS VARCHAR),
                  CAST(pos AS VARCHAR)) AS id,
        CAST(user_id AS VARCHAR) AS municipio_id, strftime(ts, '%Y') AS exercicio_orcamento,
