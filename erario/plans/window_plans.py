@@ -152,7 +152,7 @@ _PS = (0.5, 0.9, 0.99)
 
 
 def _pct_sql(p):
-    h = f"((n - 1) * {p})"
+    h = f"(CAST(n - 1 AS DOUBLE) * CAST({p} AS DOUBLE))"
     return (f"MAX(CASE WHEN rn - 1 = floor({h}) THEN value END) + ({h} - floor({h})) * "
             f"(MAX(CASE WHEN rn - 1 = ceil({h}) THEN value END) - MAX(CASE WHEN rn - 1 = floor({h}) THEN value END))")
 

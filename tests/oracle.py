@@ -1,8 +1,9 @@
 """Spark-vs-DuckDB comparison used by the tests and ``tools/check_oracles.py``.
 
 Mirrors the driver's gate: same column names, same row count, and the same
-multiset of rows (order-insensitive). Floats are compared after rounding to
-9 significant digits; everything else as text.
+multiset of rows (order-insensitive). Floats are compared exactly (the
+library sums money in decimal and keeps float arithmetic in the same order as
+the SQL), everything else as text.
 """
 
 from __future__ import annotations
@@ -28,9 +29,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        if v == 0:
-            return "0"
-        return f"{v:.9g}"
+        return repr(v + 0.0)  # exact: -0.0 and 0.0 compare equal
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     if hasattr(v, "isoformat"):
