@@ -349,7 +349,7 @@ def ntile(n: int, row_number: Column | str = "row_number", group_rows: Column |
     rem = g % n
     big = rem * (q + 1)
     return F.when(r <= big, F.floor((r - 1) / (q + 1)) + 1).otherwise(
-        rem + F.floor((r - big - 1) / q) + 1).cast("int")
+        rem + F.floor((r - big - 1) / q) + 1).cast("long")
 
 
 def percent_rank(rank: str = "rank", group_rows: str = "group_rows") -> Column:

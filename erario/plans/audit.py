@@ -551,11 +551,11 @@ def aggregate_functions(spark, sf_dir):
 @register("scalar_functions", "§2.9 S5 S6 S10", """
 SELECT o.o_orderkey,
        substr(c.c_name, 1, 8) AS name8,
-       instr(c.c_name, '#') AS hash_pos,
+       CAST(instr(c.c_name, '#') AS INTEGER) AS hash_pos,
        replace(c.c_name, 'Customer', 'C') AS short_name,
        upper(trim('  ' || lower(c.c_mktsegment) || ' ')) AS segment,
        printf('%05d', c.c_nationkey) AS nation_code,
-       length(c.c_name) AS name_len,
+       CAST(length(c.c_name) AS INTEGER) AS name_len,
        strftime(o.o_orderdate, '%Y-%m-%d') AS order_day,
        date_diff('day', TIMESTAMP '1995-01-01', o.o_orderdate) AS days_since_1995,
        strftime(o.o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS due_day,

@@ -97,7 +97,7 @@ def surrogate_keys(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 @register("json_extract", "A8", """
-SELECT event_type, COUNT(*) AS n_events, SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS sum_k,
+SELECT event_type, COUNT(*) AS n_events, CAST(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k,
        MAX(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS max_k
 FROM events GROUP BY event_type
 """)
@@ -119,9 +119,9 @@ _NUM_RE = NUMERIC_TEXT.replace("\\s", "[ \\t\\n\\r]")
 WITH t AS (
   SELECT l_returnflag, CAST(l_extendedprice AS VARCHAR) AS plain, format('{{:,.2f}}', l_extendedprice) AS grouped FROM lineitem)
 SELECT l_returnflag,
-       SUM(CASE WHEN regexp_matches(plain, '{_NUM_RE}') THEN 1 ELSE 0 END) AS n_plain_ok,
-       SUM(CASE WHEN regexp_matches(grouped, '{_NUM_RE}') THEN 1 ELSE 0 END) AS n_grouped_ok,
-       SUM(CASE WHEN regexp_matches(grouped, '{_NUM_RE}') THEN 0 ELSE 1 END) AS n_quarantined,
+       CAST(SUM(CASE WHEN regexp_matches(plain, '{_NUM_RE}') THEN 1 ELSE 0 END) AS BIGINT) AS n_plain_ok,
+       CAST(SUM(CASE WHEN regexp_matches(grouped, '{_NUM_RE}') THEN 1 ELSE 0 END) AS BIGINT) AS n_grouped_ok,
+       CAST(SUM(CASE WHEN regexp_matches(grouped, '{_NUM_RE}') THEN 0 ELSE 1 END) AS BIGINT) AS n_quarantined,
        CAST(SUM(CAST(TRY_CAST(trim(plain) AS DOUBLE) AS DECIMAL(18,2))) AS DOUBLE) AS plain_total
 FROM t GROUP BY l_returnflag
 """)
@@ -199,7 +199,7 @@ def record_count(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 @register("pending_tasks", "A19", """
-WITH y AS (SELECT unnest(generate_series(min(year(o_orderdate)), max(year(o_orderdate)))) AS year FROM orders),
+WITH y AS (SELECT CAST(unnest(generate_series(min(year(o_orderdate)), max(year(o_orderdate)))) AS INTEGER) AS year FROM orders),
 done AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS year FROM orders WHERE o_orderstatus = 'F')
 SELECT c.c_custkey, y.year FROM customer c CROSS JOIN y
 WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.o_custkey = c.c_custkey AND d.year = y.year)
@@ -271,7 +271,7 @@ def decode_codes(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 @register("explode_lines", "A7", r"""
-SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos,
+SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS pos,
        unnest(string_split(text, chr(10))) AS line
 FROM documents
 """)

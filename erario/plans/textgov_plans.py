@@ -13,7 +13,7 @@ from erario.plans.registry import register
 from erario.sources.tables import table
 
 _SENSOR_SQL = ",\n       ".join(
-    f"SUM(len(regexp_extract_all(text, '{X._sql_str(p)}'))) AS n_{n}" for n, p, _ in X.REDACTION_RULES)
+    f"CAST(SUM(len(regexp_extract_all(text, '{X._sql_str(p)}'))) AS BIGINT) AS n_{n}" for n, p, _ in X.REDACTION_RULES)
 _VERDICT_SQL, _HITS_SQL = X.screen_sql("text")
 
 
@@ -27,7 +27,7 @@ def accent_fold_q(spark, sf_dir):
 
 @register("accent_search", "B4 B3", """
 SELECT lang, COUNT(*) AS n_docs,
-       SUM(CASE WHEN contains(lower(strip_accents(text)), 'ete') THEN 1 ELSE 0 END) AS n_match
+       CAST(SUM(CASE WHEN contains(lower(strip_accents(text)), 'ete') THEN 1 ELSE 0 END) AS BIGINT) AS n_match
 FROM documents GROUP BY lang
 """)
 def accent_search(spark, sf_dir):
@@ -89,8 +89,8 @@ def last_context_free_turn(spark, sf_dir):
 
 @register("statement_check", "T7", """
 SELECT role, COUNT(*) AS n_messages,
-       SUM(CASE WHEN starts_with(upper(regexp_replace(text, '^[\\s ]+|[\\s ]+$', '', 'g')), 'SELECT')
-                THEN 1 ELSE 0 END) AS n_select
+       CAST(SUM(CASE WHEN starts_with(upper(regexp_replace(text, '^[\\s ]+|[\\s ]+$', '', 'g')), 'SELECT')
+                THEN 1 ELSE 0 END) AS BIGINT) AS n_select
 FROM conversations GROUP BY role
 """)
 def statement_check(spark, sf_dir):
