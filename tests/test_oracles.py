@@ -27,6 +27,11 @@ def test_every_query_has_an_oracle_or_is_listed():
     assert len(QUERIES) >= 50
 
 
+# Spark type -> DuckDB type name, for the schema part of the gate
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
@@ -35,3 +40,8 @@ def test_query_matches_oracle(spark, con, name):
         return
     ok, msg = compare(df, con, ORACLES[name])
     assert ok, msg
+    rel = con.sql(ORACLES[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types
