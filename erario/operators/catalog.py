@@ -109,7 +109,7 @@ def list_tables(spark: SparkSession, database: str = "audit") -> DataFrame:
 
 def table_definition(spark: SparkSession, name: str, database: str = "audit") -> str | None:
     """B2: the table's DDL with its comments, or None when absent."""
-    if not spark.catalog.tableExists(name, database):
+    if not spark.catalog.tableExists(f"{database}.{name}"):
         return None
     return spark.sql(f"SHOW CREATE TABLE `{database}`.`{name}`").first()[0]
 
