@@ -58,11 +58,40 @@ def get_spark(app: str = "erario", master: str | None = None,
 
 
 def apply_defaults(spark: SparkSession) -> None:
-    """Set library defaults only where the session leaves them unset."""
+    """Set library defaults only where the session leaves them unset, and make
+    the package importable by the Python workers."""
     for k, v in _DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     checkpoint_dir(spark)
+    ship_package(spark)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (``addPyFile``), once
+    per SparkContext. Python tasks (the ordered scan's ``mapInPandas``) import
+    it there; the driver's own ``sys.path`` is not seen by the workers."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="erario-pyfiles-"), "erario.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
