@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, quality, urlfilter, vectors
+from . import chat, htmltext, langid, linededup, mixing, packing, quality, urlfilter, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,23 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# ------------------------------------------------------------- page extraction
+
+@register("op2_page_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+# ------------------------------------------------------------------ line dedup
+
+@register("op5_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeated runs of lines."""
+    docs = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", "text")
+
+
 # ---------------------------------------------------------------- URL filters
 
 #: The contract's rules: hosts with all subdomains, path prefixes (fixed values).
