@@ -10,8 +10,11 @@ the last tokens, at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,30 +30,78 @@ OPEN = 32
 MIN_CUT = 8
 END_ID = 1
 MERGE = 8
-_CACHED_WORDS = 300_000
+_CACHED = 400_000
+_PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_WHOLE = re.compile("['\u0130\u03a3]|<\\|")
+#: White space to ``str.split`` but not to the tokenizer.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class _Cache(dict):
+    """A dict that computes what it lacks and starts afresh when it is full."""
+
+    def __init__(self, compute: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.compute, self.most = compute, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.compute(key)
+        return value
+
+
 class WordTokenizer:
-    """Token ids as little-endian uint32 bytes. The vocabulary's tokenizer
-    splits at white space first, so a text's ids are its words' ids in order;
-    words are encoded once and kept in a bounded cache."""
+    """Token ids as little-endian uint32 bytes.
+
+    The vocabulary's tokenizer drops white space, lower-cases, and splits a word
+    into runs of letters, single numerals and runs of other signs; no token
+    crosses these borders. So words, and their pieces, are encoded once and kept
+    in bounded caches. A word in which a border could move (not in composed
+    form, an apostrophe, a special token, numerals other than digits, signs
+    that change their kind in lower case) goes to the tokenizer whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes as they are, the others from U+0100 on (fixed values)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.pieces, self.words = _Cache(self._piece, _CACHED), _Cache(self._word, _CACHED)
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        pieces = _PIECES.findall(word.lower())
+        if _WHOLE.search(word) or not word.isascii() and (
+                not unicodedata.is_normalized("NFC", word)
+                or any(p[0].isalnum() and not p.isalpha() and not p.isdecimal() for p in pieces)):
+            return self._plain(word)
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = [w for w in set(words) if w not in self.ids]
-        if new:
-            if len(self.ids) + len(new) > _CACHED_WORDS:
-                self.ids = {"": b""}
-                new = list(set(words) - {""})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.ids.__getitem__, words))
+        if any(c in text for c in _NO_SPACE):
+            return self._plain(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per worker process, so that its cache outlives the task."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 class Packer:
@@ -137,7 +188,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_windows: i
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        encode = WordTokenizer(vocabulary).encode
+        encode = _tokenizer(vocabulary).encode
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(length, open_windows, min_cut, part << 32)
         for pdf in batches:
