@@ -45,17 +45,6 @@ def _matrix(rows: pd.Series) -> np.ndarray:
     return out
 
 
-def _products(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Exact integer products. Floats are exact while no partial sum can pass 2^53."""
-    d = min(q.shape[-1], m.shape[1])
-    q, m = q[..., :d], m[:, :d]
-    if d == 0:
-        return np.zeros((*q.shape[:-1], len(m)), np.int64)
-    if float(np.abs(q).max()) * float(np.abs(m).max()) * d < 2.0**53:
-        return (q.astype(np.float64) @ m.T.astype(np.float64)).astype(np.int64)
-    return q @ m.T
-
-
 class _Bucket:
     """Vectors of similar length, longest first."""
 
@@ -63,8 +52,16 @@ class _Bucket:
         length = np.sqrt((m.astype(np.float64) ** 2).sum(axis=1))
         order = np.argsort(-length, kind="stable")
         self.ids, self.m, self.length = ids[order], m[order], length[order]
+        self.floats, self.largest = self.m.astype(np.float64), float(np.abs(m).max(initial=0))
         self.unit = self.m / np.maximum(self.length, 1e-300)[:, None]
 
+    def products(self, q: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
+        """Exact integer products. Floats are exact while no partial sum can pass 2^53."""
+        d = min(len(q), self.m.shape[1])
+        if float(np.abs(q).max(initial=0)) * self.largest * d < 2.0**53:
+            return (self.floats[rows, :d] @ q[:d].astype(np.float64)).astype(np.int64)
+        return self.m[rows, :d] @ q[:d]
+
     def candidates(self, q: np.ndarray, q_length: float, bound: float) -> np.ndarray | slice | None:
         """Rows whose product with ``q`` may reach ``bound``; None: no row can.
         The slack of 1e-9 keeps rounding on the safe side."""
@@ -104,7 +101,7 @@ def _search(q_ids, qm, bounds, buckets: list[_Bucket], k: int) -> list[tuple]:
             if rows is None:
                 continue
             found = b.ids[rows]
-            value = _products(q, b.m[rows])
+            value = b.products(q, rows)
             other = (found != q_id) & (value >= limit)
             ids, scores = _best(np.r_[ids, found[other]], np.r_[scores, value[other]], k)
         out += [(q_id, v, s) for v, s in zip(ids.tolist(), scores.tolist())]
