@@ -22,45 +22,64 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 PROFILE = 400
 SAMPLE_DOCS = 3000
 UNKNOWN = "und"
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 300_000
+_CACHED_GRAMS = 100_000
+_TOGETHER = 100
 
 
 class _Grams:
-    """N-grams of a text as sorted codes with counts. A code packs up to three
-    characters into 63 bits, so it needs no shared numbering."""
+    """N-grams of texts with counts, through a bounded cache of words.
+
+    A code packs up to three characters into 63 bits, so it means the same in
+    every task; within a task codes are numbered, and a text's n-grams counted
+    by their numbers.
+    """
 
     def __init__(self) -> None:
         self.words: dict[str, np.ndarray] = {}
+        self.number: dict[int, int] = {}
 
-    def _of_word(self, word: str) -> np.ndarray:
-        c = np.array([32, *map(ord, word), 32], np.int64)
-        return np.concatenate([c[1:-1], c[:-1] << 21 | c[1:], c[:-2] << 42 | c[1:-1] << 21 | c[2:]])
-
-    def count(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = Counter(w for w in _LETTERS.findall(text.lower()) if any(map(str.isalpha, w)))
-        if not words:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(self.words) > _CACHED_WORDS:
-            self.words.clear()
-        parts = []
+    def _learn(self, words: list[str]) -> None:
+        """N-grams of many new words at once, as one text with blanks between."""
         for w in words:
-            g = self.words.get(w)
-            if g is None:
-                g = self._of_word(w)
-                if len(w) <= 40:
-                    self.words[w] = g
-            parts.append(g)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)),
-                          np.fromiter(map(len, parts), np.int64, len(parts)))
-        codes = np.concatenate(parts)
-        order = np.argsort(codes, kind="stable")
-        codes, times = codes[order], times[order]
-        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        return codes[first], np.add.reduceat(times, first)
+            self.words[w] = np.empty(0, np.int64)
+        words = [w for w in words if any(map(str.isalpha, w))]
+        if not words:
+            return
+        c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        blank = c == 32
+        word = np.cumsum(blank) - 1
+        inner = ~blank[1:-1]
+        codes = np.concatenate([c[~blank], c[:-1] << 21 | c[1:], (c[:-2] << 42 | c[1:-1] << 21 | c[2:])[inner]])
+        word = np.concatenate([word[~blank], word[:-1], word[1:-1][inner]])
+        order = np.argsort(word, kind="stable")
+        different, at = np.unique(codes[order], return_inverse=True)
+        numbers = np.array([self.number.setdefault(x, len(self.number)) for x in different.tolist()], np.int64)
+        self.words.update(zip(words, np.split(numbers[at], np.cumsum(np.bincount(word))[:-1])))
+
+    def counts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Codes and counts of each text's n-grams."""
+        for i in range(0, len(texts), _TOGETHER):
+            if len(self.words) > _CACHED_WORDS or len(self.number) > _CACHED_GRAMS:
+                self.words, self.number = {}, {}
+            found = [Counter(_LETTERS.findall((t or "").lower())) for t in texts[i:i + _TOGETHER]]
+            self._learn(list(set().union(*found).difference(self.words)))
+            codes = np.fromiter(self.number, np.int64, len(self.number))
+            for words in found:
+                parts = list(map(self.words.__getitem__, words))
+                grams = np.concatenate(parts) if parts else np.empty(0, np.int64)
+                times = np.repeat(np.fromiter(words.values(), np.float64, len(words)),
+                                  np.fromiter(map(len, parts), np.int64, len(parts)))
+                n = np.bincount(grams, times, len(codes))
+                held = np.flatnonzero(n)
+                yield codes[held], n[held].astype(np.int64)
 
 
 def _top(codes: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """The codes by falling count, ties by code, at most ``k``."""
+    if len(codes) > k:
+        often = counts >= np.partition(counts, -k)[-k]
+        codes, counts = codes[often], counts[often]
     return codes[np.lexsort((codes, -counts))[:k]]
 
 
@@ -85,8 +104,7 @@ def fit_profiles(labelled: DataFrame, size: int = PROFILE, sample_docs: int = SA
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, total = _Grams(), {}
         for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"]):
-                codes, n = g.count(text)
+            for lang, (codes, n) in zip(pdf["lang"], g.counts(pdf["text"].tolist())):
                 total.setdefault(lang, Counter()).update(dict(zip(codes.tolist(), n.tolist())))
         for lang, c in total.items():
             yield pd.DataFrame({"lang": lang, "gram": list(c), "n": list(c.values())})
@@ -107,21 +125,23 @@ class _Scorer:
     def __init__(self, profiles: dict[str, list[int]], size: int) -> None:
         self.size, self.langs, self.grams = size, sorted(profiles), _Grams()
         self.codes = np.unique(np.array([c for p in profiles.values() for c in p], np.int64))
-        self.rank = np.full((len(self.langs), len(self.codes) + 1), -1, np.int64)  # -1: not in the profile
+        self.rank = np.full((len(self.langs), len(self.codes)), -1, np.int64)  # -1: not in the profile
         for i, k in enumerate(self.langs):
             self.rank[i, np.searchsorted(self.codes, profiles[k])] = np.arange(len(profiles[k]))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        codes, counts = self.grams.count(text or "")
-        if not len(codes) or not self.langs:
-            return UNKNOWN, 0.0
-        own = _top(codes, counts, self.size)
-        at = np.searchsorted(self.codes, own)
-        at[(at >= len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != own)] = len(self.codes)
-        rank = self.rank[:, at]
-        far = np.where(rank < 0, self.size, np.abs(rank - np.arange(len(own)))).sum(axis=1)
-        best = int(far.argmin())  # ties: the first language by code point
-        return self.langs[best], float(1 - far[best] / (self.size * len(own)))
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        places = np.arange(self.size)
+        for codes, counts in self.grams.counts(texts):
+            if not len(codes) or not self.langs:
+                yield UNKNOWN, 0.0
+                continue
+            own = _top(codes, counts, self.size)
+            at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+            known = np.flatnonzero(self.codes[at] == own)
+            rank = self.rank[:, at[known]]
+            gain = np.where(rank < 0, 0, self.size - np.abs(rank - places[known])).sum(axis=1)
+            best = int(gain.argmax())  # ties: the first language by code point
+            yield self.langs[best], float(gain[best] / (self.size * len(own)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,7 +163,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = _Scorer(profiles, size)
         for texts in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame(list(scorer.predict(texts.tolist())), columns=["lang_pred", "score"])
 
     return (docs.drop("lang_pred", "score").withColumn("_p", predict(F.col("text")))
             .withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p"))
