@@ -50,7 +50,7 @@ def running_total(df: DataFrame, group: str, bucket: str, order: list[Column], v
             .drop("_total"))
     inside = F.sum(value).over(before(Window.partitionBy(group, bucket).orderBy(*order)))
     return (df.withColumn("_inside", F.coalesce(inside, F.lit(0)))
-            .join(base, [group, bucket])
+            .join(base.hint("merge"), [group, bucket])  # grows with the input: never broadcast
             .withColumn(out, F.col("_base") + F.col("_inside"))
             .drop("_base", "_inside"))
 

@@ -126,7 +126,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, bloc
         F.floor(F.col("start") / F.col("width")).cast("long"), F.floor((end - 1) / F.col("width")).cast("long"))))
     here = (F.least(end, (F.col("block") + 1) * F.col("width"))
             - F.greatest("start", F.col("block") * F.col("width")))
-    taken = (cut.withColumn("here", here).join(times, ["source_no", "block"], "left")
+    taken = (cut.withColumn("here", here).join(times.hint("merge"), ["source_no", "block"], "left")
              .groupBy("source_no", "start", "doc_id", "source", "size", "source_size", "target")
              .agg(F.sum(F.col("here") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")))
     cols = ["doc_id", "source", "size", "source_size", "target", "start", "taken"]
