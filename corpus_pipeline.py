@@ -2,7 +2,9 @@
 
 ``STAGES`` lists (name, function); each function takes ``(spark, docs, sf_dir)``
 and works on all that its predecessor kept. ``run`` writes each stage's result
-as Parquet into the shared folder and reads it back for the next one.
+as Parquet into the shared folder and reads it back for the next one. All but
+the last stage return the columns of ``documents``; rows with a NULL text or a
+repeated id are treated as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -10,20 +12,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erario.llm import langid, mixing, packing, queries
-from erario.llm.common import saved, table
+from erario.llm import langid, linededup, mixing, ngramjoin, packing, queries
+from erario.llm.common import saved, table, word_count
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is recognised go; ``lang`` stays as it is."""
+    """Documents in which no language is recognised go (NULL texts, texts
+    without a letter, texts that share no n-gram with any profile); the others
+    stay as they are."""
     found = langid.predict_languages(docs)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 0)).select(*COLUMNS)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines are deleted from the texts; documents of
+    which no word is left go. ``n_chars`` follows the text."""
+    kept = linededup.dedup_lines(docs)
+    kept = kept.where((F.col("n_removed") == 0) | (word_count(F.col("text")) > 0))
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
+                           .otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents with similar shingle sets the one with
+    the smallest doc_id stays; documents without words link with nothing and stay."""
+    return ngramjoin.one_per_component(docs).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once for every pass of the mix that takes it."""
+    """Each document once for every pass of the mix that takes any of it."""
     return mixing.apply_mix(docs).select(*COLUMNS)
 
 
@@ -32,9 +51,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.vocabulary())
 
 
-STAGES = [("language", language), ("mix", mix), ("pack", pack)]
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
 
-#: Tokenisation and rank-order profiles have no SQL form.
+#: Rank-order profiles, winnowing and tokenisation have no SQL form.
 ORACLE_SQL = None
 
 

@@ -334,8 +334,7 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     unique = _unique_in_region(rows, size, region)
     suspect = saved(classes.select("node", "n").join(unique, "node", "left")
                     .where(F.coalesce("unique", F.lit(0)) < _prefix(F.col("n"), percent)).select("node"), "ngram-suspects")
-    few = suspect.count() <= BROADCAST_IDS
-    kept = rows.join(F.broadcast(suspect) if few else suspect, "node", "left_semi")
+    kept = rows.join(_checked(suspect), "node", "left_semi")
     sets = saved(_sets(kept, size, True).dropDuplicates(["node"]), "ngram-sets")
 
     live = _indexed(sets, percent)
@@ -355,3 +354,26 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                     F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows")))
+
+
+def one_per_component(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, each
+    id and text once. Rows with a NULL doc_id stay: they have no place in the
+    order of ids. The ids to drop are broadcast up to ``BROADCAST_IDS``."""
+    found = saved(ngram_components(docs, **options).select("doc_id", "component_id").where("doc_id is not null"),
+                  "ngram-found")
+    gone = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
+    gone = gone.join(stay, "_id", "left_anti")
+    out = docs.join(_checked(saved(gone, "ngram-gone")), docs["doc_id"] == F.col("_id"), "left_anti")
+    again = saved(stay.groupBy("_id").count().where("count > 1").select("_id"), "ngram-again")
+    if again.isEmpty():
+        return out
+    again = _checked(again)
+    first = out.join(again, out["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, out["doc_id"] == again["_id"], "left_anti").unionByName(first)
+
+
+def _checked(ids: DataFrame) -> DataFrame:
+    """Broadcast a table of ids if it is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
