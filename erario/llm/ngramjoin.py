@@ -88,11 +88,13 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return rows.select(node.cast("long").alias("node"), "doc_id", "text")
 
 
-def _sets(rows: DataFrame, size: int, tokens: bool) -> DataFrame:
-    """``node, doc_id, n, k1, k2`` and ``tokens``: each text's shingles and a
-    128-bit key of the set."""
+def _sets(rows: DataFrame, size: int, region: float) -> DataFrame:
+    """``node, doc_id, n, k1, k2, region``: size and 128-bit key of each text's
+    shingle set, and its shingles in the lowest ``region`` of the hash range."""
     import xxhash
 
+    top = int(-(1 << 63) + region * (1 << 64)) if region < 1 else (1 << 63) - 1
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(t, size) for t in pdf["text"]]
@@ -100,29 +102,20 @@ def _sets(rows: DataFrame, size: int, tokens: bool) -> DataFrame:
             halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             out = pd.DataFrame({"node": pdf["node"], "doc_id": pdf["doc_id"], "n": [len(s) for s in sets],
                                 "k1": halves[:, 0], "k2": halves[:, 1]})
-            yield out.assign(tokens=sets) if tokens else out
+            yield out.assign(region=[s[: np.searchsorted(s, top, "right")] for s in sets])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     # ids that may be NULL travel as text: pandas would turn them into floats
     return (rows.select("node", F.col("doc_id").cast("string"), "text").mapInPandas(
-        run, "node long, doc_id string, n long, k1 long, k2 long" + ", tokens array<long>" * tokens)
+        run, "node long, doc_id string, n long, k1 long, k2 long, region array<long>")
         .withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
-def _unique_in_region(rows: DataFrame, size: int, region: float) -> DataFrame:
-    """``node, unique``: shingles with a hash in the region that no other node
-    holds. Needs no join: a shingle whose least and greatest node agree is
-    counted for that node."""
-    top = int(-(1 << 63) + region * (1 << 64))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [s[: np.searchsorted(s, top)] for s in (shingles(t, size) for t in pdf["text"])]
-            yield pd.DataFrame({"token": np.concatenate([np.empty(0, np.int64), *sets]),
-                                "node": np.repeat(pdf["node"].to_numpy(np.int64), [len(s) for s in sets])})
-
-    tokens = rows.select("node", "text").mapInPandas(run, "token long, node long")
-    return (tokens.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+def _unique_in_region(base: DataFrame) -> DataFrame:
+    """``node, unique``: shingles of ``region`` that no other node holds. Needs
+    no join: a shingle whose least and greatest node agree counts for that node."""
+    return (base.select("node", F.explode("region").alias("token"))
+            .groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
             .where("node = last").groupBy("node").agg(F.count("*").alias("unique")))
 
 
@@ -327,15 +320,15 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     with the same set. Shingles are compared by 64-bit hashes.
     """
     rows = _nodes(docs)
-    base = saved(_sets(rows, size, False), "ngram-docs")
+    base = saved(_sets(rows, size, region), "ngram-docs")
     classes = saved(base.where("n > 0").groupBy("k1", "k2", "n")
                     .agg(F.min("node").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("class_rows")),
                     "ngram-classes")
-    unique = _unique_in_region(rows, size, region)
+    unique = _unique_in_region(base)
     suspect = saved(classes.select("node", "n").join(unique, "node", "left")
                     .where(F.coalesce("unique", F.lit(0)) < _prefix(F.col("n"), percent)).select("node"), "ngram-suspects")
     kept = rows.join(_checked(suspect), "node", "left_semi")
-    sets = saved(_sets(kept, size, True).dropDuplicates(["node"]), "ngram-sets")
+    sets = saved(_sets(kept, size, 1).dropDuplicates(["node"]).withColumnRenamed("region", "tokens"), "ngram-sets")
 
     live = _indexed(sets, percent)
     entries = saved(_entries(live, percent), "ngram-index")
