@@ -142,7 +142,8 @@ def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: int
     runs = saved(repeated_runs(docs, unit_words, window_words), "line-runs").withColumnsRenamed(
         {"doc_id": "_id", "text_key": "_key"})
     keyed = docs.drop("n_lines", "n_removed").withColumn("_text_key", F.xxhash64("text"))
-    joined = keyed.join(runs, (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # always merged: what is deleted grows with the input
+    joined = keyed.join(runs.hint("merge"), (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
     out = (joined.withColumn("_kept", F.when(F.col("runs").isNotNull(), kept))
