@@ -30,6 +30,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows hold whole texts: a batch of 10,000 would not fit beside a small heap
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
@@ -44,6 +46,8 @@ def get_spark(app: str = "erario", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     builder = builder.master(master or os.environ.get("ERARIO_MASTER", "local[*]"))
     builder = builder.config("spark.ui.enabled", "false")
+    # checkpointed scans go when the DataFrames that use them go
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     builder = builder.config("spark.driver.memory", os.environ.get("ERARIO_DRIVER_MEMORY", "8g"))
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
