@@ -11,6 +11,8 @@ metadata is small and lives on the driver by nature; table data never does.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,11 +80,12 @@ AUDIT_TABLES = [
     ("etl_metadata", "Load ledger: one state per municipality, year and source.", [
         ("municipio_id", "STRING", "municipality code"),
         ("year", "INT", "fiscal year"),
-        ("source", "STRING", "licitacoes, despesas or receitas"),
         ("status", "STRING", "STARTED, COMPLETED or FAILED"),
         ("record_count", "BIGINT", "rows saved by the load"),
+        ("run_id", "STRING", "latest run among the task's payloads"),
         ("last_updated", "TIMESTAMP", "time of the status change"),
-    ], []),
+        ("source", "STRING", "licitacoes, despesas or receitas"),
+    ], ["source"]),
 ]
 
 
@@ -102,6 +105,15 @@ def create_audit_tables(spark: SparkSession, database: str = "audit", root: str
                   f"{part}\nCOMMENT '{_q(comment)}'{loc}")
 
 
+def refresh_audit_tables(spark: SparkSession, database: str = "audit") -> None:
+    """Make what the load has written visible to SQL: register the partitions
+    found under each table's folder and drop those that are gone."""
+    for name, _, _, parts in AUDIT_TABLES:
+        if parts:
+            spark.sql(f"MSCK REPAIR TABLE `{database}`.`{name}` SYNC PARTITIONS")
+        spark.catalog.refreshTable(f"`{database}`.`{name}`")
+
+
 def list_tables(spark: SparkSession, database: str = "audit") -> DataFrame:
     """B1: table names (the ledger included)."""
     return spark.sql(f"SHOW TABLES IN `{database}`").select(F.col("tableName").alias("table"))
@@ -120,9 +132,10 @@ def describe_table(spark: SparkSession, name: str, database: str = "audit") -> s
     return ddl if ddl is not None else f"Table '{name}' not found."
 
 
-def definitions(spark: SparkSession, database: str = "audit") -> DataFrame:
-    """(table, definition) for every table of the database."""
-    names = [r.table for r in list_tables(spark, database).collect()]
+def definitions(spark: SparkSession, database: str = "audit", tables: Sequence[str] | None = None) -> DataFrame:
+    """(table, definition) for every table of the database, or for those of
+    ``tables`` that it holds."""
+    names = [r.table for r in list_tables(spark, database).collect() if tables is None or r.table in tables]
     rows = [(n, table_definition(spark, n, database)) for n in names]
     return spark.createDataFrame(rows, "table string, definition string")
 
@@ -139,8 +152,12 @@ def dim_funcao(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FUNCOES, "codigo string, nome string")
 
 
+def decode(df: DataFrame, dimension: DataFrame, code: str, key: str) -> DataFrame:
+    """Attach the columns of a dimension with a fixed, small number of codes
+    (it is broadcast) to the rows with its codes; unknown codes give NULL."""
+    return df.join(F.broadcast(dimension), df[code] == dimension[key], "left").drop(dimension[key])
+
+
 def decode_function(df: DataFrame, code_col: str = "codigo_funcao", name_col: str = "funcao") -> DataFrame:
-    """Attach the function name; unknown codes give NULL. The dimension
-    has a fixed 12 rows, so it is broadcast."""
-    dim = F.broadcast(dim_funcao(df.sparkSession).withColumnRenamed("nome", name_col))
-    return df.join(dim, df[code_col] == dim["codigo"], "left").drop("codigo")
+    """Attach the function name; unknown codes give NULL."""
+    return decode(df, dim_funcao(df.sparkSession).withColumnRenamed("nome", name_col), code_col, "codigo")

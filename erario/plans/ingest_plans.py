@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from erario.functions.dates import fiscal_year_param, month_bounds, month_ref
 from erario.functions.jsontext import NUMERIC_TEXT, py_float_text, real_affinity_of
 from erario.operators import ledger as L
+from erario.operators.catalog import decode
 from erario.operators.ingest import surrogate_key
 from erario.operators.upsert import latest_per_key
 from erario.plans.registry import register
@@ -30,22 +31,18 @@ SELECT strftime(m.month_start, '%Y%m') AS month_ref, s.o_orderstatus, COALESCE(c
 FROM m CROSS JOIN s LEFT JOIN c ON c.ms = m.month_start AND c.o_orderstatus = s.o_orderstatus
 """)
 def calendar_coverage(spark, sf_dir):
-    """Month spine from the first to the last order month, times every
-    status; months without orders count 0. The spine and status list come
-    from one global aggregate (bounded by the calendar and the status domain)
-    and are expanded with ``explode`` — no cross join."""
+    """Month spine from the first to the last order month, times every status;
+    months without orders count 0. One aggregate to (month, status) feeds the
+    bounds, the statuses and the counts."""
     o = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderstatus")
-    bounds = o.agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi"),
-                   F.collect_set("o_orderstatus").alias("statuses"))
-    grid = (bounds.select(F.explode(F.sequence(F.to_date(F.date_trunc("month", "lo")),
-                                               F.to_date(F.date_trunc("month", "hi")),
-                                               F.expr("INTERVAL 1 MONTH"))).alias("m"),
-                          "statuses")
-            .select(month_ref("m").alias("month_ref"), F.explode("statuses").alias("o_orderstatus")))
-    counts = (o.groupBy(month_ref("o_orderdate").alias("month_ref"), "o_orderstatus")
+    counts = (o.groupBy((F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).alias("month_index"), "o_orderstatus")
               .agg(F.count(F.lit(1)).alias("n")))
-    return (grid.join(counts, ["month_ref", "o_orderstatus"], "left")
-            .select("month_ref", "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders")))
+    ends = counts.agg(F.min("month_index").alias("lo"), F.max("month_index").alias("hi"))
+    grid = L.month_grid(counts.select("o_orderstatus").distinct(), ends.select("lo").scalar(), ends.select("hi").scalar())
+    m = F.col("month_index")
+    ref = month_ref(F.make_date(F.floor(m / 12).cast("int"), (m % 12 + 1).cast("int"), F.lit(1)))
+    return (grid.join(counts, ["month_index", "o_orderstatus"], "left")
+            .select(ref.alias("month_ref"), "o_orderstatus", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders")))
 
 
 # --------------------------------------------------------------------------
@@ -165,14 +162,13 @@ def upsert_latest_q(spark, sf_dir):
 
 @register("ledger_state", "A17", """
 SELECT user_id, event_type AS status, value, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS last_updated
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events)
 WHERE rn = 1
 """)
 def ledger_state(spark, sf_dir):
     """Events as status updates per user; current state = the latest one."""
-    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), "value",
-                                                "ts", "event_id")
-    cur = latest_per_key(e, ["user_id"], ["ts", "event_id"])
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), "value", "ts")
+    cur = L.ledger_current(e, ["user_id"], ts="ts")
     return cur.select("user_id", "status", "value",
                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_updated"))
 
@@ -242,8 +238,8 @@ def coverage_gaps_q(spark, sf_dir):
     # anti join (the same exchange is reused)
     have = o.select("o_custkey", idx.alias("m")).distinct()
     span = have.groupBy("o_custkey").agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
-    grid = span.select("o_custkey", F.explode(F.sequence("lo", "hi")).alias("m"))
-    gaps = grid.join(have, ["o_custkey", "m"], "left_anti")
+    grid = L.month_grid(span, F.col("lo"), F.col("hi")).withColumnRenamed("month_index", "m")
+    gaps = L.coverage_gaps(grid, have.withColumn("http_status", F.lit(200)), ["o_custkey", "m"])
     return gaps.select("o_custkey", F.format_string("%04d%02d", F.floor(F.col("m") / 12).cast("int"),
                                                     (F.col("m") % 12 + 1).cast("int")).alias("month_ref"))
 
@@ -259,10 +255,10 @@ LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
 """)
 def decode_codes(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
-    r = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
-    return (s.join(n, s.s_nationkey == n.n_nationkey, "left")
-            .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    named = decode(s, n, "s_nationkey", "n_nationkey")
+    return (decode(named, r, "n_regionkey", "r_regionkey")
             .select("s_suppkey", "s_nationkey", "n_name", "r_name"))
 
 
@@ -301,30 +297,24 @@ def json_each(spark, sf_dir):
 
 _ITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
                "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-MAX_ITEMS_PER_PAYLOAD = 1000
 
+# Stand-in municipalities are groups of keys, so that a month of one holds a few
+# hundred items at any scale: 40 suppliers, 1,000 customers, 5 users.
+SUPPLIERS, CUSTOMERS, USERS = 40, 1000, 5
 
-def _chunked(df, group, order):
-    """Number rows within each response group by the item order (skew-safe
-    ordered scan) and cut the group into chunks of MAX_ITEMS_PER_PAYLOAD: no
-    response holds more, however many rows one group has."""
-    from erario.operators.ordered import scan
 
-    r = scan(df, group, order, tiebreak=[])
-    return r.withColumn("chunk", F.floor((F.col("row_number") - 1) / MAX_ITEMS_PER_PAYLOAD).cast("long"))
-
-
-def expense_payloads(spark, sf_dir):
+def expense_payloads(spark, sf_dir, revised=None, bad_money=None):
     """Stand-in landed responses built from ``lineitem``: one expense item per
-    line, one response per (return flag + line status as municipality, year,
-    month, chunk of at most 1,000 items in item order), wrapped in one of the
-    three envelopes the finance feed uses. Only rows in the payload schema;
-    the ingest does the work."""
+    line, one response per (group of suppliers as municipality, year, month) with
+    the whole month in item order, wrapped in one of the three envelopes the
+    finance feed uses. Only rows in the payload schema; the ingest does the work."""
     li = table(spark, sf_dir, "lineitem")
-    key = [F.concat("l_returnflag", "l_linestatus").alias("municipio_id"),
+    key = [F.floor(F.col("l_suppkey") / SUPPLIERS).cast("string").alias("municipio_id"),
            F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")]
     li = li.select(*key, *_ITEM_ORDER)
-    li = _chunked(li, ["municipio_id", "year", "month"], _ITEM_ORDER)
+    paid = F.col("l_quantity") if revised is None else F.when(revised, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    cleared = F.col("l_extendedprice") if bad_money is None else F.when(bad_money, F.lit("1,5")).otherwise(
+        F.col("l_extendedprice").cast("string"))
     item = F.struct(F.col("l_returnflag").alias("codigo_orgao"),
                     F.col("l_linestatus").alias("codigo_unidade_orcamentaria"),
                     F.col("l_suppkey").cast("string").alias("codigo_funcao"),
@@ -332,9 +322,9 @@ def expense_payloads(spark, sf_dir):
                     F.col("l_orderkey").cast("string").alias("codigo_programa"),
                     F.col("l_linenumber").cast("string").alias("codigo_elemento_despesa"),
                     F.col("l_extendedprice").alias("valor_empenhado_no_mes"),
-                    F.col("l_extendedprice").alias("valor_liquidado_no_mes"),
-                    F.col("l_quantity").alias("valor_pago_no_mes"))
-    grouped = li.groupBy("municipio_id", "year", "month", "chunk").agg(
+                    cleared.alias("valor_liquidado_no_mes"),
+                    paid.alias("valor_pago_no_mes"))
+    grouped = li.groupBy("municipio_id", "year", "month").agg(
         F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in _ITEM_ORDER], item.alias("item")))).alias("_rows"))
     items = F.transform("_rows", lambda r: r["item"])
     env = F.col("month") % 3
@@ -346,11 +336,10 @@ def expense_payloads(spark, sf_dir):
                           F.lit(None).cast("string").alias("path"))
 
 
-@register("ingest_expenses", "A4 A5 A6 A7 A12 A13 A14 A10", f"""
-WITH li AS (SELECT *, l_returnflag || l_linestatus AS muni FROM lineitem),
-q AS (SELECT *, row_number() OVER (PARTITION BY muni, year(l_shipdate), month(l_shipdate)
-                                   ORDER BY {", ".join(_ITEM_ORDER)}) - 1 AS q FROM li),
-r AS (SELECT *, q % {MAX_ITEMS_PER_PAYLOAD} AS pos FROM q)
+@register("ingest_expenses", "A6 A7 A12 A13 A14", f"""
+WITH li AS (SELECT *, CAST(l_suppkey // {SUPPLIERS} AS VARCHAR) AS muni FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY muni, year(l_shipdate), month(l_shipdate)
+                                   ORDER BY {", ".join(_ITEM_ORDER)}) - 1 AS pos FROM li)
 SELECT concat_ws('_', muni, strftime(l_shipdate, '%Y%m'), CAST(l_linenumber AS VARCHAR),
                  CAST(l_quantity AS VARCHAR), CAST(pos AS VARCHAR)) AS id,
        muni AS municipio_id, strftime(l_shipdate, '%Y') AS exercicio_orcamento,
@@ -371,39 +360,37 @@ def ingest_expenses(spark, sf_dir):
     return rows.drop("raw_data", "run_id", "month", "path", "pos")
 
 
-def tender_payloads(spark, sf_dir):
+def tender_payloads(spark, sf_dir, revised=None):
     """Stand-in landed tender responses built from ``orders``: one tender per
     order (the customer as tender number, so numbers repeat within a year),
-    one response per (priority as municipality, year, month, chunk of at most
-    1,000 items), as a bare list or as ``{"data": [...]}``."""
+    one response per (group of customers as municipality, year, month), as a bare
+    list or as ``{"data": [...]}``."""
     o = table(spark, sf_dir, "orders")
-    key = [F.col("o_orderpriority").alias("municipio_id"), F.year("o_orderdate").alias("year"),
+    key = [F.floor(F.col("o_custkey") / CUSTOMERS).cast("string").alias("municipio_id"), F.year("o_orderdate").alias("year"),
            F.month("o_orderdate").alias("month")]
+    state = F.col("o_orderstatus") if revised is None else F.when(revised, F.lit("X")).otherwise(F.col("o_orderstatus"))
     o = o.select(*key, "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
-    o = _chunked(o, ["municipio_id", "year", "month"], ["o_orderkey"])
     item = F.struct(F.col("o_custkey").cast("string").alias("numero_licitacao"),
                     F.col("o_orderkey").cast("string").alias("numero_processo_licitatorio"),
                     F.col("o_orderstatus").alias("objeto_licitacao"),
                     F.col("o_orderpriority").alias("modalidade_licitacao"),
                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("data_realizacao_licitacao"),
                     F.col("o_totalprice").alias("valor_licitacao"),
-                    F.col("o_orderstatus").alias("situacao_licitacao"))
-    g = o.groupBy("municipio_id", "year", "month", "chunk").agg(
+                    state.alias("situacao_licitacao"))
+    g = o.groupBy("municipio_id", "year", "month").agg(
         F.array_sort(F.collect_list(F.struct(F.col("o_orderkey"), item.alias("item")))).alias("_rows"))
     items = F.transform("_rows", lambda r: r["item"])
     body = F.when(F.col("month") % 2 == 0, F.to_json(items)).otherwise(F.to_json(F.struct(items.alias("data"))))
     return g.select(F.lit("r1").alias("run_id"), F.lit("licitacoes").alias("source"), "municipio_id", "year",
                     "month", F.lit(200).alias("http_status"), body.alias("body"),
-                    F.concat(F.lit("chunk-"), F.lpad(F.col("chunk").cast("string"), 6, "0")).alias("path"))
+                    F.lit(None).cast("string").alias("path"))
 
 
 @register("ingest_tenders", "A5 A7 A12 A13 A15 F11", f"""
-WITH q AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, year(o_orderdate), month(o_orderdate)
-                                        ORDER BY o_orderkey) - 1 AS q FROM orders),
-r AS (SELECT *, q // {MAX_ITEMS_PER_PAYLOAD} AS chunk, q % {MAX_ITEMS_PER_PAYLOAD} AS pos FROM q),
-k AS (SELECT *, o_orderpriority || '_' || CAST(o_custkey AS VARCHAR) || '_' || strftime(o_orderdate, '%Y') AS id FROM r),
-w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY month(o_orderdate) DESC, chunk DESC, pos DESC) AS rn FROM k)
-SELECT id, o_orderpriority AS municipio_id, CAST(o_custkey AS VARCHAR) AS numero_licitacao,
+WITH r AS (SELECT *, CAST(o_custkey // {CUSTOMERS} AS VARCHAR) AS muni FROM orders),
+k AS (SELECT *, muni || '_' || CAST(o_custkey AS VARCHAR) || '_' || strftime(o_orderdate, '%Y') AS id FROM r),
+w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY month(o_orderdate) DESC, o_orderkey DESC) AS rn FROM k)
+SELECT id, muni AS municipio_id, CAST(o_custkey AS VARCHAR) AS numero_licitacao,
        CAST(o_orderkey AS VARCHAR) AS numero_processo, o_orderstatus AS objeto_licitacao,
        o_orderpriority AS modalidade_licitacao, strftime(o_orderdate, '%Y-%m-%d') AS data_realizacao_licitacao,
        o_totalprice AS valor_estimado, o_orderstatus AS situacao_licitacao,
@@ -422,41 +409,40 @@ def ingest_tenders(spark, sf_dir):
     return latest.drop("raw_data", "run_id", "month", "path", "pos")
 
 
-def revenue_payloads(spark, sf_dir):
+def revenue_payloads(spark, sf_dir, revised=None):
     """Stand-in landed revenue responses built from ``events``: one revenue
     item per event (its JSON ``props`` text as the description), one response
-    per (user as municipality, year, month, chunk of at most 1,000 items),
-    in one of the three finance envelopes."""
+    per (group of users as municipality, year, month), in one of the three
+    finance envelopes."""
     e = table(spark, sf_dir, "events")
-    key = [F.col("user_id").cast("string").alias("municipio_id"), F.year("ts").alias("year"),
+    value = F.col("value") if revised is None else F.when(revised, F.col("value") + 1).otherwise(F.col("value"))
+    key = [F.floor(F.col("user_id") / USERS).cast("string").alias("municipio_id"), F.year("ts").alias("year"),
            F.month("ts").alias("month")]
     e = e.select(*key, "event_id", "event_type", "value", "props")
-    e = _chunked(e, ["municipio_id", "year", "month"], ["event_id"])
     item = F.struct(F.lit("01").alias("codigo_orgao"), F.col("municipio_id").alias("codigo_unidade_orcamentaria"),
                     F.col("event_type").alias("codigo_receita"), F.col("props").alias("descricao_receita"),
                     F.col("value").alias("valor_previsto_arrecadacao"),
-                    F.col("value").alias("valor_arrecadado_no_mes"))
-    g = e.groupBy("municipio_id", "year", "month", "chunk").agg(
+                    value.alias("valor_arrecadado_no_mes"))
+    g = e.groupBy("municipio_id", "year", "month").agg(
         F.array_sort(F.collect_list(F.struct(F.col("event_id"), item.alias("item")))).alias("_rows"))
     items = F.transform("_rows", lambda r: r["item"])
-    env = (F.col("municipio_id").cast("long") + F.col("chunk")) % 3
+    env = F.col("municipio_id").cast("long") % 3
     body = (F.when(env == 0, F.to_json(F.struct(F.struct(items.alias("_content")).alias("rsp"))))
             .when(env == 1, F.to_json(F.struct(items.alias("balancete_receita_orcamentaria"))))
             .otherwise(F.to_json(F.struct(F.array().cast("array<string>").alias("data"), items.alias("rows")))))
     return g.select(F.lit("r1").alias("run_id"), F.lit("receitas").alias("source"), "municipio_id", "year",
                     "month", F.lit(200).alias("http_status"), body.alias("body"),
-                    F.concat(F.lit("chunk-"), F.lpad(F.col("chunk").cast("string"), 6, "0")).alias("path"))
+                    F.lit(None).cast("string").alias("path"))
 
 
 @register("ingest_revenue", "A6 A7 A12 A13 A14", f"""
-WITH q AS (SELECT *, row_number() OVER (PARTITION BY user_id, year(ts), month(ts) ORDER BY event_id) - 1 AS q
-           FROM events),
-r AS (SELECT *, q % {MAX_ITEMS_PER_PAYLOAD} AS pos FROM q)
-SELECT concat_ws('_', CAST(user_id AS VARCHAR), strftime(ts, '%Y%m'), event_type, CAST(value AS VARCHAR),
+WITH u AS (SELECT *, CAST(user_id // {USERS} AS VARCHAR) AS muni FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY muni, year(ts), month(ts) ORDER BY event_id) - 1 AS pos FROM u)
+SELECT concat_ws('_', muni, strftime(ts, '%Y%m'), event_type, CAST(value AS VARCHAR),
                  CAST(pos AS VARCHAR)) AS id,
-       CAST(user_id AS VARCHAR) AS municipio_id, strftime(ts, '%Y') AS exercicio_orcamento,
+       muni AS municipio_id, strftime(ts, '%Y') AS exercicio_orcamento,
        strftime(ts, '%Y%m') AS mes_referencia, '01' AS codigo_orgao,
-       CAST(user_id AS VARCHAR) AS codigo_unidade_orcamentaria, event_type AS codigo_receita,
+       muni AS codigo_unidade_orcamentaria, event_type AS codigo_receita,
        props AS descricao_receita, value AS valor_orcado, value AS valor_arrecadado,
        CAST(NULL AS VARCHAR) AS quarantine_reason
 FROM r

@@ -36,4 +36,4 @@ def register(name: str, ids: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so that its queries register."""
-    from erario.plans import audit, ingest_plans, textgov_plans, window_plans, stream_plans  # noqa: F401
+    from erario.plans import audit, ingest_plans, load_plans, stream_plans, textgov_plans, window_plans  # noqa: F401

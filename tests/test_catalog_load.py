@@ -3,11 +3,14 @@
 import json
 import uuid
 
+import pytest
 from conftest import land
 from pyspark.sql import functions as F
 
 from erario.operators import catalog as C
-from erario.operators.load import run_load
+from erario.operators.load import ledger, pending_payloads, run_load, touching
+from erario.operators.readonly import run_readonly_sql
+from erario.sources.payloads import scan_payloads
 
 EXP = {"codigo_orgao": "01", "codigo_funcao": "10", "codigo_elemento_despesa": "339039",
        "valor_empenhado_no_mes": 100.0, "valor_liquidado_no_mes": 90.0, "valor_pago_no_mes": 80.0}
@@ -32,28 +35,117 @@ def test_decode_function(spark):
     assert got == {"10": "Saúde", "12": "Educação", "99": None}
 
 
+def _rows(spark, path, *drop):
+    df = spark.read.parquet(path).drop("updated_at", "last_updated", *drop)
+    return sorted(map(str, df.collect()))
+
+
 def test_load_job_idempotent(spark, tmp_root):
     landing, silver = tmp_root + "/landing", tmp_root + "/silver"
     land(landing, "r1", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [EXP, dict(EXP, codigo_funcao="12")]}))
-    land(landing, "r1", "despesas", "0162", 2024, 2, 200, json.dumps({"data": [dict(EXP, valor_pago_no_mes="1,5")]}))
+    land(landing, "r1", "despesas", "0162", 2024, 2, 200, json.dumps({"data": [dict(EXP, valor_liquidado_no_mes="1,5")]}))
+    land(landing, "r1", "despesas", "0163", 2024, 2, 200, json.dumps({"data": [dict(EXP, codigo_orgao={"a": 1}), EXP]}))
     land(landing, "r1", "receitas", "0162", 2024, 1, 200, json.dumps({"data": [{"codigo_receita": "1", "valor_arrecadado_no_mes": 5}]}))
+    land(landing, "r1", "receitas", "0163", 2024, 1, 200, json.dumps({"data": []}))
+    land(landing, "r1", "receitas", "0164", 2024, 1, 404, "")
     land(landing, "r1", "licitacoes", "0162", 2024, 1, 200, json.dumps([{"numero_licitacao": "A", "valor_licitacao": 1.0}]))
     land(landing, "r1", "licitacoes", "0162", 2024, 2, 200, json.dumps([{"numero_licitacao": "A", "valor_licitacao": 2.0}]))
     c1 = run_load(spark, landing, silver)
-    assert c1["despesas"] == {"saved": 2, "quarantined": 1}
+    # money that is no number: the row is saved with NULL and recorded beside
+    assert c1["despesas"] == {"saved": 4, "quarantined": 2}
     d = spark.read.parquet(silver + "/despesas")
-    assert d.count() == 2 and d.select("mes_referencia").distinct().collect()[0][0] == "202401"
+    assert sorted((r.municipio_id, r.mes_referencia, r.valor_liquidado) for r in d.collect()
+                  if r.mes_referencia == "202402") == [("0162", "202402", None), ("0163", "202402", 90.0)]
     t = spark.read.parquet(silver + "/licitacoes").collect()
     assert [(r.id, r.valor_estimado) for r in t] == [("0162_A_2024", 2.0)]
-    run_load(spark, landing, silver)  # same load again
-    assert spark.read.parquet(silver + "/despesas").count() == 2
-    assert spark.read.parquet(silver + "/licitacoes").count() == 1
-    led = spark.read.parquet(silver + "/etl_metadata")
+    names = ["despesas", "licitacoes", "receitas", "_quarantine", "etl_metadata"]
+    before = {n: _rows(spark, f"{silver}/{n}") for n in names}
+    run_load(spark, landing, silver)  # same load again: nothing but the time stamps changes
+    assert {n: _rows(spark, f"{silver}/{n}") for n in names} == before
     from erario.operators.ledger import ledger_current
-    cur = {(r.source, r.status, r.record_count) for r in ledger_current(led).collect()}
-    assert cur == {("despesas", "FAILED", 0), ("receitas", "COMPLETED", 1), ("licitacoes", "COMPLETED", 2)}
+    cur = {(r.source, r.municipio_id, r.status, r.record_count) for r in ledger_current(ledger(spark, silver)).collect()}
+    assert cur == {("despesas", "0162", "COMPLETED", 3), ("despesas", "0163", "FAILED", 0),
+                   ("receitas", "0162", "COMPLETED", 1), ("receitas", "0163", "COMPLETED", 0),
+                   ("receitas", "0164", "COMPLETED", 0), ("licitacoes", "0162", "COMPLETED", 2)}
     q = spark.read.parquet(silver + "/_quarantine").filter(F.col("source") == "despesas")
-    assert {r.quarantine_reason for r in q.collect()} == {"non_numeric_money"}
+    assert sorted(r.quarantine_reason for r in q.collect()) == ["nested_value", "non_numeric_money"]
+    todo = pending_payloads(scan_payloads(spark, landing), silver)
+    assert [(r.source, r.municipio_id) for r in todo.collect()] == [("despesas", "0163")]
+
+
+def test_redelivery_takes_the_latest_run(spark, tmp_root):
+    landing, silver = tmp_root + "/landing", tmp_root + "/silver"
+    land(landing, "r9", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [EXP]}))
+    land(landing, "r9", "despesas", "0162", 2024, 2, 200, json.dumps({"data": [EXP, EXP]}))
+    land(landing, "r9", "despesas", "0162", 2024, 3, 200, json.dumps({"data": [EXP]}))
+    run_load(spark, landing, silver, sources=["despesas"])
+    assert spark.read.parquet(silver + "/despesas").count() == 4
+    land(landing, "r10", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [dict(EXP, valor_pago_no_mes=90.0)]}))
+    land(landing, "r10", "despesas", "0162", 2024, 2, 200, json.dumps({"data": []}))
+    land(landing, "r10", "despesas", "0162", 2024, 3, 500, "")
+    run_load(spark, landing, silver, sources=["despesas"])
+    d = spark.read.parquet(silver + "/despesas").collect()
+    assert sorted((r.mes_referencia, r.valor_pago) for r in d) == [("202401", 90.0), ("202403", 80.0)]
+    # several files of one month are numbered through
+    land(landing, "r11", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [EXP, EXP]}), "a.json")
+    land(landing, "r11", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [EXP]}), "b.json")
+    run_load(spark, landing, silver, sources=["despesas"])
+    d = spark.read.parquet(silver + "/despesas").filter("mes_referencia = '202401'").collect()
+    assert sorted(r.id for r in d) == [f"0162_202401_339039_80.0_{i}" for i in range(3)]
+
+
+def test_year_window(spark, tmp_root):
+    landing, silver = tmp_root + "/landing", tmp_root + "/silver"
+    for y in (2021, 2023, 2024):
+        land(landing, "r1", "despesas", "0162", y, 1, 200, json.dumps({"data": [EXP]}))
+    run_load(spark, landing, silver, sources=["despesas"], current_year=2024, lookback=2)
+    assert sorted(r.exercicio_orcamento for r in spark.read.parquet(silver + "/despesas").collect()) == ["2023", "2024"]
+
+
+def test_a_table_that_cannot_be_read_is_not_overwritten(spark, tmp_root):
+    import os
+
+    landing, silver = tmp_root + "/landing", tmp_root + "/silver"
+    land(landing, "r1", "licitacoes", "0162", 2024, 1, 200, json.dumps([{"numero_licitacao": "A"}]))
+    part = f"{silver}/licitacoes/municipio_id=0162/exercicio_orcamento=2024"
+    os.makedirs(part)
+    with open(f"{part}/part-0.parquet", "w") as f:
+        f.write("broken")
+    with pytest.raises(Exception):
+        run_load(spark, landing, silver, sources=["licitacoes"])
+    assert os.path.exists(f"{part}/part-0.parquet")
+
+
+def test_upsert_prunes_partitions(spark, tmp_root):
+    root = tmp_root + "/t"
+    spark.createDataFrame([(i, str(i % 3), str(2020 + i % 4)) for i in range(24)], "id int, municipio_id string, exercicio_orcamento string") \
+        .write.partitionBy("municipio_id", "exercicio_orcamento").parquet(root)
+    keys = spark.createDataFrame([("1", "2021")], "municipio_id string, exercicio_orcamento string")
+    got = touching(spark.read.parquet(root), keys, ["municipio_id", "exercicio_orcamento"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "(municipio_id" in plan.split("PartitionFilters:")[1].split("]")[0] and " = 1)" in plan
+    assert sorted(r.id for r in got.collect()) == [1, 13]
+
+
+def test_loaded_rows_are_visible_to_sql(spark, tmp_root):
+    db = "audit_" + uuid.uuid4().hex[:8]
+    landing, silver = tmp_root + "/landing", tmp_root + "/silver"
+    C.create_audit_tables(spark, db, root=silver)
+    land(landing, "r1", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [EXP, EXP]}))
+    land(landing, "r1", "licitacoes", "0162", 2024, 1, 200, json.dumps([{"numero_licitacao": "A", "valor_licitacao": 1.0}]))
+    run_load(spark, landing, silver)
+    C.refresh_audit_tables(spark, db)
+    one = lambda q: run_readonly_sql(spark, q).first()
+    assert one(f"SELECT count(*), sum(valor_pago) FROM {db}.despesas WHERE municipio_id = '0162'")[:] == (2, 160.0)
+    assert one(f"SELECT valor_estimado FROM {db}.licitacoes")[0] == 1.0
+    assert one(f"SELECT count(DISTINCT source) FROM {db}.etl_metadata WHERE status = 'COMPLETED'")[0] == 2
+    for name, _, cols, _ in C.AUDIT_TABLES[:2]:
+        assert set(spark.read.parquet(f"{silver}/{name}").columns) == {c for c, _, _ in cols}
+    land(landing, "r2", "despesas", "0162", 2024, 1, 200, json.dumps({"data": []}))
+    run_load(spark, landing, silver, sources=["despesas"])
+    C.refresh_audit_tables(spark, db)
+    assert one(f"SELECT count(*) FROM {db}.despesas")[0] == 0
+    assert [r.table for r in C.definitions(spark, db, ["receitas", "nope"]).collect()] == ["receitas"]
 
 
 def test_budget_execution_on_loaded_expenses(spark, tmp_root):  # C20 + B5

@@ -5,6 +5,7 @@ import json
 from conftest import SF_SMALL, land
 from pyspark.sql import functions as F
 
+from erario.operators.load import run_load
 from erario.streaming.events import run_window_counts, window_counts
 from erario.streaming.payload_feed import start_payload_feed
 
@@ -29,6 +30,32 @@ def test_payload_feed_incremental(spark, tmp_root):
     assert [(r.id, r.valor_estimado) for r in t] == [("0162_A_2024", 3.0)]
 
 
+def test_feed_does_not_depend_on_batch_size(spark, tmp_root):
+    landing = tmp_root + "/landing"
+    for name in ("a.json", "b.json", "c.json"):  # three files of one month
+        land(landing, "r1", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [EXP]}), name)
+    land(landing, "r1", "receitas", "0162", 2024, 1, 200, json.dumps({"data": [{"codigo_receita": "1"}]}))
+    got = []
+    for n in (None, 1):
+        silver = f"{tmp_root}/silver{n}"
+        start_payload_feed(spark, landing, silver, checkpoint=f"{tmp_root}/ck{n}", max_files=n).awaitTermination()
+        got.append([sorted(map(str, spark.read.parquet(f"{silver}/{t}").drop("updated_at", "last_updated").collect()))
+                    for t in ("despesas", "receitas", "etl_metadata")])
+    assert got[0] == got[1] and len(got[0][0]) == 3
+    run_load(spark, landing, tmp_root + "/batch")
+    assert got[0][0] == sorted(map(str, spark.read.parquet(tmp_root + "/batch/despesas").drop("updated_at").collect()))
+
+
+def test_window_counts_over_many_files(spark, tmp_root):
+    ev = spark.read.parquet(SF_SMALL + "/events.parquet")
+    ev.repartition(48, "event_id").write.parquet(tmp_root + "/in/events.parquet")
+    batch = window_counts(ev)
+    streamed = run_window_counts(spark, tmp_root + "/in/events.parquet", "*.parquet")
+    closed = streamed.select("window_start").distinct()
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.join(closed, "window_start").collect()))
+    assert closed.count() == batch.select("window_start").distinct().count() - 1
+
+
 def test_window_counts_batch_equals_stream_for_closed_windows(spark):
     ev = spark.read.parquet(SF_SMALL + "/events.parquet")
     batch = window_counts(ev)
