@@ -99,16 +99,18 @@ def _make_scan(by: list[str], vals: list[str], sum_col: str | None, lag_cols: li
             newkey[0] = True
         newval = newkey | _starts(pdf, vals, carry["val"] if carry else None)
         seg = np.cumsum(newkey)
-        tie = np.cumsum(newval)
+        place = np.arange(n)
+        seg_start = np.maximum.accumulate(np.where(newkey, place, 0))
+        tie_start = np.maximum.accumulate(np.where(newval, place, 0))
         cont = carry is not None and not newkey[0]
         first_seg = seg == seg[0]
         ones = pd.Series(np.ones(n, dtype=np.int64))
         rn = ones.groupby(seg).cumsum().to_numpy()
         if cont:
             rn[first_seg] += carry["rn"]
-        rank = pd.Series(rn).groupby(tie).transform("first").to_numpy()
+        rank = rn[tie_start]
         if cont and not newval[0]:
-            rank[tie == tie[0]] = carry["rank"]
+            rank[np.cumsum(newval) == 0] = carry["rank"]
         dense = pd.Series(newval.astype(np.int64)).groupby(seg).cumsum().to_numpy()
         if cont:
             dense[first_seg] += carry["dense"]
@@ -145,7 +147,7 @@ def _make_scan(by: list[str], vals: list[str], sum_col: str | None, lag_cols: li
                     ld[-1] = next_first[c]
             out[f"_llead_{c}"] = ld
         for j, c in enumerate(first_cols):
-            fv = pd.Series(pdf[c].to_numpy(dtype=object)).groupby(seg).transform("first").to_numpy(dtype=object)
+            fv = pdf[c].to_numpy(dtype=object)[seg_start]  # the first row's value, also if it is NULL
             if cont:
                 fv[first_seg] = carry["first"][j]
             out[f"_lfirst_{c}"] = fv
@@ -301,7 +303,7 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[Order], *,
     carries = s.select(*[F.col(k).alias("_c_" + k if k != "_pid" else k) for k in keep])
 
     # ---- fix-up -------------------------------------------------------------
-    d = scanned.join(F.broadcast(carries), "_pid", "left")
+    d = scanned.join(carries, "_pid", "left")  # a row a partition; its size decides on a broadcast
     in_first = F.col("_c_cont") & key.eqNullSafe(F.col("_c_fk"))
     rank = (F.when(in_first & F.col("_c_tcont") & val.eqNullSafe(F.col("_c_fv")), F.col("_c_first_tie_rank"))
             .when(in_first, F.col("_lrank") + F.col("_c_carry_rows")).otherwise(F.col("_lrank")))
@@ -321,25 +323,31 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[Order], *,
     for c in first:
         out.append(F.when(in_first, F.col(f"_c_carry_first_{c}")).otherwise(F.col(f"_lfirst_{c}")).alias(f"first_{c}"))
     res = d.select(*out)
-    df = df.select(*user_cols)
-    if group_counts:
-        if by:
-            g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("group_rows"))
-            res = res.join(g, by, "left")
-        else:
-            res = res.withColumn("group_rows", F.lit(df.select(F.count(F.lit(1))).scalar()))
+    if group_counts and not by:
+        res = res.withColumn("group_rows", F.lit(scanned.select(F.count(F.lit(1))).scalar()))
+    elif group_counts:
+        res = _join_counts(res, scanned, by, "group_rows")
     if tie_counts:
-        kc = [*by, *vals]
-        t = df.groupBy(*kc).agg(F.count(F.lit(1)).alias("tie_rows"))
-        t = t.select(*[F.col(c).alias(f"_t_{c}") for c in kc], "tie_rows")
-        cond = None
-        for c in kc:  # order values may be NULL: null-safe equality
-            e = res[c].eqNullSafe(t[f"_t_{c}"])
-            cond = e if cond is None else cond & e
-        res = res.join(t, cond, "left").drop(*[f"_t_{c}" for c in kc])
+        res = _join_counts(res, scanned, [*by, *vals], "tie_rows")
     return res
 
 
+def _join_counts(rows: DataFrame, scanned: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Add the number of ``scanned`` rows with the same keys; NULL keys are a
+    group like any other."""
+    n = scanned.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return null_safe_join(rows, n, keys, "left")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the left side's keys are kept."""
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in keys})
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & left[c].eqNullSafe(r[f"_r_{c}"])
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in keys])
+
+
 def ntile(n: int, row_number: Column | str = "row_number", group_rows: Column | str = "group_rows") -> Column:
     """SQL ``ntile(n)`` from a row number and the group size: the first
     ``rows % n`` buckets get one extra row."""

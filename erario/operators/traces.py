@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from erario.operators.ordered import null_safe_join
 from erario.operators.stats import exact_percentiles
 
 
@@ -35,7 +36,7 @@ def span_stats(spans: DataFrame, by: Sequence[str] = ("component", "event_type")
         F.sum("tokens.total_cost").alias("total_cost"))
     agg = agg.withColumn("error_rate", F.col("errors") / F.col("calls"))
     pct = exact_percentiles(s.filter(F.col("latency_ms").isNotNull()), by, "latency_ms", ps)
-    return agg.join(pct, by, "left")
+    return null_safe_join(agg, pct, by, "left")
 
 
 def trace_rollup(spans: DataFrame) -> DataFrame:

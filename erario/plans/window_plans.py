@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from erario.functions.dates import month_ref
 from erario.functions.money import money
-from erario.operators.ordered import cume_dist, ntile, percent_rank, scan
-from erario.operators.stats import exact_percentiles
+from erario.operators.ordered import cume_dist, ntile, null_safe_join, percent_rank, scan
+from erario.operators.traces import span_stats as trace_span_stats, trace_rollup
 from erario.plans.registry import register
 from erario.sources.tables import table
 
@@ -69,23 +69,21 @@ WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 def analytic_functions(spark, sf_dir):
     """Per customer, orders in date order: previous/next price, first price,
     second price (NULL before the 2nd row) and last price of the customer.
-    nth and last values come from the rows with row_number 2 and n, joined
-    back on the key (an aggregate-sized side; AQE splits a hot key)."""
+    nth and last values come from one aggregate per key, joined back on it (AQE
+    splits a hot key)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     r = scan(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], tiebreak=[], lag=["o_totalprice"],
-             lead=["o_totalprice"], first=["o_totalprice"], group_counts=True)
-    second = r.filter(F.col("row_number") == 2).select(F.col("o_custkey").alias("_k2"),
-                                                        F.col("o_totalprice").alias("_second"))
-    last = r.filter(F.col("row_number") == F.col("group_rows")).select(F.col("o_custkey").alias("_kl"),
-                                                                        F.col("o_totalprice").alias("_last"))
-    j = (r.join(second, r.o_custkey == second._k2, "left")
-         .join(last, r.o_custkey == last._kl, "left"))
+             lead=["o_totalprice"], first=["o_totalprice"])
+    ends = r.groupBy("o_custkey").agg(
+        F.max(F.when(F.col("row_number") == 2, F.struct("o_totalprice"))).alias("second"),
+        F.max_by(F.struct("o_totalprice"), "row_number").alias("last"))
+    j = null_safe_join(r, ends, ["o_custkey"], "left")
     return j.select("o_orderkey", "o_custkey", "row_number",
                     F.col("lag_o_totalprice").alias("prev_price"),
                     F.col("lead_o_totalprice").alias("next_price"),
                     F.col("first_o_totalprice").alias("first_price"),
-                    F.when(F.col("row_number") >= 2, F.col("_second")).alias("second_price"),
-                    F.col("_last").alias("last_price"))
+                    F.when(F.col("row_number") >= 2, F.col("second.o_totalprice")).alias("second_price"),
+                    F.col("last.o_totalprice").alias("last_price"))
 
 
 # --------------------------------------------------------------------------
@@ -157,27 +155,49 @@ def _pct_sql(p):
             f"(MAX(CASE WHEN rn - 1 = ceil({h}) THEN value END) - MAX(CASE WHEN rn - 1 = floor({h}) THEN value END))")
 
 
+def _spans(spark, sf_dir):
+    """Events as trace spans: the type as component, a failed call from 400 up,
+    the value as latency, the user as trace and token count."""
+    e = table(spark, sf_dir, "events")
+    none = F.lit(None).cast("double")
+    return e.select(F.col("user_id").cast("string").alias("trace_id"), F.col("event_type").alias("component"),
+                    F.when(F.col("event_id") % 2 == 0, F.lit("call")).alias("event_type"), "ts",
+                    F.when(F.col("value") >= 400, F.lit("ERROR")).otherwise(F.lit("OK")).alias("status"),
+                    F.col("value").alias("latency_ms"),
+                    F.struct(F.col("user_id").alias("total_tokens"), F.col("event_id").alias("prompt_tokens"),
+                             F.lit(1).cast("long").alias("completion_tokens"), none.alias("total_cost")).alias("tokens"))
+
+
 @register("span_stats", "T13", f"""
-WITH r AS (
-  SELECT event_type, value,
-         row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn,
-         COUNT(*) OVER (PARTITION BY event_type) AS n
-  FROM events WHERE value IS NOT NULL),
-p AS (SELECT event_type, {_pct_sql(0.5)} AS p50, {_pct_sql(0.9)} AS p90, {_pct_sql(0.99)} AS p99
-      FROM r GROUP BY event_type, n),
-a AS (SELECT event_type, COUNT(*) AS calls, COUNT(DISTINCT user_id) AS users,
-             CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value,
-             CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(value) AS avg_value
-      FROM events GROUP BY event_type)
-SELECT a.*, p.p50, p.p90, p.p99 FROM a JOIN p USING (event_type)
+WITH s AS (SELECT event_type AS component, CASE WHEN event_id % 2 = 0 THEN 'call' END AS event_type, value, user_id, event_id
+           FROM events),
+r AS (SELECT component, event_type, value, row_number() OVER (PARTITION BY component, event_type ORDER BY value) AS rn,
+             COUNT(*) OVER (PARTITION BY component, event_type) AS n FROM s WHERE value IS NOT NULL),
+p AS (SELECT component, event_type, {_pct_sql(0.5)} AS p50, {_pct_sql(0.9)} AS p90, {_pct_sql(0.99)} AS p99
+      FROM r GROUP BY component, event_type, n),
+a AS (SELECT component, event_type, COUNT(*) AS calls, COUNT(*) FILTER (value >= 400) AS errors,
+             CAST(SUM(user_id) AS BIGINT) AS total_tokens, CAST(SUM(event_id) AS BIGINT) AS prompt_tokens,
+             COUNT(*) AS completion_tokens, CAST(NULL AS DOUBLE) AS total_cost,
+             CAST(COUNT(*) FILTER (value >= 400) AS DOUBLE) / COUNT(*) AS error_rate FROM s GROUP BY 1, 2)
+SELECT a.*, p.p50, p.p90, p.p99
+FROM a JOIN p ON a.component = p.component AND a.event_type IS NOT DISTINCT FROM p.event_type
 """)
 def span_stats(spark, sf_dir):
-    """Per event type: calls, distinct users, total and mean value, and exact
-    p50/p90/p99 of the value."""
-    e = table(spark, sf_dir, "events")
-    s = money("value")
-    a = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("user_id").alias("users"),
-                                    F.sum(s).cast("double").alias("total_value"),
-                                    (F.sum(s).cast("double") / F.count("value")).alias("avg_value"))
-    p = exact_percentiles(e, ["event_type"], "value", _PS)
-    return a.join(p, "event_type")
+    """Per component and event type (half of them NULL): calls, errors, tokens
+    and exact p50/p90/p99 of the latency."""
+    return trace_span_stats(_spans(spark, sf_dir)).drop("avg_latency_ms")
+
+
+@register("trace_rollup", "T14", """
+SELECT CAST(user_id AS VARCHAR) AS trace_id, COUNT(*) AS spans, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ended, CAST(SUM(user_id) AS BIGINT) AS total_tokens,
+       CAST(NULL AS DOUBLE) AS total_cost, bool_or(value >= 400) AS failed,
+       array_to_string(list_sort(list(DISTINCT event_type)), ',') AS components
+FROM events GROUP BY user_id
+""")
+def trace_rollup_q(spark, sf_dir):
+    """Every user's events as one trace."""
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    r = trace_rollup(_spans(spark, sf_dir))
+    return r.select("trace_id", "spans", stamp("started"), stamp("ended"), "total_tokens", "total_cost", "failed",
+                    F.array_join("components", ",").alias("components"))
