@@ -35,6 +35,11 @@ def test_trace_log(spark, tmp_root):
         f.write("\n".join(lines) + "\n")
     spans = read_trace_log(spark, p)
     assert spans.filter("corrupt").select("corrupt", "trace_id").collect() == [(True, None)]
+    assert spans.filter("corrupt").count() == 1
+    plain = spark.createDataFrame([(None, None, 1.0), (None, None, 3.0)], "component string, event_type string, latency_ms double")
+    plain = plain.selectExpr("*", "'OK' AS status", "named_struct('total_tokens', 1L, 'prompt_tokens', 1L, "
+                             "'completion_tokens', 1L, 'total_cost', 0D) AS tokens")
+    assert [(r.calls, r.p50) for r in span_stats(plain).collect()] == [(2, 2.0)]
     st = {(r.component, r.event_type): r for r in span_stats(spans).collect()}
     pl = st[("planner", "THOUGHT")]
     assert (pl.calls, pl.errors, pl.p50, pl.total_tokens) == (3, 0, 200.0, 30)
@@ -66,15 +71,22 @@ def test_decode_rows(spark):
 
 
 @pytest.mark.parametrize("sql", ["SELECT 1", "  select 1", "with a as (select 1 as x) select * from a",
-                                 "-- note\nSELECT 1", "SELECT 'drop table x' AS s;"])
-def test_readonly_accepts(sql):
+                                 "-- note\nSELECT 1", "SELECT 'drop table x' AS s;",
+                                 "SELECT `use`, `set`, load FROM VALUES (1, 2, 3) AS t(use, `set`, load)",
+                                 "SELECT * FROM range(3) WHERE id IN (SELECT max(id) FROM range(2))"])
+def test_readonly_accepts(spark, sql):
     check_readonly(sql)
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE t", "SELECT 1; DROP TABLE t", "SELECT TRANSFORM(a) USING 'cat' FROM t",
-                                 "SELECT reflect('java.lang.System', 'exit', 0)",
-                                 "SELECT * FROM parquet.`/etc/passwd`", "INSERT INTO t SELECT 1", "SET x=1"])
-def test_readonly_rejects(sql):
+@pytest.mark.parametrize("sql", [
+    "DROP TABLE t", "SELECT 1; DROP TABLE t", "SELECT TRANSFORM(a) USING 'cat' FROM t",
+    "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT * FROM parquet.`/etc/passwd`", "INSERT INTO t SELECT 1",
+    "SET x=1", "SELECT '/*', reflect('java.lang.Math', 'abs', 1), '*/'", "SELECT '--', reflect('java.lang.Math', 'abs', 1)",
+    "SELECT `reflect`('java.lang.Math', 'abs', 1)", "SELECT * FROM (MAP id USING 'cat' AS (b) FROM range(2))",
+    "SELECT * FROM csv.`folder`", "WITH a AS (SELECT java_method('java.lang.Math', 'abs', 1)) SELECT * FROM a",
+    "SELECT (SELECT try_reflect('java.lang.Math', 'abs', 1))", "SELECT id FROM range(3) ORDER BY reflect('a', 'b')",
+    "SELECT 1 WHERE EXISTS (SELECT * FROM text.`x`)", "CREATE TABLE z AS SELECT 1", "CACHE TABLE t", "EXPLAIN SELECT 1"])
+def test_readonly_rejects(spark, sql):
     with pytest.raises(ReadOnlyViolation):
         check_readonly(sql)
 
