@@ -55,14 +55,9 @@ def accent_fold(col) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(folded)
 
 
-def fold_literal(s: str) -> str:
-    """The same folding for a driver-side keyword."""
-    return "".join(x for x in unicodedata.normalize("NFD", s) if unicodedata.category(x) != "Mn").lower()
-
-
 def contains_folded(col, keyword: str) -> Column:
     """Accent- and case-insensitive substring test (the reference's search)."""
-    return F.contains(accent_fold(col), F.lit(fold_literal(keyword)))
+    return F.contains(accent_fold(col), accent_fold(F.lit(keyword)))
 
 
 # ---------------------------------------------------------------------------
@@ -111,10 +106,8 @@ def redact(col, rules: Sequence[tuple[str, str, bool]] = REDACTION_RULES) -> Col
     """Replace every sensor hit with ``[REDACTED]``; clean text is unchanged.
     For ``key = value`` secrets the key name is kept: ``token = [REDACTED]``."""
     out = _c(col)
-    for name, pat, keep in rules:
-        rep = F.regexp_replace(out, pat, ("$1$2" if keep else "") + REDACTED)
-        g = _guard(out, name)
-        out = rep if g is None else F.when(g, rep).otherwise(out)
+    for _, pat, keep in rules:
+        out = F.regexp_replace(out, pat, ("$1$2" if keep else "") + REDACTED)
     return out
 
 
@@ -168,19 +161,20 @@ SCREEN_RULES: list[tuple[str, str]] = [
 
 
 def screen_hits(col, rules: Sequence[tuple[str, str]] = SCREEN_RULES) -> Column:
-    """Comma-joined names of the rules a message triggers ('' if none)."""
-    folded = accent_fold(col)
-    return F.concat_ws(",", *[F.when(folded.rlike(p), F.lit(n)) for n, p in rules])
+    """Comma-joined names of the rules a message triggers ('' if none). The text
+    is folded once, as the variable that every rule reads."""
+    return F.transform(F.array(accent_fold(col)), lambda t: F.concat_ws(
+        ",", *[F.when(t.rlike(p), F.lit(n)) for n, p in rules]))[0]
+
+
+def verdict_of(hits: Column) -> Column:
+    """'UNSAFE' if any rule fired, else 'SAFE' (fail-open, as the reference)."""
+    return F.when(hits != "", F.lit("UNSAFE")).otherwise(F.lit("SAFE"))
 
 
 def screen_verdict(col, rules: Sequence[tuple[str, str]] = SCREEN_RULES) -> Column:
-    """'UNSAFE' if any rule fires, else 'SAFE' (fail-open, as the reference)."""
-    folded = accent_fold(col)
-    hit = None
-    for _, p in rules:
-        h = folded.rlike(p)
-        hit = h if hit is None else hit | h
-    return F.when(F.coalesce(hit, F.lit(False)), F.lit("UNSAFE")).otherwise(F.lit("SAFE"))
+    """The verdict alone; with the hits at hand use ``verdict_of``."""
+    return verdict_of(screen_hits(col, rules))
 
 
 def screen_sql(expr: str, rules: Sequence[tuple[str, str]] = SCREEN_RULES) -> tuple[str, str]:
@@ -197,7 +191,9 @@ def screen_sql(expr: str, rules: Sequence[tuple[str, str]] = SCREEN_RULES) -> tu
 # code fences, statements, outcomes, verdicts
 # ---------------------------------------------------------------------------
 
-_WS = r"^[\s ]+|[\s ]+$"
+#: What Python's ``str.strip()`` removes (fixed value).
+BLANKS = "\\x09-\\x0d\\x1c-\\x20\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WS = f"^[{BLANKS}]+|[{BLANKS}]+$"
 
 
 def py_strip(col) -> Column:
@@ -210,7 +206,7 @@ def strip_code_fence(col, anywhere: bool = False) -> Column:
     ```` ``` ````; trim again. ``anywhere=True`` is the SQL variant: every
     ```` ```sql ```` / ```` ``` ```` fence is removed wherever it is."""
     if anywhere:
-        return py_strip(F.regexp_replace(_c(col), r"```(sql|SQL)?", ""))
+        return py_strip(F.regexp_replace(_c(col), r"```(sql)?", ""))
     s = py_strip(col)
     s = F.regexp_replace(s, r"^```(python)?", "")
     s = F.regexp_replace(s, r"```$", "")

@@ -139,11 +139,13 @@ def top_recipients(df: DataFrame, key: str, value: Column | str, k: int = 5,
 
     Partial aggregation makes the shuffle one row per (task, key); the final
     ordering is a per-task top-k merged on the driver (TakeOrderedAndProject),
-    so only ``k`` rows per task move.
+    so only ``k`` rows per task move. A column name is read as money, an
+    expression is summed and ranked exactly as given.
     """
-    v = money(value) if isinstance(value, str) else value.cast("decimal(18,2)")
-    return (df.groupBy(key).agg(F.sum(v).cast("double").alias(total_alias))
-            .orderBy(F.col(total_alias).desc(), F.col(key).asc()).limit(k))
+    v = money(value) if isinstance(value, str) else value
+    return (df.groupBy(key).agg(F.sum(v).alias("_total"))
+            .orderBy(F.col("_total").desc(), F.col(key).asc()).limit(k)
+            .select(key, F.col("_total").cast("double").alias(total_alias)))
 
 
 def group_having(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],

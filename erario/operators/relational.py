@@ -43,8 +43,9 @@ def exists(outer: DataFrame, inner: DataFrame, on) -> DataFrame:
 
 
 def band_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, width: float,
-              keys: Sequence[tuple[str, str]] = (), how: str = "inner") -> DataFrame:
-    """Pairs with ``|left.lcol - right.rcol| <= width`` (and equal keys).
+              keys: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Inner join: pairs with ``|left.lcol - right.rcol| <= width`` (and equal
+    keys). The pairs themselves grow with both sides' rows in a band.
 
     Both sides are bucketed by ``floor(value / width)``; the left side is
     replicated into its bucket and the two neighbours (3 copies), the right
@@ -61,7 +62,7 @@ def band_join(left: DataFrame, right: DataFrame, lcol: str, rcol: str, width: fl
     for lk, rk in keys:
         cond = cond & (lx[lk] == rx[rk])
     cond = cond & (F.abs(lx[lcol] - rx[rcol]) <= F.lit(width))
-    return lx.join(rx, cond, how).drop("_bkt", "_rbkt")
+    return lx.join(rx, cond).drop("_bkt", "_rbkt")
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

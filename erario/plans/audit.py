@@ -233,12 +233,9 @@ ORDER BY t.v DESC, s.s_suppkey LIMIT 5
 """)
 def top_recipients(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    rev = money("l_extendedprice") * (F.lit(1) - money("l_discount"))
-    per = li.groupBy("l_suppkey").agg(F.sum(rev).alias("_v"))
+    top = A.top_recipients(li, "l_suppkey", money("l_extendedprice") * (F.lit(1) - money("l_discount")))
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    j = per.join(s, per.l_suppkey == s.s_suppkey)
-    return (j.orderBy(F.col("_v").desc(), F.col("s_suppkey").asc()).limit(5)
-            .select("s_suppkey", "s_name", F.col("_v").cast("double").alias("total")))
+    return s.join(top, s.s_suppkey == top.l_suppkey).select("s_suppkey", "s_name", "total")
 
 
 # --------------------------------------------------------------------------

@@ -66,7 +66,8 @@ FROM conversations WHERE role = 'user'
 def screen_messages(spark, sf_dir):
     """Every user message screened SAFE/UNSAFE by the rule table."""
     c = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    return c.select("conv_id", "turn", X.screen_verdict("text").alias("verdict"), X.screen_hits("text").alias("hits"))
+    c = c.select("conv_id", "turn", X.screen_hits("text").alias("hits"))
+    return c.select("conv_id", "turn", X.verdict_of(F.col("hits")).alias("verdict"), "hits")
 
 
 @register("last_turn", "T4", """
@@ -118,3 +119,98 @@ FROM customer
 def format_brl(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", X.format_brl("c_acctbal").alias("balance"))
+
+
+@register("strip_code_fences", "T6", f"""
+SELECT doc_id, regexp_replace(body, '^[{X.BLANKS}]+|[{X.BLANKS}]+$', '', 'g') AS code
+FROM (SELECT doc_id, regexp_replace(replace(replace('  ```sql' || chr(10) || text || chr(10) || '``` ', '```sql', ''), '```', ''),
+                                    'x^', '') AS body FROM documents)
+""")
+def strip_code_fences(spark, sf_dir):
+    """Every document fenced as SQL, and the fences taken off again."""
+    d = table(spark, sf_dir, "documents")
+    fenced = F.concat(F.lit("  ```sql\n"), F.col("text"), F.lit("\n``` "))
+    return d.select("doc_id", X.strip_code_fence(fenced, anywhere=True).alias("code"))
+
+
+@register("decode_results", "T8", """
+SELECT event_id, CAST(p.pos AS INTEGER) AS pos, CASE WHEN p.ok THEN coalesce(json_extract_string(props, '$.k'), '0') END AS k, p.raw
+FROM events, LATERAL (SELECT unnest(CASE event_id % 3 WHEN 0 THEN [0, 1] ELSE [NULL] END) AS pos,
+                             event_id % 3 <> 2 AS ok, CASE WHEN event_id % 3 = 2 THEN 'props: ' || props END AS raw) p
+""")
+def decode_results(spark, sf_dir):
+    """Event properties as tool results: a list of two, an object, or text that
+    is no JSON, decoded to rows."""
+    from erario.operators.decode import decode_rows
+
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_id") % 3
+    result = (F.when(kind == 0, F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]")))
+              .when(kind == 1, F.col("props")).otherwise(F.concat(F.lit("props: "), "props")))
+    return decode_rows(e.select("event_id", result.alias("result")), "result", {"k": 0})
+
+
+@register("classify_outcomes", "T9", """
+SELECT conv_id, turn, CASE WHEN starts_with(o, 'Execution Error') OR starts_with(o, 'System Error') OR contains(o, 'Traceback')
+       THEN 'error' ELSE 'ok' END AS outcome
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Execution Error: ' WHEN 1 THEN 'result: Execution Error ' WHEN 2 THEN 'Traceback ' ELSE '' END
+             || text AS o FROM conversations)
+""")
+def classify_outcomes(spark, sf_dir):
+    """Every message as the output of a run."""
+    c = table(spark, sf_dir, "conversations")
+    t = F.col("turn") % 4
+    start = (F.when(t == 0, F.lit("Execution Error: ")).when(t == 1, F.lit("result: Execution Error "))
+             .when(t == 2, F.lit("Traceback ")).otherwise(F.lit("")))
+    return c.select("conv_id", "turn", X.classify_outcome(F.concat(start, "text")).alias("outcome"))
+
+
+@register("parse_verdicts", "T10", """
+SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN 'APPROVE' ELSE 'REJECT' END AS verdict,
+       CASE turn % 3 WHEN 0 THEN 'CODE' END AS target, CASE WHEN turn % 3 < 2 THEN split_part(text, chr(10), 1) END AS reason
+FROM conversations
+""")
+def parse_verdicts(spark, sf_dir):
+    """Every message's first line as a reviewer's reason."""
+    c = table(spark, sf_dir, "conversations")
+    t = F.col("turn") % 3
+    head = F.when(t == 0, F.lit("REJECT [CODE]: ")).when(t == 1, F.lit("REJECT: ")).otherwise(F.lit("APPROVE: "))
+    v = X.parse_verdict(F.concat(head, F.split("text", "\n", 2)[0]))
+    return c.select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.verdict", "v.target", "v.reason")
+
+
+@register("trace_log", "A11", """
+SELECT event_type AS component, count(*) FILTER (event_id % 50 <> 0) AS spans, count(*) FILTER (event_id % 50 = 0) AS corrupt
+FROM events GROUP BY event_type
+""")
+def trace_log(spark, sf_dir):
+    """Events as a landed trace log with a broken line now and then, read back:
+    spans and corrupt lines per component."""
+    from erario.session import scratch_dir
+    from erario.sources.logs import read_trace_log
+
+    e = table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(F.col("event_type").alias("component"), F.col("ts").cast("string").alias("timestamp"),
+                              F.col("value").alias("latency_ms")))
+    path = scratch_dir(spark, "trace-log")
+    (e.select(F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{broken "), "event_type")).otherwise(line).alias("value"))
+     .write.text(path))
+    log = read_trace_log(spark, path)
+    named = F.coalesce("component", F.regexp_extract("_corrupt_record", "^\\{broken (.*)$", 1))
+    return (log.groupBy(named.alias("component"))
+            .agg(F.count(F.when(~F.col("corrupt"), 1)).alias("spans"), F.count(F.when(F.col("corrupt"), 1)).alias("corrupt")))
+
+
+@register("month_refs", "C7", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE strftime(l_shipdate, '%Y%m') END AS month_ref
+FROM lineitem
+""")
+def month_refs(spark, sf_dir):
+    """Month references in their three spellings and a wrong one, normalised."""
+    from erario.functions.dates import normalize_month_ref
+
+    li = table(spark, sf_dir, "lineitem")
+    kind, d = F.col("l_linenumber") % 4, F.col("l_shipdate")
+    mes = (F.when(kind == 0, F.date_format(d, "yyyyMM")).when(kind == 1, F.date_format(d, "MM"))
+           .when(kind == 2, F.month(d).cast("string")).otherwise(F.lit("13")))
+    return li.select("l_orderkey", "l_linenumber", normalize_month_ref(mes, F.year(d)).alias("month_ref"))
