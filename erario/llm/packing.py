@@ -30,7 +30,7 @@ OPEN = 32
 MIN_CUT = 8
 END_ID = 1
 MERGE = 8
-_CACHED = 400_000
+_CACHED = 250_000
 _PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _WHOLE = re.compile("['\u0130\u03a3]|<\\|")
 #: White space to ``str.split`` but not to the tokenizer.
