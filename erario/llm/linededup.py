@@ -139,16 +139,18 @@ def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: int
     without words inside a deleted run go with it. Repeated rows of one
     document lose the same lines. NULL text stays NULL with no lines.
     """
-    runs = saved(repeated_runs(docs, unit_words, window_words), "line-runs").withColumnsRenamed(
-        {"doc_id": "_id", "text_key": "_key"})
-    keyed = docs.drop("n_lines", "n_removed").withColumn("_text_key", F.xxhash64("text"))
+    runs = saved(repeated_runs(docs, unit_words, window_words), "line-runs")
+    # the document travels as one value, so its columns cannot clash with the runs
+    row = docs.drop("n_lines", "n_removed").select(F.struct("*").alias("row"))
+    same = (F.xxhash64("row.text") == F.col("text_key")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
     # always merged: what is deleted grows with the input
-    joined = keyed.join(runs.hint("merge"), (F.col("_text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = F.split("text", "\n", -1)
+    joined = row.join(runs.hint("merge"), same, "left").select("row", "runs")
+    lines = F.split("row.text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
-    out = (joined.withColumn("_kept", F.when(F.col("runs").isNotNull(), kept))
-           .withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")}))
-    return (out.withColumn("n_removed", F.when(F.col("runs").isNull(), 0)
-                           .otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-            .withColumn("text", F.coalesce(F.array_join("_kept", "\n"), F.col("text")))
-            .drop("_id", "_key", "_text_key", "runs", "_kept"))
+    out = joined.withColumns({"kept": F.when(F.col("runs").isNotNull(), kept),
+                              "all": F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long")})
+    text = F.coalesce(F.array_join("kept", "\n"), F.col("row.text")).alias("text")
+    gone = F.when(F.col("runs").isNull(), 0).otherwise(F.col("all") - F.size("kept")).cast("long")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in columns],
+                      F.col("all").alias("n_lines"), gone.alias("n_removed"))
