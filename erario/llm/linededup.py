@@ -3,10 +3,10 @@
 A document is the sequence of its lines that hold a word. A unit is the
 shortest run of lines from a given line on that has ``unit_words`` words, a
 window the shortest that has ``window_words``. Of every window the unit with
-the least hash is its fingerprint, so any run that holds a whole window and
-occurs twice shares a fingerprint. Fingerprints are joined to their first
-occurrence by position; matches are extended line by line both ways, and the
-later lines are deleted.
+the least hash is its fingerprint, so places that share a window share a
+fingerprint. Fingerprints found at several places bring their windows together;
+each window is joined by position to its first occurrence, the match is
+extended line by line both ways, and the later lines are deleted.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from .common import saved
 
 UNIT_WORDS = 25
 WINDOW_WORDS = 50
-_ENTRY = ("text_key long, finger long, line int, first_raw int, last_raw int, before array<long>, "
-          "before_raw array<int>, after array<long>, after_raw array<int>")
+_ENTRY = ("text_key long, finger long, first_raw int, last_raw int, before array<long>, before_raw array<int>, "
+          "after array<long>, after_raw array<int>, windows array<struct<window:long,line:int>>")
 
 
 def _signed(h: int) -> int:
@@ -30,9 +30,10 @@ def _signed(h: int) -> int:
 
 
 def fingerprints(text: str, unit_words: int, window_words: int) -> list[tuple]:
-    """Selected units of a text: hash, first line (counting lines with a word),
-    first and last line (counting all), and the lines around: hashes and
-    numbers outwards from the unit until they hold ``window_words`` words."""
+    """Selected units of a text: hash, first and last line (counting all lines),
+    the lines around it as hashes and numbers outwards from the unit until they
+    hold ``window_words`` words, and the windows that selected it: hash and
+    first line (counting lines with a word)."""
     import xxhash
 
     raw, hashes, sizes = [], [], []
@@ -59,7 +60,7 @@ def fingerprints(text: str, unit_words: int, window_words: int) -> list[tuple]:
     unit_end, window_end = ends(unit_words), ends(window_words)
     unit_hash = [_signed(xxhash.xxh3_64_intdigest(repr(hashes[i:e]))) if e <= n else None
                  for i, e in enumerate(unit_end)]
-    chosen: list[int] = []
+    chosen: dict[int, list[tuple[int, int]]] = {}
     queue: list[int] = []  # starts of units by rising hash, the later of equals first
     nxt = head = 0
     for i in range(n):
@@ -72,17 +73,17 @@ def fingerprints(text: str, unit_words: int, window_words: int) -> list[tuple]:
             nxt += 1
         while queue[head] < i:
             head += 1
-        if not chosen or chosen[-1] != queue[head]:
-            chosen.append(queue[head])
+        window = _signed(xxhash.xxh3_64_intdigest(repr(hashes[i:window_end[i]]), 1))
+        chosen.setdefault(queue[head], []).append((window, i))
     out = []
-    for i in chosen:
+    for i, windows in chosen.items():
         e = unit_end[i]
         b, a = i, e
         while b > 0 and total[i] - total[b] < window_words:
             b -= 1
         while a < n and total[a] - total[e] < window_words:
             a += 1
-        out.append((unit_hash[i], i, raw[i], raw[e - 1], hashes[b:i][::-1], raw[b:i][::-1], hashes[e:a], raw[e:a]))
+        out.append((unit_hash[i], raw[i], raw[e - 1], hashes[b:i][::-1], raw[b:i][::-1], hashes[e:a], raw[e:a], windows))
     return out
 
 
@@ -96,8 +97,8 @@ def repeated_runs(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: i
     """``doc_id, text_key, runs``: for each document with later repeats the
     line ranges ``(first, last)`` to delete, counted in its own lines from 0.
 
-    Documents are ordered by (doc_id, hash of the text), NULL ids last. A
-    fingerprint is compared with its first occurrence alone, found by a
+    Places are ordered by doc_id (NULL last), hash of the text and line. A
+    window is compared with its first occurrence alone, found by a
     pre-aggregated minimum, so a passage in N documents makes N rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -112,15 +113,21 @@ def repeated_runs(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: i
              .select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("text_key"), "text"))
     entries = saved(texts.mapInPandas(select, f"doc_id string, {_ENTRY}")
                     .withColumn("doc_id", F.col("doc_id").cast(kind)), "line-fingerprints")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"),
-                     F.col("text_key").alias("text_key"), F.col("line").alias("line"))
-    # only entries shared by several places go on; a repeated row is the same place
-    first = (entries.groupBy("finger").agg(
-        F.min(F.struct(place.alias("place"), "before", "after")).alias("o"), F.max(place).alias("last"))
-        .where("o.place != last").select("finger", F.col("o.place").alias("place"), F.col("o.before").alias("o_before"),
-                                         F.col("o.after").alias("o_after")))
-    first = saved(first, "line-first")
-    met = entries.join(first, "finger").where(F.col("place") < place)
+    def place(line: str) -> Column:
+        return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"),
+                        F.col("text_key").alias("text_key"), F.col(line).alias("line"))
+
+    # only fingerprints and windows of several places go on; a repeated row is the same place
+    def several(rows: DataFrame, key: str, line: str, name: str) -> DataFrame:
+        first = F.min(F.struct(place(line).alias("place"), "before", "after"))
+        return saved(rows.groupBy(key).agg(first.alias("o"), F.max(place(line)).alias("last")).where("o.place != last")
+                     .select(key, F.col("o.place").alias("place"), F.col("o.before").alias("o_before"),
+                             F.col("o.after").alias("o_after")), name)
+
+    shared = several(entries, "finger", "first_raw", "line-shared").select("finger")
+    windows = saved(entries.join(shared, "finger").withColumn("w", F.explode("windows"))
+                    .select("*", "w.window", "w.line").drop("w", "windows", "finger"), "line-windows")
+    met = windows.join(several(windows, "window", "line", "line-first"), "window").where(F.col("place") < place("line"))
     nb, na = _agree(F.col("before"), F.col("o_before")), _agree(F.col("after"), F.col("o_after"))
     run = F.struct(F.when(nb > 0, F.get("before_raw", nb - 1)).otherwise(F.col("first_raw")).alias("first"),
                    F.when(na > 0, F.get("after_raw", na - 1)).otherwise(F.col("last_raw")).alias("last"))
@@ -132,11 +139,12 @@ def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: int
     columns ``n_lines`` (of the old text) and ``n_removed`` (columns of these
     names are replaced).
 
-    A run of lines of at least ``window_words`` words that an earlier place
-    holds too is always found, one of ``unit_words`` words may be, shorter ones
-    stay. Earlier means a smaller doc_id (then the text's hash, then the line),
-    the same document included. Lines are equal if their words are; lines
-    without words inside a deleted run go with it. Repeated rows of one
+    A window (the shortest run of lines from a line on with ``window_words``
+    words) that an earlier place holds too is deleted, with the lines next to it
+    that agree with those around its first occurrence; shorter repeats stay.
+    Earlier means a smaller doc_id (then the text's hash, then the line), the
+    same document included. Lines are equal if their words are; lines without
+    words inside a deleted run go with it. Repeated rows of one
     document lose the same lines. NULL text stays NULL with no lines.
     """
     runs = saved(repeated_runs(docs, unit_words, window_words), "line-runs")
