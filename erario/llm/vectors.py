@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,27 +123,25 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: in
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     sized = saved(candidates.select("vec_id", "v", norm.alias("norm")), "topk-vectors")
-    n = sized.count()
-    cells = max(1, -(-n // (bucket_rows * cell_buckets)))
-    cuts = sized.approxQuantile("norm", [i / cells for i in range(1, cells)], 0.01) if cells > 1 else []
-    # cells of falling length; equal lengths (one hot norm) are dealt on by the id's hash
-    level = F.lit(0)
-    for c in sorted(set(cuts)):
-        level = level + (F.col("norm") < c).cast("int")
-    share = sized.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()  # at most `cells` rows
-    parts = {r["level"]: max(1, -(-r["n"] // (2 * bucket_rows * cell_buckets))) for r in share}
-    first = {}
-    for lv in sorted(parts):
-        first[lv] = sum(parts[x] for x in parts if x < lv)
-    at = F.create_map(*[x for lv in parts for x in (F.lit(lv), F.struct(F.lit(first[lv]).alias("first"), F.lit(parts[lv]).alias("n")))]) if parts else None
-    if not parts:
+    room = bucket_rows * cell_buckets
+    # cells of falling length; equal lengths (one hot norm) are dealt on by id
+    dealt = sized.repartitionByRange(max(1, -(-sized.count() // room)), F.desc("norm"), "vec_id")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held = TaskContext.get().partitionId(), []
+        for pdf in batches:
+            held += [{"vec_id": i, "v": v} for i, v in zip(pdf["vec_id"].tolist(), pdf["v"])]
+            while len(held) >= room:
+                yield pd.DataFrame({"cell": [cell], "vectors": [held[:room]]})
+                held = held[room:]
+        if held:
+            yield pd.DataFrame({"cell": [cell], "vectors": [held]})
+
+    packed = saved(dealt.select("vec_id", "v").mapInPandas(
+        pack, "cell int, vectors array<struct<vec_id:bigint,v:array<bigint>>>"), "topk-cells")
+    cells = packed.agg(F.min("cell").alias("first"), F.max("cell").alias("last")).first()
+    if cells["first"] is None:
         return sized.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    home = F.element_at(at, level)
-    cell = home["first"] + F.pmod(F.xxhash64("vec_id"), home["n"].cast("long")).cast("int")
-    n_cells = sum(parts.values())
-    packed = (sized.withColumn("cell", cell).groupBy("cell")
-              .agg(F.collect_list(F.struct("vec_id", "v")).alias("vectors")))
-    # a cell holds a bounded number of vectors by construction
     asked = queries.dropDuplicates(["vec_id"])
     n_blocks = max(1, -(-asked.count() // query_block))
     blocks = (asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
@@ -164,20 +163,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: in
 
     found = "query_id long, vec_id long, score long"
     none = F.lit(None).cast("array<struct<query_id:bigint,bound:double>>")
-    opening = (blocks.withColumn("cell", F.lit(0)).join(packed, "cell")
+    opening = (blocks.withColumn("cell", F.lit(cells["first"])).join(packed, "cell")
                .select("asked", "vectors", none.alias("bounds")).mapInPandas(search, found))
     opening = saved(opening, "topk-opening")
     rest = None
-    if n_cells > 1:
+    if cells["last"] > cells["first"]:
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         kth = (opening.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k)
                .select("query_id", F.col("score").cast("double").alias("bound"))
                .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
                .groupBy("block").agg(F.collect_list(F.struct("query_id", "bound")).alias("bounds")))
         todo = (blocks.join(kth, "block", "left")
-                .withColumn("cell", F.explode(F.sequence(F.lit(1), F.lit(n_cells - 1)))))
+                .withColumn("cell", F.explode(F.sequence(F.lit(cells["first"] + 1), F.lit(cells["last"])))))
+        pairs = n_blocks * (cells["last"] - cells["first"])
         rest = (todo.join(packed, "cell").select("asked", "vectors", "bounds")
-                .repartition(max(1, n_blocks * (n_cells - 1))).mapInPandas(search, found))
+                .repartition(min(pairs, 10_000)).mapInPandas(search, found))
     every = opening if rest is None else opening.unionByName(rest)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (every.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
