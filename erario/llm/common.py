@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,31 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that ``saved`` writes inside, on leaving without an
+    error; those passed to the function it yields stay."""
+    written: list[str] = []
+    kept: set[int] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(len(written) - 1)
+        return df
+
+    _SCRATCH.append(written)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.pop()
+    for i, path in enumerate(written):
+        if i not in kept:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder of ``spark.checkpoint.dir`` and read
     it back: cuts the lineage, survives lost executors and gives the planner
@@ -30,6 +58,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     checkpoint_dir(spark)
     path = scratch_dir(spark, name)
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, scratch
 
 UNIT_WORDS = 25
 WINDOW_WORDS = 50
@@ -147,7 +147,8 @@ def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: int
     words inside a deleted run go with it. Repeated rows of one
     document lose the same lines. NULL text stays NULL with no lines.
     """
-    runs = saved(repeated_runs(docs, unit_words, window_words), "line-runs")
+    with scratch(docs.sparkSession) as keep:
+        runs = keep(saved(repeated_runs(docs, unit_words, window_words), "line-runs"))
     # the document travels as one value, so its columns cannot clash with the runs
     row = docs.drop("n_lines", "n_removed").select(F.struct("*").alias("row"))
     same = (F.xxhash64("row.text") == F.col("text_key")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, saved
+from .common import LOWER, UPPER, WORD, saved, scratch
 
 SHINGLE = 5
 PERCENT = 80
@@ -319,8 +319,18 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     id itself being reached if one of them is. ``class_rows`` counts the rows
     with the same set. Shingles are compared by 64-bit hashes.
     """
-    rows = _nodes(docs)
-    base = saved(_sets(rows, size, region), "ngram-docs")
+    with scratch(docs.sparkSession) as keep:
+        rows = _nodes(docs)
+        base = keep(saved(_sets(rows, size, region), "ngram-docs"))
+        answer = keep(saved(_answers(rows, base, size, percent), "ngram-answers"))
+    return (base.join(answer, ["k1", "k2"], "left")
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                    F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows")))
+
+
+def _answers(rows: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame:
+    """``k1, k2, class_rows, component_id`` of every class of equal sets."""
     classes = saved(base.where("n > 0").groupBy("k1", "k2", "n")
                     .agg(F.min("node").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("class_rows")),
                     "ngram-classes")
@@ -339,14 +349,10 @@ def ngram_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
              .select("node", F.coalesce("far", "root").alias("root"))
              .unionByName(joined.join(roots, "node", "left_anti")))
     label = saved(label.unionByName(label.select(F.col("root").alias("node"), "root")).distinct(), "ngram-labels")
-    # the smallest doc_id of each component, and the classes whose answer is not just their own id
-    named = (classes.join(label, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # the smallest doc_id of each component
+    named = classes.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("least is not null").groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = saved(named.join(least, "root", "left").select("k1", "k2", "class_rows", "component_id"), "ngram-answers")
-    return (base.join(answer, ["k1", "k2"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows")))
+    return named.join(least, "root", "left").select("k1", "k2", "class_rows", "component_id")
 
 
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
