@@ -37,7 +37,7 @@ BROADCAST_IDS = 2_000_000
 _FOLD = str.maketrans(UPPER, LOWER)
 _WORDS = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 100_000
 
 
 class _WordHashes(dict):
@@ -103,6 +103,7 @@ def _sets(rows: DataFrame, size: int, region: float) -> DataFrame:
             out = pd.DataFrame({"node": pdf["node"], "doc_id": pdf["doc_id"], "n": [len(s) for s in sets],
                                 "k1": halves[:, 0], "k2": halves[:, 1]})
             yield out.assign(region=[s[: np.searchsorted(s, top, "right")] for s in sets])
+        _HASHES.clear()  # workers live on, their memory is for the next job
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     # ids that may be NULL travel as text: pandas would turn them into floats

@@ -30,7 +30,7 @@ OPEN = 32
 MIN_CUT = 8
 END_ID = 1
 MERGE = 8
-_CACHED = 250_000
+_CACHED = 150_000
 _PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _WHOLE = re.compile("['\u0130\u03a3]|<\\|")
 #: White space to ``str.split`` but not to the tokenizer.
@@ -94,16 +94,6 @@ class WordTokenizer:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    """One per worker process, so that its cache outlives the task."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 class Packer:
     """Open sequences of pieces ``(doc, start, ids, doc_tokens)``; ids are bytes."""
 
@@ -188,7 +178,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_windows: i
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        encode = _tokenizer(vocabulary).encode
+        encode = WordTokenizer(vocabulary).encode  # its caches go with the task
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(length, open_windows, min_cut, part << 32)
         for pdf in batches:
