@@ -141,7 +141,31 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------- chat format
 
-@register("op7_quote_linking")
+_MARKS = r"^[ \t]*((?:>[ \t]?)*)"
+_INTRO = r"(?i)^\s*\S.{0,200}\b(?:wrote|writes|schrieb|schreibt|escribió|écrit|a écrit)\s*:\s*$"
+
+
+@register("op7_quote_linking", rf"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+        string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS l FROM conversations),
+e AS (SELECT *, list_transform(l, lambda x: length(regexp_replace(regexp_extract(x, '{_MARKS}', 1), '[^>]', '', 'g'))) AS v FROM m),
+k AS (SELECT conv_id, turn, unnest(v) AS level, trim(regexp_replace(lower(regexp_replace(unnest(l), '{_MARKS}', '')),
+        '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS p FROM e),
+own AS (SELECT conv_id, p, min(turn) AS source FROM k WHERE level = 0 AND p <> '' GROUP BY 1, 2),
+q AS (SELECT k.conv_id, k.turn, source, count(*) AS n FROM k JOIN own USING (conv_id, p)
+      WHERE level = 1 AND source < k.turn GROUP BY 1, 2, 3),
+b AS (SELECT conv_id, turn, sum(n) AS n_quoted, max({{'n': n, 's': source}}).s AS quoted FROM q GROUP BY 1, 2),
+t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM m)),
+a AS (SELECT t.conv_id, t.turn, coalesce(quoted, prev) AS reply_to, n_quoted FROM t LEFT JOIN b USING (conv_id, turn)),
+r AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM a WHERE reply_to IS NULL
+      UNION ALL SELECT a.conv_id, a.turn, r.root, r.depth + 1 FROM a JOIN r ON a.conv_id = r.conv_id AND a.reply_to = r.turn),
+c AS (SELECT conv_id, turn, role, list_max(v)::INTEGER AS max_level, CASE WHEN NOT contains(text, '>') THEN text ELSE
+        trim(array_to_string(list_filter(l, lambda x, i: v[i] = 0 AND NOT (regexp_matches(x, '{_INTRO}') AND coalesce(v[i + 1], 0) > 0)),
+                             chr(10))) END AS text FROM e)
+SELECT conv_id, turn, role, reply_to, root, depth::BIGINT AS depth, coalesce(n_quoted, 0)::BIGINT AS n_quoted, max_level,
+       row_number() OVER (PARTITION BY conv_id ORDER BY root, turn, role, text) - 1 AS position, text,
+       '<|' || role || '|>' || chr(10) || text AS formatted
+FROM c JOIN a USING (conv_id, turn) JOIN r USING (conv_id, turn)""")
 def quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message of ``conversations`` in reply order without its quotes."""
     return chat.thread(table(spark, sf_dir, "conversations"))
@@ -149,10 +173,31 @@ def quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------- quality rules
 
-@register("op8_quality_rules")
+@register("op8_quality_rules", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(s) AS g, unnest(range(len(s))) AS i FROM (SELECT doc_id,
+        list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' ')) AS s FROM d)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g), range(8) t(k)
+      WHERE c > 1 GROUP BY doc_id),
+b AS (SELECT doc_id, t, w, l, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+        coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed
+    OR 100 * n_symbols > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR 100 * (length(t) - length(replace(t, '!', ''))) > 20 * n_words
+    OR 100 * len(regexp_extract_all(t, '\p{Lu}')) > 40 * len(regexp_extract_all(t, '\p{L}'))
+    OR 100 * len(regexp_extract_all(t, '\p{L}')) < 60 * word_chars
+    OR 100 * coalesce(list_max(map_values(list_histogram(w))), 0) > 30 * n_words
+    OR 100 * len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > 20 * n_words
+    OR 100 * n_dup_lines > 50 * len(l)
+    OR 100 * len(list_filter(l, lambda x: regexp_matches(x, '^\s*[-*•]'))) > 90 * len(l)
+    OR 100 * len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) > 30 * len(l)) AS kept
+FROM f""")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the cascade's verdict on every document."""
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 # --------------------------------------------------------------------- packing
