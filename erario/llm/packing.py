@@ -14,7 +14,8 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -30,26 +31,49 @@ OPEN = 32
 MIN_CUT = 8
 END_ID = 1
 MERGE = 8
-_CACHED = 150_000
+_CACHED = 300_000
 _PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_WHOLE = re.compile("['\u0130\u03a3]|<\\|")
-#: White space to ``str.split`` but not to the tokenizer.
-_NO_SPACE = "\x1c\x1d\x1e\x1f"
+#: Texts with these go to the tokenizer whole: special tokens, signs that lower
+#: case turns into others, and what is white space to ``str.split`` alone.
+_WHOLE = ("<|", "\u0130", "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f")
+_ID = attrgetter("id")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class _Cache(dict):
-    """A dict that computes what it lacks and starts afresh when it is full."""
+class _Words(dict):
+    """Ids of words and of their pieces, all in lower case; a bounded cache that
+    starts afresh when it is full."""
 
-    def __init__(self, compute: Callable[[str], bytes], most: int) -> None:
+    def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.compute, self.most = compute, most
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        # the byte-level alphabet: printable bytes as they are, the others from U+0100 on (fixed values)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", map(_ID, self.tokenize(shown))).tobytes()
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _CACHED:
             self.clear()
-        value = self[key] = self.compute(key)
-        return value
+        plain = word.isascii()
+        if not plain and not unicodedata.is_normalized("NFC", word) or "'" in word:
+            ids = self.whole(word)
+        elif word.isalpha():
+            ids = self.piece(word)
+        else:
+            pieces = _PIECES.findall(word)
+            if pieces == [word]:
+                ids = self.piece(word) if plain or word.isdecimal() or not word[0].isalnum() else self.whole(word)
+            else:
+                ids = b"".join([self[p] for p in pieces])
+        self[word] = ids
+        return ids
 
 
 class WordTokenizer:
@@ -58,40 +82,20 @@ class WordTokenizer:
     The vocabulary's tokenizer drops white space, lower-cases, and splits a word
     into runs of letters, single numerals and runs of other signs; no token
     crosses these borders. So words, and their pieces, are encoded once and kept
-    in bounded caches. A word in which a border could move (not in composed
-    form, an apostrophe, a special token, numerals other than digits, signs
-    that change their kind in lower case) goes to the tokenizer whole.
+    in a bounded cache. Where a border could move (words not in composed form,
+    apostrophes, numerals other than digits; texts with a special token or with
+    signs that change their kind in lower case) the tokenizer gets the whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        # the byte-level alphabet: printable bytes as they are, the others from U+0100 on (fixed values)
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.pieces, self.words = _Cache(self._piece, _CACHED), _Cache(self._word, _CACHED)
-
-    def _plain(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        pieces = _PIECES.findall(word.lower())
-        if _WHOLE.search(word) or not word.isascii() and (
-                not unicodedata.is_normalized("NFC", word)
-                or any(p[0].isalnum() and not p.isalpha() and not p.isdecimal() for p in pieces)):
-            return self._plain(word)
-        return b"".join(map(self.pieces.__getitem__, pieces))
+        self.words = _Words(Tokenizer.from_file(path))
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in _NO_SPACE):
-            return self._plain(text)
-        return b"".join(map(self.words.__getitem__, text.split()))
+        if any(c in text for c in _WHOLE):
+            return self.words.whole(text)
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 class Packer:
