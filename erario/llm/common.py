@@ -63,6 +63,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of up to this many rows (and array elements) of a few bytes are broadcast.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, elements: str | None = None) -> DataFrame:
+    """A table of ids for a join: broadcast if its rows, and the elements of its
+    array column ``elements``, are at most ``BROADCAST_ROWS``; else the join
+    shuffles both sides."""
+    size = F.lit(1) if elements is None else 1 + F.size(elements)
+    n = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
+
+
 def running_total(df: DataFrame, group: str, bucket: str, order: list[Column], value: str,
                   out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of ``group`` that come

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, scratch
+from .common import saved, scratch, small_side
 
 UNIT_WORDS = 25
 WINDOW_WORDS = 50
@@ -152,8 +152,7 @@ def dedup_lines(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: int
     # the document travels as one value, so its columns cannot clash with the runs
     row = docs.drop("n_lines", "n_removed").select(F.struct("*").alias("row"))
     same = (F.xxhash64("row.text") == F.col("text_key")) & F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
-    # always merged: what is deleted grows with the input
-    joined = row.join(runs.hint("merge"), same, "left").select("row", "runs")
+    joined = row.join(small_side(runs, "runs"), same, "left").select("row", "runs")
     lines = F.split("row.text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
     out = joined.withColumns({"kept": F.when(F.col("runs").isNotNull(), kept),

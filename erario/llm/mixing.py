@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_total, saved, word_count
+from .common import running_total, saved, small_side, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -141,7 +141,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     copies = (mixed.groupBy("doc_id").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("_copies"),
                                           F.count("*").alias("_rows")))
     per_row = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return (docs.where(word_count(F.col("text")) > 0).join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"]))
-            .drop(copies["doc_id"])
-            .withColumn("_again", F.explode(F.sequence(F.lit(1), per_row)))
-            .select(*docs.columns))
+    copies = saved(copies.select(F.col("doc_id").alias("_id"), per_row.alias("_times")), "mix-copies")
+    # rows that no pass takes are not in the table
+    return (docs.join(small_side(copies), docs["doc_id"].eqNullSafe(F.col("_id")))
+            .where(word_count(F.col("text")) > 0)
+            .withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))

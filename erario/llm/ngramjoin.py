@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, saved, scratch
+from .common import LOWER, UPPER, WORD, saved, scratch, small_side
 
 SHINGLE = 5
 PERCENT = 80
@@ -32,8 +32,6 @@ REGION = 0.3
 BLOCK = 256
 #: Sets searched against a block in one task.
 PROBES = 256
-#: Up to this many ids (8 bytes each) are broadcast, more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 _FOLD = str.maketrans(UPPER, LOWER)
 _WORDS = re.compile(WORD)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -338,7 +336,7 @@ def _answers(rows: DataFrame, base: DataFrame, size: int, percent: int) -> DataF
     unique = _unique_in_region(base)
     suspect = saved(classes.select("node", "n").join(unique, "node", "left")
                     .where(F.coalesce("unique", F.lit(0)) < _prefix(F.col("n"), percent)).select("node"), "ngram-suspects")
-    kept = rows.join(_checked(suspect), "node", "left_semi")
+    kept = rows.join(small_side(suspect), "node", "left_semi")
     sets = saved(_sets(kept, size, 1).dropDuplicates(["node"]).withColumnRenamed("region", "tokens"), "ngram-sets")
 
     live = _indexed(sets, percent)
@@ -359,21 +357,16 @@ def _answers(rows: DataFrame, base: DataFrame, size: int, percent: int) -> DataF
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, each
     id and text once. Rows with a NULL doc_id stay: they have no place in the
-    order of ids. The ids to drop are broadcast up to ``BROADCAST_IDS``."""
+    order of ids."""
     found = saved(ngram_components(docs, **options).select("doc_id", "component_id").where("doc_id is not null"),
                   "ngram-found")
     gone = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
     gone = gone.join(stay, "_id", "left_anti")
-    out = docs.join(_checked(saved(gone, "ngram-gone")), docs["doc_id"] == F.col("_id"), "left_anti")
+    out = docs.join(small_side(saved(gone, "ngram-gone")), docs["doc_id"] == F.col("_id"), "left_anti")
     again = saved(stay.groupBy("_id").count().where("count > 1").select("_id"), "ngram-again")
     if again.isEmpty():
         return out
-    again = _checked(again)
+    again = small_side(again)
     first = out.join(again, out["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return out.join(again, out["doc_id"] == again["_id"], "left_anti").unionByName(first)
-
-
-def _checked(ids: DataFrame) -> DataFrame:
-    """Broadcast a table of ids if it is small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
