@@ -22,7 +22,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 PROFILE = 400
 SAMPLE_DOCS = 3000
 UNKNOWN = "und"
-_CACHED_WORDS = 50_000
+_CACHED_WORDS = 30_000
 _CACHED_GRAMS = 100_000
 _TOGETHER = 100
 

@@ -31,7 +31,7 @@ OPEN = 32
 MIN_CUT = 8
 END_ID = 1
 MERGE = 8
-_CACHED = 300_000
+_CACHED = 60_000
 _PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Texts with these go to the tokenizer whole: special tokens, signs that lower
 #: case turns into others, and what is white space to ``str.split`` alone.
