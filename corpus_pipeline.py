@@ -47,8 +47,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the sequences."""
-    return packing.pack(docs, queries.vocabulary())
+    """The pieces of all documents and their places in the sequences. The cache
+    is small: the workers still hold memory of the stages before."""
+    return packing.pack(docs, queries.vocabulary(), cached=60_000)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]

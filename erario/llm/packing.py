@@ -31,7 +31,8 @@ OPEN = 32
 MIN_CUT = 8
 END_ID = 1
 MERGE = 8
-_CACHED = 60_000
+#: Words and pieces whose ids a task keeps: more memory, fewer repeats of work.
+CACHED = 300_000
 _PIECES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Texts with these go to the tokenizer whole: special tokens, signs that lower
 #: case turns into others, and what is white space to ``str.split`` alone.
@@ -44,9 +45,9 @@ class _Words(dict):
     """Ids of words and of their pieces, all in lower case; a bounded cache that
     starts afresh when it is full."""
 
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, tokenizer, most: int) -> None:
         super().__init__()
-        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        self.tokenizer, self.tokenize, self.most = tokenizer, tokenizer.model.tokenize, most
         # the byte-level alphabet: printable bytes as they are, the others from U+0100 on (fixed values)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -59,7 +60,7 @@ class _Words(dict):
         return array("I", map(_ID, self.tokenize(shown))).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= _CACHED:
+        if len(self) >= self.most:
             self.clear()
         plain = word.isascii()
         if not plain and not unicodedata.is_normalized("NFC", word) or "'" in word:
@@ -87,10 +88,10 @@ class WordTokenizer:
     signs that change their kind in lower case) the tokenizer gets the whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED) -> None:
         from tokenizers import Tokenizer
 
-        self.words = _Words(Tokenizer.from_file(path))
+        self.words = _Words(Tokenizer.from_file(path), cached)
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in _WHOLE):
@@ -163,7 +164,8 @@ class Packer:
 
 
 def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_windows: int = OPEN,
-         min_cut: int = MIN_CUT, end_id: int = END_ID, merge: int = MERGE) -> DataFrame:
+         min_cut: int = MIN_CUT, end_id: int = END_ID, merge: int = MERGE,
+         cached: int = CACHED) -> DataFrame:
     """Pack the documents (``doc_id, text``) and return one row per piece:
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -172,7 +174,8 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_windows: i
     partitions are read in place; repeated rows are packed each; other columns
     are ignored and an empty table gives no rows. A retried task packs its
     partition the same way. The pieces are written to the shared folder before
-    the open sequences are merged, so texts are encoded once.
+    the open sequences are merged, so texts are encoded once. ``cached`` bounds
+    the ids a task keeps and changes no result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(c.split()[0] for c in PIECE.split(", "))]
@@ -182,7 +185,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_windows: i
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        encode = WordTokenizer(vocabulary).encode  # its caches go with the task
+        encode = WordTokenizer(vocabulary, cached).encode  # its caches go with the task
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(length, open_windows, min_cut, part << 32)
         for pdf in batches:
