@@ -147,10 +147,18 @@ def _entries(live: DataFrame, percent: int) -> DataFrame:
 
 def _may_link(n: str, pos: str, m: str, m_pos: str, percent: int) -> Column:
     """Sizes within the threshold, and the shingles before the first common one,
-    all unmatched, within the greatest symmetric difference of linked sets."""
+    all unmatched, within the greatest symmetric difference of linked sets and
+    few enough on either side to leave the least overlap."""
     n, pos, m, m_pos = map(F.col, (n, pos, m, m_pos))
     return ((100 * F.least(n, m) >= percent * F.greatest(n, m))
-            & ((100 + percent) * (pos + m_pos) <= (100 - percent) * (n + m)))
+            & ((100 + percent) * (pos + m_pos) <= (100 - percent) * (n + m))
+            & _leaves_enough(n, pos, m, percent) & _leaves_enough(m, m_pos, n, percent))
+
+
+def _leaves_enough(n: Column, pos: Column, m: Column, percent: int) -> Column:
+    """What follows position ``pos`` of a set of ``n`` may be the overlap that a
+    link with a set of ``m`` needs: n - pos >= percent (n + m) / (100 + percent)."""
+    return 100 * n - (100 + percent) * pos >= percent * m
 
 
 def _linked(n, m, overlap, percent: int):
@@ -246,7 +254,9 @@ def _cross_links(entries: DataFrame, live: DataFrame, roots: DataFrame, percent:
         F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)))
     smaller = F.struct("members", "comp") < F.struct(F.col("others").alias("members"), F.col("other").alias("comp"))
     near = ((100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("m") >= percent * F.col("n"))
-            & ((100 + percent) * (F.col("pos") + F.col("m_pos")) <= (100 - percent) * (F.col("n") + F.col("m"))))
+            & ((100 + percent) * (F.col("pos") + F.col("m_pos")) <= (100 - percent) * (F.col("n") + F.col("m")))
+            & _leaves_enough(F.col("n"), F.col("pos"), F.col("least"), percent)
+            & _leaves_enough(F.col("m"), F.col("m_pos"), F.col("n"), percent))
     met = probe.join(groups, ["token", "bucket"]).where(smaller & near)
     # between two single sets the prefix tells how much may still follow the last common shingle
     most = F.col("c") + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("m_pos") - 1)
