@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -203,24 +202,32 @@ def host_of(url: str | None) -> str:
 
 def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, low: float = LOW) -> DataFrame:
     """``host, low``: the style nodes of each host that occur at least
-    ``min_pages`` times and whose presentation and content entropies (to the
-    base of the occurrences) are both under ``low``.
+    ``min_pages`` times on its distinct pages and whose presentation and content
+    entropies (to the base of the occurrences) are both under ``low``.
 
-    Values are counted per task and then per (host, node, value), so a host with
-    a third of all pages is spread over its nodes and values.
+    Pages of a host with the same nodes and values are copies and count once: a
+    page's own text does not become furniture by being copied. Values are
+    counted per (host, node, value), so a host with a third of all pages is
+    spread over its pages, nodes and values.
     """
+    import xxhash
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: Counter = Counter()
+            seen: dict[tuple[str, int], tuple] = {}
             for url, page in zip(pdf["url"], pdf["html"]):
-                host = host_of(url)
-                seen.update((host, *x) for x in style_counts(page))
-            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["host", "node", "kind", "value", "n"])
+                found = tuple(style_counts(page))
+                h = xxhash.xxh3_64_intdigest(repr(found))
+                if found:
+                    seen.setdefault((host_of(url), h - (1 << 64) if h >> 63 else h), found)
+            yield pd.DataFrame([(*k, *map(list, zip(*found))) for k, found in seen.items()],
+                               columns=["host", "page", "node", "kind", "value"])
 
     counted = (pages.where("html is not null").select("url", "html")
-               .mapInPandas(count, "host string, node long, kind string, value long, n long")
-               .groupBy("host", "node", "kind", "value").agg(F.sum("n").alias("n")))
+               .mapInPandas(distinct, "host string, page long, node array<long>, kind array<string>, value array<long>")
+               .dropDuplicates(["host", "page"])
+               .select("host", F.inline(F.arrays_zip("node", "kind", "value")))
+               .groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n")))
     entropy = (counted.groupBy("host", "node", "kind")
                .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
                .where(F.col("m") >= min_pages)

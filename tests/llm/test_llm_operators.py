@@ -133,6 +133,21 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_keeps_the_text_of_copied_pages(spark):
+    """A host of 300 copies and 20 other pages: every page keeps its whole article."""
+    body = ("<html><body><script>track({})</script><div class=q7>Read our other stories every day</div>"
+            "<article><h1>{}</h1><p>{}</p><p>{}</p><p>{}</p></article></body></html>")
+    rnd = random.Random(4)
+    article = lambda: [_text(rnd, n) for n in (6, 90, 12, 20)]
+    copied = article()
+    texts = [copied] * 300 + [article() for _ in range(20)]
+    rows = [(i, "http://one.example/", body.format(i, *t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, "http://two.example/", body.format(i, *copied)) for i in range(40)]  # nothing but copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert got == {i: " ".join(t) for i, t in enumerate(texts)} | {1000 + i: " ".join(copied) for i in range(40)}
+
+
 # -------------------------------------------------------------------- URL filters
 
 def test_url_filter_cases(spark):
