@@ -160,12 +160,21 @@ def _flat(e: Element, gone: set[int]) -> str:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif not x.noise and id(x) not in gone:
+        elif id(x) in gone:
+            out.append(" ")
+        elif not x.noise:
             edge = "" if x.tag in _INLINE else " "
             todo += [edge, *reversed(x.parts), edge]
     return _SPACE.sub(" ", "".join(out)).strip()
 
 
+def _is_low(e: Element, low: frozenset[int] | set[int]) -> bool:
+    """All nodes of the branch are of low importance; elements without text and
+    elements in them (``br``, ``img``, an icon's ``i``) have none to judge."""
+    return e.key in low and all(
+        x.key in low or not any(isinstance(p, Element) or p.strip() for p in x.parts) for x in _walk(e))
+
+
 def _mains(root: Element) -> list[Element]:
     """Outermost article or main elements that are not furniture; articles within main win."""
     found = [e for e in _walk(root) if e.tag == "article"] or [e for e in _walk(root) if e.tag == "main"]
@@ -190,7 +199,7 @@ def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
     gone: set[int] = set()
     for e in parts:
         for x in _walk(e):
-            if x is not e and x.tag not in _INLINE and all(y.key in low for y in _walk(x)) \
+            if x is not e and x.tag not in _INLINE and _is_low(x, low) \
                     and len(_flat(x, set())) <= MOST * len(whole):
                 gone.add(id(x))
     return " ".join(t for t in (_flat(e, gone) for e in parts) if t) or whole

@@ -148,6 +148,16 @@ def test_style_tree_keeps_the_text_of_copied_pages(spark):
     assert got == {i: " ".join(t) for i, t in enumerate(texts)} | {1000 + i: " ".join(copied) for i in range(40)}
 
 
+def test_style_tree_removes_branches_with_empty_elements(spark):
+    body = ("<html><body><div class=q7>Follow us<br>on X<hr></div><div class=story>{}<div class=t1><img src=a.png>"
+            "<p><span></span><i class=icon> </i>Read more<wbr></p></div><p>{}<br>{}</p><p></p>{}</div></body></html>")
+    rnd = random.Random(6)
+    texts = [[_text(rnd, n) for n in (9, 30, 25, 8)] for _ in range(20)]
+    rows = [(i, "http://one.example/", body.format(*t)) for i, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(t) for i, t in enumerate(texts)}
+
+
 # -------------------------------------------------------------------- URL filters
 
 def test_url_filter_cases(spark):
