@@ -44,6 +44,10 @@ _NOISE_WORDS = frozenset(
     "subscribe signup login share sharing social related recommended recommendations comment comments commentlist "
     "respond replies disqus widget pagination pager copyright legal skip toolbar topbar masthead".split())
 _NOISE_CLASSES = frozenset("header site-header page-header".split())
+#: Whole class names of furniture that may hold articles: noise words, then at most words for a container.
+_NOISE_NAME = re.compile(rf"(?:(?:{'|'.join(sorted(_NOISE_WORDS))})(?:[-_]+|(?=$)))+"
+                         r"(?:(?:area|list|box|block|section|wrapper|wrap|container|posts|articles|stories|items|links|body)"
+                         r"(?:[-_]+|(?=$)))*")
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar "
                          "toolbar form".split())
 _MAIN = frozenset(("article", "main"))
@@ -61,6 +65,8 @@ class Element:
     tag: str
     key: int
     noise: bool
+    by_word: bool = False  # furniture by a word of a class or id only
+    holds_main: bool = False
     parts: list = field(default_factory=list)  # texts and elements in page order
 
 
@@ -68,18 +74,34 @@ def _attributes(s: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(s)} if s.strip() else {}
 
 
-def _is_furniture(tag: str, a: dict[str, str], in_main: bool) -> bool:
+def _is_furniture(tag: str, a: dict[str, str], in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether only by a word within its
+    classes and id, which says nothing of an article, main or what holds one."""
     if tag in _DROP or tag == "header" and not in_main:
-        return True
-    if tag in ("body", "html") or tag in _MAIN and not a:
-        return False
+        return True, False
+    if tag in ("body", "html") or not a:
+        return False, False
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
+        return True, False
     if a.get("role", "").lower() in _NOISE_ROLES:
-        return True
+        return True, False
     names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return (not _NOISE_CLASSES.isdisjoint(names.split())
-            or not _NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", names)))
+    if any(n in _NOISE_CLASSES or _NOISE_NAME.fullmatch(n) for n in names.split()):
+        return True, False
+    by_word = tag not in _MAIN and not _NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", names))
+    return by_word, by_word
+
+
+def _keep_holders(stack: list[Element]) -> None:
+    """The open elements around an article or main are not furniture by a mere
+    word, up to one that is furniture for other reasons and hides the article."""
+    for x in reversed(stack):
+        if x.holds_main:
+            break
+        x.holds_main = True
+        if x.noise and not x.by_word:
+            break
+        x.noise = False
 
 
 def parse(page: str) -> Element:
@@ -119,7 +141,9 @@ def parse(page: str) -> Element:
             if place not in keys:
                 h = xxhash.xxh3_64_intdigest(f"{place[0]} {label}")
                 keys[place] = h - (1 << 64) if h >> 63 else h
-            e = Element(tag, keys[place], _is_furniture(tag, a, main > 0))
+            e = Element(tag, keys[place], *_is_furniture(tag, a, main > 0))
+            if tag in _MAIN and not e.noise:
+                _keep_holders(stack)
             stack[-1].parts.append(e)
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|$)", re.I).search(page, at)

@@ -115,6 +115,29 @@ def test_page_text_cases():
     assert htmltext.main_text("<div><p>x</p>" * 3000 + "end").startswith("x x")
 
 
+@pytest.mark.parametrize("page", [
+    "<div class='content has-sidebar'><article>{}</article></div>",
+    "<article class='post category-legal tag-promo'>{}</article>",
+    "<main id='no-sidebar'>{}</main>",
+    "<body><div class=menu-open><div id=page-with-ads><main class='comments-open'><article>{}</article></main></div></div>",
+    "<div class=share-enabled><aside><article>t</article></aside><article>{}</article></div>",
+])
+def test_page_text_class_words_do_not_condemn_articles(page):
+    assert htmltext.main_text(page.format("<h1>Title</h1><p>Whole text")) == "Title Whole text"
+
+
+@pytest.mark.parametrize("furniture", [
+    "<div class='related-posts'><article>t</article></div>", "<div class=sidebar><article>t</article></div>",
+    "<section id=comments class=comments-area><article class=c>t</article></section>",
+    "<article class='comment-body'>t</article>", "<article role=complementary>t</article>",
+    "<div class=top-story-ads><aside><article>t</article></aside>t</div>", "<div class=my-sidebar>t</div>",
+])
+def test_page_text_furniture_with_articles_goes(furniture):
+    page = f"<main><p>Whole</p>{furniture}<p>text</p></main>"
+    assert htmltext.main_text(page).split() == ["Whole", "text"]
+    assert htmltext.main_text(f"<article><p>Whole text</p></article>{furniture}") == "Whole text"
+
+
 def test_style_tree_removes_what_a_site_repeats(spark):
     body = "<html><body><div class=q7>Read our other stories every day</div><div class=story><p>{}</p><p>{}</p></div></body></html>"
     rnd = random.Random(1)
