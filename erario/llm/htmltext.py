@@ -54,9 +54,9 @@ _MAIN = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"""
                     r"""|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|$)"""
-                    r"""|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)"""
+                    r"""|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))*)(?:>|$)"""
                     r"""|(?P<text>[^<]+|<)""", re.S)
-_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTR = re.compile(r"""([^\s>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
 
 

@@ -115,6 +115,15 @@ def test_page_text_cases():
     assert htmltext.main_text("<div><p>x</p>" * 3000 + "end").startswith("x x")
 
 
+def test_page_text_odd_quotes_in_tags():
+    assert htmltext.main_text('<p>a<img alt="5" screen">b<p title="x">c') == "a b c"
+    assert htmltext.main_text("<p title=it's>a<p>it's b") == "a it's b"
+    assert htmltext.main_text('<p class="x"">a</p><div " class="ad">no</div><p \'>b') == "a b"
+    assert htmltext.main_text("<p title=it's class=ad>no</p><p title = 'a > b' id=\"c>d\">e") == "e"
+    assert htmltext.main_text('<a href="/x"class="y">a</a><a href=/x?q="r>b</a> <p alt="c>d') == "ab d"
+    assert htmltext.main_text('a<p x="b') == "a"
+
+
 @pytest.mark.parametrize("page", [
     "<div class='content has-sidebar'><article>{}</article></div>",
     "<article class='post category-legal tag-promo'>{}</article>",
