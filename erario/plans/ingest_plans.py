@@ -166,9 +166,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn
 WHERE rn = 1
 """)
 def ledger_state(spark, sf_dir):
-    """Events as status updates per user; current state = the latest one."""
-    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), "value", "ts")
-    cur = L.ledger_current(e, ["user_id"], ts="ts")
+    """Events as status updates per user; current state = the latest one (ties:
+    the largest event_id)."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), "value", "ts", "event_id")
+    cur = L.ledger_current(e, ["user_id"], ts="ts", tie="event_id")
     return cur.select("user_id", "status", "value",
                       F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_updated"))
 
