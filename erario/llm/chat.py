@@ -1,9 +1,9 @@
 """Quotation linking: reply-ordered conversations without quotes.
 
 Lines that begin with ``>`` marks are quotes; the number of marks is the level.
-Quoted passages (runs of lines of one level) are normalised line by line and
-hashed, and joined to the earliest message of the conversation that wrote that
-line itself. The message quoted at the first level is the one replied to.
+Quoted passages (runs of lines of one level, else their lines) are normalised and
+hashed, and joined to the earliest message of the conversation that wrote them
+itself. The message quoted at the lowest linked level is the one replied to.
 DataFrame functions only.
 """
 
@@ -36,27 +36,52 @@ def normalised(line: Column) -> Column:
 
 
 def message_lines(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, line_no, line, level, passage`` for every line of every
-    message; ``passage`` is the hash of the normalised line, NULL if that is empty."""
-    lines = messages.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n|\n|\r"))
-                            .alias("line_no", "line"))
-    key = normalised(F.col("line"))
-    return lines.withColumns({"level": quote_level(F.col("line")),
-                              "passage": F.when(key != "", F.md5(key))})
+    """``conv_id, turn, level, run, part, passage`` for every line of every
+    message whose normalised form is not empty: hashes of the run of lines of one
+    level, of its part up to a blank line, and of the line, each normalised and
+    without regard to where lines break."""
+    def pieces(of: str) -> Column:
+        end = lambda k: F.coalesce(F.get("starts", k + 1), F.size(of))
+        return F.explode(F.transform("starts", lambda s, k: F.slice(of, s + 1, end(k) - s)))
+
+    def starts(of: str, new) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(of) - 1), lambda i: (i == 0) | new(F.get(of, i - 1), F.get(of, i)))
+
+    def hashed(keys: Column) -> Column:
+        return F.md5(F.array_join(F.filter(keys, lambda k: k != ""), " "))
+
+    lines = F.split(F.coalesce("text", F.lit("")), "\r\n|\n|\r")
+    marked = messages.select("conv_id", "turn", F.transform(
+        lines, lambda x: F.struct(quote_level(x).alias("level"), normalised(x).alias("key"))).alias("lines"))
+    runs = (marked.withColumn("starts", starts("lines", lambda a, b: a["level"] != b["level"]))
+            .select("conv_id", "turn", pieces("lines").alias("lines"))
+            .select("conv_id", "turn", F.get("lines", F.lit(0))["level"].alias("level"), F.col("lines.key").alias("keys")))
+    parts = (runs.withColumns({"run": hashed(F.col("keys")), "starts": starts("keys", lambda a, b: a == "")})
+             .select("conv_id", "turn", "level", "run", pieces("keys").alias("keys")))
+    return (parts.select("conv_id", "turn", "level", "run", hashed(F.col("keys")).alias("part"), F.explode("keys").alias("key"))
+            .where("key != ''").withColumn("passage", F.md5("key")).drop("key"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """``conv_id, turn, source_turn, n_lines``: how many first-level quoted lines
-    of a message were first written by an earlier message of the conversation.
+    """``conv_id, turn, level, source_turn, n_lines``: how many quoted lines of a
+    level of a message were first written by an earlier message of the conversation.
 
-    Lines are matched by hash within the conversation to the first message that
-    has the line as its own text (one row a passage), never pair by pair.
+    A run of quoted lines of one level goes as a whole to the first message that
+    has it as its own text (a run, a part or a line), else part by part between
+    blank lines, else line by line. Matched by hash within the conversation (one
+    row a passage), never pair by pair.
     """
-    lines = message_lines(messages).where("passage is not null and conv_id is not null and turn is not null")
-    own = (lines.where("level = 0").groupBy("conv_id", "passage").agg(F.min("turn").alias("source_turn")))
-    quoted = (lines.where("level = 1").groupBy("conv_id", "turn", "passage").agg(F.count("*").alias("n")))
-    return (quoted.join(own, ["conv_id", "passage"]).where("source_turn < turn")
-            .groupBy("conv_id", "turn", "source_turn").agg(F.sum("n").alias("n_lines")))
+    lines = message_lines(messages).where("conv_id is not null and turn is not null")
+    hashes = F.array("run", "part", "passage")
+    own = (lines.where("level = 0").select("conv_id", "turn", F.explode(F.array_distinct(hashes)).alias("hash"))
+           .groupBy("conv_id", "hash").agg(F.min("turn").alias("source_turn")))
+    line = ["conv_id", "turn", "level", "run", "part", "passage"]
+    quoted = lines.where("level > 0").groupBy(line).agg(F.count("*").alias("n")).select(
+        "*", F.posexplode(hashes).alias("rank", "hash"))
+    return (quoted.join(own, ["conv_id", "hash"]).where("source_turn < turn")
+            .groupBy(line).agg(F.max("n").alias("n"), F.min(F.struct("rank", "source_turn")).alias("m"))
+            .groupBy("conv_id", "turn", "level", F.col("m.source_turn").alias("source_turn"))
+            .agg(F.sum("n").alias("n_lines")))
 
 
 def _without_quotes(text: Column) -> Column:
@@ -72,8 +97,9 @@ def thread(messages: DataFrame) -> DataFrame:
     """Return one row per message: ``conv_id, turn, role, reply_to, root, depth,
     n_quoted, max_level, position, text, formatted``.
 
-    ``reply_to`` is the turn that most first-level quoted lines come from (ties:
-    the latest), else the latest earlier turn of the conversation that the table
+    ``reply_to`` is the turn that most quoted lines of the first level come from
+    (ties: the latest), or of the next level if none of that level is linked, and
+    ``n_quoted`` the linked lines of that level; else it is the latest earlier turn of the conversation that the table
     holds, NULL for the first. ``root`` is the first turn of the thread: quotes
     lead to their source's thread, a message without linked quotes goes on with
     the thread before it; ``depth`` counts its replies from the root.
@@ -86,9 +112,10 @@ def thread(messages: DataFrame) -> DataFrame:
     """
     marked = messages.select("conv_id", "turn", "role", "text")
     turns = saved(marked.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct(), "chat-turns")
-    linked = (link_quotes(marked).groupBy("conv_id", "turn")
+    linked = (link_quotes(marked).groupBy("conv_id", "turn", "level")
               .agg(F.max(F.struct("n_lines", "source_turn")).alias("m"), F.sum("n_lines").alias("n_quoted"))
-              .select("conv_id", "turn", F.col("m.source_turn").alias("quoted_turn"), "n_quoted"))
+              .groupBy("conv_id", "turn").agg(F.min(F.struct("level", "m", "n_quoted")).alias("first"))
+              .select("conv_id", "turn", F.col("first.m.source_turn").alias("quoted_turn"), F.col("first.n_quoted").alias("n_quoted")))
     parents = saved(_previous(turns).join(linked, ["conv_id", "turn"], "left")
                     .withColumn("reply_to", F.coalesce("quoted_turn", "previous")), "chat-parents")
     rooted = _roots(parents)

@@ -357,6 +357,19 @@ def test_quotes_are_linked_and_removed(spark):
     assert chat.thread(df.limit(0)).count() == 0
 
 
+def test_quotes_of_deeper_levels_and_other_line_breaks_are_linked(spark):
+    rows = [(1, 0, "First question here, a long one that goes on"), (1, 1, "Thanks"), (1, 2, "An answer\nin two lines.\n\nThanks"),
+            (1, 3, "Other topic"), (1, 4, ">> First question here, a long one that goes on\nhm"),  # level 2 alone
+            (1, 5, "> not in the table\n>> Other topic\nso"),  # level 1 has no source
+            (1, 6, "> First question here,\n> a long one\n> that goes on\nyes"),  # wrapped
+            (1, 7, "> An answer in two lines.\n>\n> Thanks\nwelcome"),  # 'Thanks' within the run, not of turn 1
+            (1, 8, "> Thanks\nok"), (1, 9, "> an answer\n> left out\n>\n> other\n> topic\n>> Thanks\nend")]
+    df = spark.createDataFrame([(*r[:2], "user", r[2]) for r in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.reply_to, r.n_quoted, r.max_level) for r in chat.thread(df).collect()}
+    assert got == {0: (None, 0, 0), 1: (0, 0, 0), 2: (1, 0, 0), 3: (2, 0, 0), 4: (0, 1, 2), 5: (3, 1, 2), 6: (0, 3, 1),
+                   7: (2, 2, 1), 8: (1, 1, 1), 9: (3, 3, 2)}
+
+
 # ------------------------------------------------------------------------ quality
 
 def test_quality_cases(spark):
