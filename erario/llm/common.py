@@ -100,3 +100,41 @@ def running_total(df: DataFrame, group: str, bucket: str, order: list[Column], v
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def as_row(columns: list[str]) -> Column:
+    """The named columns as one struct ``row`` whose fields are named by position,
+    so that nothing an operator adds can clash with them."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.lit(0).alias("end")).alias("row")
+
+
+def from_row(columns: list[str]) -> list[Column]:
+    """The columns that ``as_row`` packed."""
+    return [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)]
+
+
+def add_columns(df: DataFrame, inputs: list[Column], added: str, task: Callable[[], Callable]) -> DataFrame:
+    """``df`` with the columns ``added`` (DDL), which a function of Arrow batches
+    computes from ``inputs`` alone.
+
+    ``task()`` is called once a task and returns the function: it takes a record
+    batch of the inputs and returns the arrays of the added columns. The rows
+    themselves travel as one struct, so their names cannot clash with anything;
+    columns named like an added one are replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    new = T.StructType.fromDDL(added)
+    rest = [c for c in df.columns if c.lower() not in {n.lower() for n in new.names}]
+    source = df.select(as_row(rest), *[c.alias(f"in{i}") for i, c in enumerate(inputs)])
+    schema = T.StructType([source.schema["row"], *new.fields])
+    given, names = [f"in{i}" for i in range(len(inputs))], ["row", *new.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add = task()
+        for batch in batches:
+            args = pa.RecordBatch.from_arrays([batch.column(name) for name in given], names=given)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *add(args)], names=names)
+
+    return source.mapInArrow(run, schema).select(*from_row(rest), *new.names)

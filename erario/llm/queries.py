@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, htmltext, langid, linededup, mixing, ngramjoin, packing, quality, urlfilter, vectors
+from . import (bytebpe, chat, htmltext, langid, linededup, mixing, ngramjoin, packing, quality, runs, urlfilter, vectors,
+               whitening)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +223,53 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.predict_languages(docs).select("doc_id", "held_out", "lang_pred", F.col("score"))
+
+
+# --------------------------------------------------------------- periodic runs
+
+def _repeating(doc_id: int | None, words: list[str]) -> list[str]:
+    """The contract's repeated tails: a tenth of the documents, dealt by the
+    checksum of the id, repeat p words from word a on."""
+    n = len(words)
+    if doc_id is None or not n or (h := zlib.crc32(str(doc_id).encode())) % 10:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+@register("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the periodic runs of every document."""
+    found = runs.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), key="doc_id", prepare=_repeating)
+    # greatest length, then smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-best["col2"]).alias("start"), best["length"].alias("length"),
+        (-best["col3"]).alias("period"), F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+# ---------------------------------------------------------------- byte-level BPE
+
+@register("op12_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them."""
+    import public_tokenizers as known
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bytebpe.encode(docs, known.path("byte_bpe_multi_50k.tiktoken"), known.PATTERN, decoded=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ------------------------------------------------------------------- whitening
+
+@register("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the whitened principal components."""
+    done = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    return whitening.by_component(done, "vec_id")
