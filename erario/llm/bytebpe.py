@@ -27,7 +27,7 @@ from .common import add_columns
 CHUNK = 2_000_000
 DECODE = 500_000
 #: Words whose ids a task keeps, and bytes of new words in one encoding query.
-CACHED = 200_000
+CACHED = 400_000
 QUERY_BYTES = 1_000_000
 #: Words of more bytes go through the query that contracts many pairs a step.
 LONG = 64
@@ -47,24 +47,27 @@ UPDATE merges SET every = true WHERE id NOT IN (
   SELECT pair >> 32 FROM merges WHERE id <= pair >> 32
   UNION ALL SELECT pair & 4294967295 FROM merges WHERE id <= pair & 4294967295)"""
 
+# A row's key is word << 32 | position, so one sort by a number orders all words.
 _ENCODE = """
-WITH RECURSIVE t(step, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM bytes
+WITH RECURSIVE t(step, key, id) AS (
+  SELECT 0, key, id FROM bytes
   UNION ALL (
-  WITH n AS (SELECT step, word, pos, id, lead(id) OVER w AS next, lag(pos) OVER w AS before
-             FROM t WINDOW w AS (PARTITION BY word ORDER BY pos)),
-  b AS (SELECT word, min((merges.id::BIGINT << 32) | pos) AS best
-        FROM n JOIN merges ON merges.pair = (n.id::BIGINT << 32) | next GROUP BY word)
-  SELECT step + 1, n.word, pos, CASE WHEN pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE id END
-  FROM n JOIN b ON n.word = b.word WHERE before IS DISTINCT FROM best & 4294967295))
-SELECT t.word, t.id FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) l
-ON t.word = l.word AND t.step = l.step ORDER BY t.word, t.pos"""
+  WITH n AS MATERIALIZED (
+    SELECT step, key, id, lead(id) OVER w AS next, lead(key) OVER w AS after, lag(key) OVER w AS before
+    FROM t WINDOW w AS (ORDER BY key)),
+  b AS (SELECT key >> 32 AS word, min((merges.id::BIGINT << 32) | (key & 4294967295)) AS best
+        FROM n JOIN merges ON merges.pair = (n.id::BIGINT << 32) | next WHERE after >> 32 = key >> 32 GROUP BY key >> 32)
+  SELECT step + 1, key, CASE WHEN key & 4294967295 = best & 4294967295 THEN (best >> 32)::INTEGER ELSE id END
+  FROM n JOIN b ON key >> 32 = word WHERE before IS DISTINCT FROM (word << 32) | (best & 4294967295)))
+SELECT (t.key >> 32)::INTEGER AS word, t.id FROM t
+JOIN (SELECT key >> 32 AS word, max(step) AS step FROM t GROUP BY 1) l ON t.key >> 32 = l.word AND t.step = l.step
+ORDER BY t.key"""
 
 # The same for long words: a marked merge is contracted at all its places that do
 # not overlap, counted from the left of each run of them; others at the leftmost.
 _ENCODE_LONG = f"""
 WITH RECURSIVE t(step, word, pos, id) AS (
-  SELECT 0, word, pos, id FROM bytes
+  SELECT 0, key >> 32, key & 4294967295, id FROM bytes
   UNION ALL
   SELECT step + 1, word, pos, CASE WHEN taken THEN merged ELSE id END
   FROM (SELECT *, coalesce(lag(taken) OVER w, false) AS gone FROM (
@@ -81,7 +84,7 @@ WITH RECURSIVE t(step, word, pos, id) AS (
       WHERE least IS NOT NULL)))
     WINDOW w AS (PARTITION BY word ORDER BY pos))
   WHERE NOT gone)
-SELECT t.word, t.pos, t.id, l.step FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) l
+SELECT (t.word << 32) | t.pos AS key, t.id, l.step FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) l
 ON t.word = l.word AND t.step = l.step ORDER BY t.word, t.pos"""
 
 _DECODE = """
@@ -147,8 +150,8 @@ class ByteCoder:
         sizes = np.fromiter((len(d) for _, d in words), np.int32, len(words))
         ids = self.byte_ids[np.frombuffer(b"".join(d for _, d in words), np.uint8)]
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self._register("bytes", word=np.repeat(np.arange(len(words), dtype=np.int32), sizes),
-                       pos=(np.arange(len(ids)) - starts).astype(np.int32), id=ids)
+        word = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
+        self._register("bytes", key=(word << 32) | (np.arange(len(ids)) - starts), id=ids)
 
     def _short(self, words: list[tuple[str, bytes]], out: dict[str, bytes]) -> None:
         if not words:
@@ -169,7 +172,7 @@ class ByteCoder:
             if found["step"][0].as_py() < LONG_STEPS:  # the last step found no pair
                 out[word[0]] = found["id"].to_numpy().astype("<u4").tobytes()
                 return
-            self._register("bytes", word=found["word"], pos=found["pos"], id=found["id"])
+            self._register("bytes", key=found["key"], id=found["id"])
 
     def slices(self, text: str) -> Iterator[list[str]]:
         """The matches of the pattern; those of a long text in several lists."""
