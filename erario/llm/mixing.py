@@ -6,17 +6,20 @@ this stream is cut into equal blocks. The van der Corput points
 sources, which gives the source of slot ``i``; the slot's rank among its
 source's slots names the block it takes (past the last block a new pass over
 the source starts). Because bit reversal visits every integer once, each source
-gets exactly the number of slots that its target needs.
+gets exactly the number of slots that its target needs, and any stretch of
+slots holds each source in its share but for about k slots. The mix is a stream
+in slot order: a document stands at the first slot of each pass that takes any
+of its words.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_total, saved, small_side, word_count
+from .common import as_row, from_row, running_total, saved, small_side, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -96,53 +99,83 @@ def schedule(plan: DataFrame, chunk: int = 1 << 15) -> DataFrame:
                          (F.col("rank") % F.col("blocks")).alias("block"))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits of all columns: rows of one key are equal and interchangeable."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, block: int = BLOCK_WORDS,
                 min_blocks: int = MIN_BLOCKS, seed: int = 0) -> DataFrame:
-    """Return ``doc_id, source, size, source_size, target, start, taken`` for
-    every row of ``docs`` (``doc_id, text, source``, other columns ignored).
+    """Return ``doc_id, source, size, source_size, target, start, taken, slots``
+    for every row of ``docs`` (``doc_id, text, source``, other columns ignored).
 
     ``size`` counts words (NULL text: 0); ``start`` is the document's place in
-    its source's shuffled stream and ``taken`` the words that the scheduled
-    blocks take of it, repeats counted. A document without words takes part
-    with ``taken`` 0. NULL is a source of its own, last in order. Repeated rows
-    are separate documents. The shuffle hashes doc_id with ``seed`` and blocks
-    follow by rank, so reruns agree. An empty table gives no rows.
+    its source's shuffled stream, ``taken`` the words that the scheduled blocks
+    take of it, repeats counted, and ``slots`` the places in the mix at which
+    the passes that take any of them reach it, rising. A document without words
+    takes part with ``taken`` 0 and no slots. NULL is a source of its own, last
+    in order. Repeated rows are separate documents. The shuffle hashes doc_id
+    with ``seed`` and blocks follow by rank, so reruns agree. An empty table
+    gives no rows.
     """
-    n = docs.count()
-    digits = max(2, math.ceil(math.log(max(n, 2), 16) / 2))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.lit(0).alias("row_key"))
+    return _mixed(rows, weights, passes, block, min_blocks, seed).drop("row_key")
+
+
+def _mixed(rows: DataFrame, weights=WEIGHTS, passes: int = MAX_PASSES, block: int = BLOCK_WORDS,
+           min_blocks: int = MIN_BLOCKS, seed: int = 0) -> DataFrame:
+    """``mix_sources`` of rows ``doc_id, source, size, row_key``; carries row_key."""
     key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed))))
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")), "mix-sizes")
+    sized = saved(rows.withColumn("key", key), "mix-sizes")
+    digits = max(2, math.ceil(math.log(max(sized.count(), 2), 16) / 2))
     targets = saved(_plan(source_targets(sized, weights, passes), passes, block, min_blocks), "mix-sources")
-    times = schedule(targets).groupBy("source_no", "block").agg(F.count("*").alias("times"))
 
     rows = (sized.join(targets.select("source", "source_no", "source_size", "target", "width"),
                        sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
             .withColumn("part", F.substring("key", 1, digits)))
-    placed = running_total(rows, "source_no", "part", [F.col("key"), F.col("size")], "size", "start")
+    placed = running_total(rows, "source_no", "part", [F.col("key"), F.col("size"), F.col("row_key")], "size", "start")
     placed = placed.drop("key", "part")
-    filled = placed.where("size > 0")
     end = F.col("start") + F.col("size")
-    cut = filled.withColumn("block", F.explode(F.sequence(
+    cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(
         F.floor(F.col("start") / F.col("width")).cast("long"), F.floor((end - 1) / F.col("width")).cast("long"))))
     here = (F.least(end, (F.col("block") + 1) * F.col("width"))
             - F.greatest("start", F.col("block") * F.col("width")))
-    taken = (cut.withColumn("here", here).join(times.hint("merge"), ["source_no", "block"], "left")
-             .groupBy("source_no", "start", "doc_id", "source", "size", "source_size", "target")
-             .agg(F.sum(F.col("here") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")))
-    cols = ["doc_id", "source", "size", "source_size", "target", "start", "taken"]
-    return taken.select(*cols).unionByName(
-        placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*cols))
+    # (source, start) is one document: those without words are not here
+    facts = ["doc_id", "source", "size", "source_size", "target", "row_key"]
+    taken = (cut.withColumn("here", here).join(schedule(targets).hint("merge"), ["source_no", "block"], "left")
+             .groupBy("source_no", "start", "pass", *facts)
+             .agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("here"))).alias("taken"), F.min("slot").alias("slot"))
+             .groupBy("source_no", "start", *facts)
+             .agg(F.coalesce(F.sum("taken"), F.lit(0)).cast("long").alias("taken"),
+                  F.array_sort(F.collect_list("slot")).alias("slots")))  # at most one a pass
+    cols = ["doc_id", "source", "size", "source_size", "target", "start", "taken", "slots", "row_key"]
+    return taken.select(*cols).unionByName(placed.where("size = 0").withColumns(
+        {"taken": F.lit(0).cast("long"), "slots": F.array().cast("array<long>")}).select(*cols))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each row of ``docs`` once for every pass that
-    takes any of its words (whole texts; rows that no pass takes go)."""
-    mixed = mix_sources(docs, **options).where("taken > 0")
-    copies = (mixed.groupBy("doc_id").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).alias("_copies"),
-                                          F.count("*").alias("_rows")))
-    per_row = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    copies = saved(copies.select(F.col("doc_id").alias("_id"), per_row.alias("_times")), "mix-copies")
-    # rows that no pass takes are not in the table
-    return (docs.join(small_side(copies), docs["doc_id"].eqNullSafe(F.col("_id")))
-            .where(word_count(F.col("text")) > 0)
-            .withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))
+    """The mix itself: each row of ``docs`` once for every pass that takes any of
+    its words (whole texts; rows that no pass takes go), as a stream in slot
+    order (ranges of slots by partition, sorted inside).
+
+    Copies belong to rows, not to ids: rows of one doc_id (or none) from several
+    sources go by their own source's passes. Rows equal in all columns are
+    interchangeable; they go into the stream as one row with all their slots.
+    """
+    keyed = docs.select(as_row(docs.columns), "doc_id", "source", word_count(F.col("text")).alias("size"),
+                        _row_key(docs).alias("row_key"))
+    mixed = saved(_mixed(keyed.drop("row"), **options).select("row_key", "slots"), "mix-slots")
+    counts = mixed.groupBy("row_key").agg(F.count("*").alias("rows"), F.max("slots").alias("slots"))
+    equal = saved(counts.where("rows > 1").select("row_key"), "mix-equal")
+    single = saved(counts.where("rows = 1 and size(slots) > 0").select("row_key", "slots"), "mix-single")
+    stream = keyed.select("row", "row_key").join(small_side(single, "slots"), "row_key").withColumn("slot", F.explode("slots"))
+    if not equal.isEmpty():
+        equal = small_side(equal)
+        # a third of all rows may be equal: one row of them is kept by a partial aggregation first
+        one = (keyed.select("row", "row_key").join(equal, "row_key", "left_semi")
+               .groupBy("row_key").agg(F.first("row").alias("row")))
+        slots = mixed.join(equal, "row_key", "left_semi").select("row_key", F.explode("slots").alias("slot"))
+        stream = stream.select("row", "slot").unionByName(slots.join(one, "row_key").select("row", "slot"))
+    return (stream.select("row", "slot").repartitionByRange("slot").sortWithinPartitions("slot")
+            .select(*from_row(docs.columns)))

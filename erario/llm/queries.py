@@ -129,16 +129,27 @@ p AS (SELECT *, greatest(1, least(256, ceil(source_size / 1024)))::BIGINT AS wid
 n AS (SELECT *, ceil(source_size / width)::BIGINT AS blocks,
              CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM p),
 m AS (SELECT *, least(whole * blocks + least(round((target - whole * source_size) / width)::BIGINT, blocks), 3 * blocks) AS slots FROM n),
-g AS (SELECT d.*, source_size, target, CASE WHEN blocks > 0 THEN slots // blocks ELSE 0 END AS passes,
-             CASE WHEN blocks > 0 THEN (slots % blocks) * width ELSE 0 END AS rest,
-             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source)
-SELECT doc_id, size, source_size, target,
-       (passes * size + greatest(0, least(start + size, rest) - start))::BIGINT AS taken FROM g""")
+o AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first,
+             length(bin(greatest(sum(slots) OVER () - 1, 1)::BIGINT)) AS bits FROM m),
+v AS (SELECT source, blocks, list_sum(list_transform(range(bits), lambda b: ((point >> b) & 1) << (bits - 1 - b)))::BIGINT AS slot
+      FROM (SELECT *, unnest(range(first::BIGINT, (first + slots)::BIGINT)) AS point FROM o)),
+k AS (SELECT source, slot, (row_number() OVER (PARTITION BY source ORDER BY slot) - 1) // blocks AS pass,
+             (row_number() OVER (PARTITION BY source ORDER BY slot) - 1) % blocks AS block FROM v),
+g AS (SELECT d.*, source_size, target, width,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
+c AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(start // width, (start + size - 1) // width + 1) ELSE [NULL] END) AS block FROM g),
+h AS (SELECT c.doc_id, c.size, c.source_size, c.target, c.start, c.source, pass, min(slot) AS slot, sum(CASE WHEN slot IS NOT NULL THEN
+             least(c.start + c.size, (c.block + 1) * width) - greatest(c.start, c.block * width) END) AS here
+      FROM c LEFT JOIN k ON c.source IS NOT DISTINCT FROM k.source AND c.block = k.block GROUP BY ALL)
+SELECT doc_id, size, source_size, target, coalesce(sum(here), 0)::BIGINT AS taken, min(slot) AS first_slot,
+       coalesce(string_agg(slot::VARCHAR, ',' ORDER BY slot), '') AS slots
+FROM h GROUP BY doc_id, size, source_size, target, start, source""")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed by the contract's weights."""
+    """All documents mixed by the contract's weights, with their places in the mix."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_min("slots").alias("first_slot"),
+                        F.array_join("slots", ",").alias("slots"))
 
 
 # ----------------------------------------------------------------- chat format

@@ -323,7 +323,8 @@ def test_mixing_edges(spark):
         target |= {s: 3 * size[s] for s in over}
         left -= over
     taken = dict.fromkeys(names, 0)
-    for _, source, n, source_size, t, _, k in once:
+    for _, source, n, source_size, t, _, k, slots in once:
+        assert sorted(slots) == slots and (len(slots) > 0) == (k > 0) and len(slots) <= 3
         assert source_size == size[source] and abs(t - target[source]) < 1e-6 and 0 <= k <= 3 * n
         taken[source] += k
     assert all(abs(taken[s] - target[s]) <= 1 + target[s] / 100 for s in names)
@@ -332,6 +333,53 @@ def test_mixing_edges(spark):
     assert max(copies.values()) <= 6 and 2000 not in copies
 
 
+def test_every_stretch_of_the_mix_holds_each_source_in_its_share(spark):
+    rnd = random.Random(8)
+    rows = [(i, _text(rnd, 30), None, "abcde"[min(4, int(rnd.expovariate(0.9)))]) for i in range(900)]
+    sized = _docs(spark, rows, extra=False).select("source", mixing.word_count(F.col("text")).alias("size"))
+    plan = mixing._plan(mixing.source_targets(sized), 3, 16, 1024)
+    total = {r.source_no: r.slots for r in plan.collect()}
+    slots = sorted((r.slot, r.source_no, r["rank"], r["pass"], r.block) for r in mixing.schedule(plan, chunk=64).collect())
+    assert len(slots) == sum(total.values()) and len({s[0] for s in slots}) == len(slots)
+    bits = plan.first().bits
+    seen = dict.fromkeys(total, 0)
+    for i, (slot, source, rank, _, _) in enumerate(slots, 1):
+        assert rank == seen[source]  # ranks follow the slots
+        seen[source] += 1
+        # an interval of n points has n * (slot + 1) / 2^bits of them before a slot, but for one a bit
+        assert all(abs(seen[s] - total[s] * (slot + 1) / 2 ** bits) <= bits + 1 for s in total)
+
+
+def test_the_mix_is_a_stream_in_slot_order(spark):
+    rnd = random.Random(9)
+    rows = [(i, _text(rnd, 20 + i % 60), None, rnd.choice("ab")) for i in range(200)]
+    df = _docs(spark, rows).withColumns({"_times": F.lit("t"), "_again": F.lit(7), "slots": F.lit("s"), "mix slot": F.lit(1),
+                                         "row": F.lit("r"), "slot": F.lit("x"), "row_key": F.lit("k")})
+    slots = {r.doc_id: r.slots for r in mixing.mix_sources(df).collect()}
+    stream = mixing.apply_mix(df)
+    assert stream.columns == df.columns
+    got = stream.collect()  # partitions in order
+    want = sorted((s, d) for d, places in slots.items() for s in places)
+    assert [r.doc_id for r in got] == [d for _, d in want] and len({tuple(r)[5:] for r in got}) == 1
+
+
+def test_copies_belong_to_rows(spark):
+    """Rows of one id, or of none, from several sources; equal rows."""
+    rows = [(1, "a " * 50, None, "big"), (1, "b " * 50, None, "small"), (None, "c " * 50, None, "big"),
+            (None, "d " * 50, None, "small"), *[(5, "e " * 50, None, "small")] * 4, (6, None, None, "big"), (6, "", None, None)]
+    rows += [(100 + i, _text(random.Random(i), 50), None, "big") for i in range(30)]
+    df = _docs(spark, rows)
+    wanted = {}
+    for r in mixing.mix_sources(df).collect():
+        key = (r.doc_id, r.source)
+        wanted[key] = wanted.get(key, 0) + len(r.slots)
+    got = {}
+    for r in mixing.apply_mix(df).collect():
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
+    assert got == {k: n for k, n in wanted.items() if n}
+    assert mixing.apply_mix(df.limit(0)).collect() == []
+
+
 # --------------------------------------------------------------------------- chat
 
 def test_quotes_are_linked_and_removed(spark):

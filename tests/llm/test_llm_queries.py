@@ -116,7 +116,7 @@ def test_mix_follows_the_targets(spark):
     source = {d["doc_id"]: d["source"] for d in _table("documents")}
     taken, target = Counter(), {}
     for r in rows:
-        assert 0 <= r.taken <= 3 * r.size
+        assert 0 <= r.taken <= 3 * r.size and len(r.slots.split(",")) <= 3
         taken[source[r.doc_id]] += r.taken
         target[source[r.doc_id]] = r.target
     assert all(abs(taken[s] - t) <= max(2, 0.01 * t) for s, t in target.items())
