@@ -63,17 +63,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables of up to this many rows (and array elements) of a few bytes are broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Tables of ids of up to this many bytes are broadcast (a driver holds them for a while).
+BROADCAST_BYTES = 64 << 20
+#: What a row of a few ids, and an element of an array of ids, take at most.
+ROW_BYTES, ELEMENT_BYTES = 64, 40
 
 
 def small_side(df: DataFrame, elements: str | None = None) -> DataFrame:
     """A table of ids for a join: broadcast if its rows, and the elements of its
-    array column ``elements``, are at most ``BROADCAST_ROWS``; else the join
+    array column ``elements``, take at most ``BROADCAST_BYTES``; else the join
     shuffles both sides."""
-    size = F.lit(1) if elements is None else 1 + F.size(elements)
+    size = F.lit(ROW_BYTES) if elements is None else ROW_BYTES + ELEMENT_BYTES * F.size(elements)
     n = df.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("merge")
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df.hint("merge")
 
 
 def running_total(df: DataFrame, group: str, bucket: str, order: list[Column], value: str,
@@ -113,6 +115,32 @@ def from_row(columns: list[str]) -> list[Column]:
     return [F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)]
 
 
+def frugal(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives its freed memory back to the system when
+    it ends: Python workers live on and stand beside the heap of every later stage."""
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def add_columns(df: DataFrame, inputs: list[Column], added: str, task: Callable[[], Callable]) -> DataFrame:
     """``df`` with the columns ``added`` (DDL), which a function of Arrow batches
     computes from ``inputs`` alone.
@@ -137,4 +165,4 @@ def add_columns(df: DataFrame, inputs: list[Column], added: str, task: Callable[
             args = pa.RecordBatch.from_arrays([batch.column(name) for name in given], names=given)
             yield pa.RecordBatch.from_arrays([batch.column(0), *add(args)], names=names)
 
-    return source.mapInArrow(run, schema).select(*from_row(rest), *new.names)
+    return source.mapInArrow(frugal(run), schema).select(*from_row(rest), *new.names)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import as_row, frugal, from_row
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 PROFILE = 400
 SAMPLE_DOCS = 3000
@@ -109,7 +111,7 @@ def fit_profiles(labelled: DataFrame, size: int = PROFILE, sample_docs: int = SA
         for lang, c in total.items():
             yield pd.DataFrame({"lang": lang, "gram": list(c), "n": list(c.values())})
 
-    counted = (sample.select("lang", "text").mapInPandas(grams, "lang string, gram long, n long")
+    counted = (sample.select("lang", "text").mapInPandas(frugal(grams), "lang string, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     first = Window.partitionBy("lang", F.pmod(F.col("gram"), F.lit(16))).orderBy(F.desc("n"), "gram")
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -162,11 +164,11 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = _Scorer(profiles, size)
-        for texts in batches:
-            yield pd.DataFrame(list(scorer.predict(texts.tolist())), columns=["lang_pred", "score"])
+        yield from frugal(lambda some: (pd.DataFrame(list(scorer.predict(t.tolist())), columns=["lang_pred", "score"])
+                                        for t in some))(batches)
 
-    return (docs.drop("lang_pred", "score").withColumn("_p", predict(F.col("text")))
-            .withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p"))
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(as_row(rest), predict(F.col("text")).alias("found")).select(*from_row(rest), "found.*")
 
 
 def predict_languages(docs: DataFrame, size: int = PROFILE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

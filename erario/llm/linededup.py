@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, scratch, small_side
+from .common import frugal, saved, scratch, small_side
 
 UNIT_WORDS = 25
 WINDOW_WORDS = 50
@@ -111,7 +111,7 @@ def repeated_runs(docs: DataFrame, unit_words: int = UNIT_WORDS, window_words: i
 
     texts = (docs.where("text is not null")
              .select(F.col("doc_id").cast("string"), F.xxhash64("text").alias("text_key"), "text"))
-    entries = saved(texts.mapInPandas(select, f"doc_id string, {_ENTRY}")
+    entries = saved(texts.mapInPandas(frugal(select), f"doc_id string, {_ENTRY}")
                     .withColumn("doc_id", F.col("doc_id").cast(kind)), "line-fingerprints")
     def place(line: str) -> Column:
         return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"),

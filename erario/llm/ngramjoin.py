@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WORD, saved, scratch, small_side
+from .common import LOWER, UPPER, WORD, as_row, frugal, from_row, saved, scratch, small_side
 
 SHINGLE = 5
 PERCENT = 80
@@ -101,12 +101,12 @@ def _sets(rows: DataFrame, size: int, region: float) -> DataFrame:
             out = pd.DataFrame({"node": pdf["node"], "doc_id": pdf["doc_id"], "n": [len(s) for s in sets],
                                 "k1": halves[:, 0], "k2": halves[:, 1]})
             yield out.assign(region=[s[: np.searchsorted(s, top, "right")] for s in sets])
-        _HASHES.clear()  # workers live on, their memory is for the next job
+        _HASHES.clear()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     # ids that may be NULL travel as text: pandas would turn them into floats
     return (rows.select("node", F.col("doc_id").cast("string"), "text").mapInPandas(
-        run, "node long, doc_id string, n long, k1 long, k2 long, region array<long>")
+        frugal(run), "node long, doc_id string, n long, k1 long, k2 long, region array<long>")
         .withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
@@ -186,7 +186,7 @@ def _leaders(entries: DataFrame, live: DataFrame, percent: int) -> DataFrame:
             ok = _linked(pdf["n"].to_numpy(), pdf["m"].to_numpy(), np.array(both, np.int64), percent)
             yield pdf.loc[ok, ["node", "parent"]]
 
-    return pairs.select("node", "n", "tokens", "m", "other", "parent").mapInPandas(verify, "node long, parent long")
+    return pairs.select("node", "n", "tokens", "m", "other", "parent").mapInPandas(frugal(verify), "node long, parent long")
 
 
 def _follow(parents: DataFrame, name: str) -> DataFrame:
@@ -373,10 +373,12 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
     gone = found.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
     gone = gone.join(stay, "_id", "left_anti")
-    out = docs.join(small_side(saved(gone, "ngram-gone")), docs["doc_id"] == F.col("_id"), "left_anti")
+    # the document travels as one value, so its columns cannot clash with the ids
+    row, same = docs.select(as_row(docs.columns), "doc_id", "text"), F.col("doc_id") == F.col("_id")
+    out = row.join(small_side(saved(gone, "ngram-gone")), same, "left_anti")
     again = saved(stay.groupBy("_id").count().where("count > 1").select("_id"), "ngram-again")
-    if again.isEmpty():
-        return out
-    again = small_side(again)
-    first = out.join(again, out["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(again, out["doc_id"] == again["_id"], "left_anti").unionByName(first)
+    if not again.isEmpty():
+        again = small_side(again)
+        first = out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(again, same, "left_anti").unionByName(first)
+    return out.select(*from_row(docs.columns))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import frugal, saved
 
 LENGTH = 2048
 OPEN = 32
@@ -207,7 +207,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, open_windows: i
         packer.close()
         return pd.DataFrame(packer.take(), columns=names)
 
-    all_pieces = saved(texts.mapInPandas(first, both), "packing")
+    all_pieces = saved(texts.mapInPandas(frugal(first), both), "packing")
     group = F.floor(F.col("part") / merge).alias("group")
     merged = all_pieces.where("part is not null").groupBy(group).applyInPandas(second, piece)
     return (all_pieces.where("part is null").select(*names).unionByName(merged)
