@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from erario.llm import langid, linededup, mixing, ngramjoin, packing, queries
 from erario.llm.common import saved, table, word_count
+from erario.session import apply_defaults
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,7 +53,17 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, queries.vocabulary(), cached=60_000)
 
 
-STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
+def _prepared(stage):
+    """The stage on a session with this library's settings: batches of whole
+    texts must be bounded in bytes beside a small heap."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apply_defaults(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(stage.__name__, _prepared(stage)) for stage in (language, lines, near_duplicates, mix, pack)]
 
 #: Rank-order profiles, winnowing and tokenisation have no SQL form.
 ORACLE_SQL = None
