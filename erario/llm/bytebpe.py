@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each task.
 
 A text is split by the vocabulary's pattern; each match is encoded on its own.
-The bytes of the matches that a task has not met yet are rows (word, position,
+The bytes of the matches that a worker has not met yet are rows (word, position,
 token). One recursive query joins neighbouring tokens with the merge table,
 contracts each word's leftmost pair of least rank and goes on with the words
 that still had a pair. Ids are decoded by a join with the vocabulary and an
@@ -26,8 +26,9 @@ from .common import add_columns
 #: Characters of texts that a task works on at a time, and tokens of one decoding query.
 CHUNK = 2_000_000
 DECODE = 500_000
-#: Words whose ids a task keeps, and bytes of new words in one encoding query.
-CACHED = 400_000
+#: Words whose ids a Python worker keeps from task to task, and bytes of new words
+#: in one encoding query.
+CACHED = 500_000
 QUERY_BYTES = 1_000_000
 #: Words of more bytes go through the query that contracts many pairs a step.
 LONG = 64
@@ -117,6 +118,7 @@ class ByteCoder:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM words")
         self.db.execute(_MERGES)
         self.db.execute(_MARK)
+        self.cache: dict[str, bytes] = {}
 
     def _register(self, name: str, **columns) -> None:
         self.db.register(name, pa.table(columns))
@@ -183,21 +185,26 @@ class ByteCoder:
         while some := [m.group() for m in islice(matches, CHUNK // 8)]:
             yield some
 
-    def encode(self, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts of about ``CHUNK`` characters together, or of one longer text."""
+        cache = self.cache
         out: list[list[bytes]] = [[] for _ in texts]
         pending: list[tuple[int, list[str]]] = []
 
         def flush() -> None:
             words = {w for _, some in pending for w in some}
             new = [w for w in words if w not in cache]
-            if len(cache) + len(new) > CACHED:
+            if len(cache) + len(new) > CACHED:  # the words of this chunk stay
+                held = {w: cache[w] for w in words if w in cache}
                 cache.clear()
-                new = list(words)
+                cache.update(held)
             cache.update(self.encode_words(new))
             for k, some in pending:
                 out[k].append(b"".join(map(cache.__getitem__, some)))
             pending.clear()
+            for w in new:
+                if len(w) > LONG:
+                    del cache[w]
 
         for k, text in enumerate(texts):
             for some in self.slices(text):
@@ -272,13 +279,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", d
     text alone; a task holds about ``CHUNK`` characters or one text at a time.
     """
     def run() -> Callable[[pa.RecordBatch], list[pa.Array]]:
-        coder, cache = _coder(vocabulary, pattern), {}
+        coder = _coder(vocabulary, pattern)
 
         def add(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             ids, back = [], []
             for some in _chunks(texts, len, CHUNK):
-                found = coder.encode(some, cache)
+                found = coder.encode(some)
                 ids += found
                 if decoded:
                     back += coder.decode(found)

@@ -150,7 +150,7 @@ def _ids(data):
 @settings(max_examples=200, deadline=None)
 @given(text=st.one_of(st.text(st.characters(exclude_categories=["Cs"])), st.text("aeé \n'sx1", max_size=200)))
 def test_encode_as_the_library(text, coder, reference):
-    ids = coder.encode([text], {})
+    ids = coder.encode([text])
     assert _ids(ids[0]) == reference.encode_ordinary(text)
     assert coder.decode(ids) == [text.encode()]
 
@@ -160,7 +160,7 @@ def test_every_code_point(coder, reference):
     for start in range(0, len(text), 100_000):
         some = " a".join(text[start:start + 100_000])
         assert coder.find.findall(some) == [m.group() for m in coder.find.finditer(some)]
-        assert b"".join(coder.encode([some], {})) == np.array(reference.encode_ordinary(some), "<u4").tobytes()
+        assert b"".join(coder.encode([some])) == np.array(reference.encode_ordinary(some), "<u4").tobytes()
 
 
 def test_long_words(coder, reference):
@@ -168,7 +168,7 @@ def test_long_words(coder, reference):
     rnd = random.Random(11)
     words = ["a" * 20_001, "ab" * 3_000, "é" * 900, "".join(rnd.choice("etaoinshr") for _ in range(1_500)),
              "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(400)), "=" * 777, " " * 5_000, "\n" * 333]
-    for word, ids in zip(words, coder.encode(words, {})):
+    for word, ids in zip(words, coder.encode(words)):
         assert _ids(ids) == reference.encode_ordinary(word)
         assert coder.decode([ids]) == [word.encode()]
 
@@ -181,7 +181,7 @@ def test_texts_longer_than_a_chunk(coder, reference, monkeypatch):
     rnd = random.Random(2)
     text = " ".join(f"wörd{rnd.randrange(10**6)}" for _ in range(500))
     for some in ([text], [text[:90], text[90:150], ""]):
-        ids = coder.encode(some, {})
+        ids = coder.encode(some)
         assert [_ids(i) for i in ids] == [reference.encode_ordinary(t) for t in some]
         assert coder.decode(ids) == [t.encode() for t in some]
 
