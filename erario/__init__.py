@@ -4,7 +4,7 @@ Layout
 ------
 functions/  Column -> Column helpers (text, dates, keys, money)
 operators/  DataFrame -> DataFrame jobs (ingest, upsert, ledger, catalog,
-            audit queries, ordered/window scans, text governance, traces)
+            audit queries, windows by order buckets, text governance, traces)
 sources/    readers for landed payloads, logs and the test tables
 plans/      the registered query library (Spark plan + DuckDB oracle SQL)
 streaming/  Structured Streaming versions of the ingest and event jobs

@@ -4,7 +4,7 @@ A transcript is the table ``(conv_id, turn, role, text)``. The reference looks
 for "the last user message" (optionally skipping context messages) in an
 in-memory list; here that is a ``max_by`` aggregation per conversation, which
 combines on the map side, so a very long conversation is never collected into
-one task. The ordered list itself is produced as rows by the ordered scan
+one task. The ordered list itself is produced as rows by windows over order buckets
 (``plans.window_plans.transcript``).
 """
 

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from erario.operators.ordered import null_safe_join
 from erario.operators.stats import exact_percentiles
+from erario.operators.windows import null_safe_join
 
 
 def span_stats(spans: DataFrame, by: Sequence[str] = ("component", "event_type"),

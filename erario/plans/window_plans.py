@@ -1,7 +1,7 @@
 """Window-function queries, ordered transcripts (T5)
-and span statistics with exact percentiles (T13). Windows over raw rows use
-the skew-safe ordered scan rather than per-key window tasks; a window over an
-aggregate whose size the calendar bounds (one row per month) is a plain one.
+and span statistics with exact percentiles (T13). Windows over raw rows go by
+order buckets rather than per-key window tasks; a window over an aggregate whose
+size the calendar bounds (one row per month) is a plain one.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from erario.functions.dates import month_ref
 from erario.functions.money import money
-from erario.operators.ordered import cume_dist, ntile, null_safe_join, percent_rank, scan
 from erario.operators.traces import span_stats as trace_span_stats, trace_rollup
+from erario.operators.windows import cume_dist, ntile, over_buckets, percent_rank
 from erario.plans.registry import register
 from erario.sources.tables import table
 
@@ -44,7 +44,8 @@ def ranking_functions(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     per = o.groupBy("o_custkey").agg(F.sum(money("o_totalprice")).alias("v"))
     t = per.join(c, per.o_custkey == c.c_custkey).select("c_custkey", "c_nationkey", _cents("v").alias("cents"))
-    r = scan(t, ["c_nationkey"], [("cents", False)], tiebreak=["c_custkey"], group_counts=True, tie_counts=True)
+    # a nation's customers are dealt by their spend in steps of 10,000
+    r = over_buckets(t, ["c_nationkey"], [("cents", False), "c_custkey"], F.floor(F.col("cents") / 1_000_000), ties=1)
     return r.select("c_custkey", "c_nationkey", (F.col("cents").cast("decimal(20,0)") / 100).cast("double").alias("total"),
                     "row_number", "rank", "dense_rank", ntile(4).alias("quartile"),
                     percent_rank().alias("percent_rank"), cume_dist().alias("cume_dist"))
@@ -69,21 +70,14 @@ WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 def analytic_functions(spark, sf_dir):
     """Per customer, orders in date order: previous/next price, first price,
     second price (NULL before the 2nd row) and last price of the customer.
-    nth and last values come from one aggregate per key, joined back on it (AQE
-    splits a hot key)."""
+    A customer's orders are dealt by year."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    r = scan(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], tiebreak=[], lag=["o_totalprice"],
-             lead=["o_totalprice"], first=["o_totalprice"])
-    ends = r.groupBy("o_custkey").agg(
-        F.max(F.when(F.col("row_number") == 2, F.struct("o_totalprice"))).alias("second"),
-        F.max_by(F.struct("o_totalprice"), "row_number").alias("last"))
-    j = null_safe_join(r, ends, ["o_custkey"], "left")
-    return j.select("o_orderkey", "o_custkey", "row_number",
-                    F.col("lag_o_totalprice").alias("prev_price"),
-                    F.col("lead_o_totalprice").alias("next_price"),
-                    F.col("first_o_totalprice").alias("first_price"),
-                    F.when(F.col("row_number") >= 2, F.col("second.o_totalprice")).alias("second_price"),
-                    F.col("last.o_totalprice").alias("last_price"))
+    price = "o_totalprice"
+    r = over_buckets(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.year("o_orderdate"), lag={"prev_price": price},
+                     lead={"next_price": price}, first={"first_price": price}, nth={"second_price": (price, 2)},
+                     last={"last_price": price})
+    return r.select("o_orderkey", "o_custkey", "row_number", "prev_price", "next_price", "first_price", "second_price",
+                    "last_price")
 
 
 # --------------------------------------------------------------------------
@@ -118,9 +112,9 @@ def running_total_by_key(spark, sf_dir):
     """Per customer, running total of order value in date order (raw rows)."""
     o = (table(spark, sf_dir, "orders")
          .select("o_orderkey", "o_custkey", "o_orderdate", _cents("o_totalprice").alias("cents")))
-    r = scan(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], tiebreak=[], sum_cents="cents")
+    r = over_buckets(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.year("o_orderdate"), running={"sum_cents": "cents"})
     return r.select("o_orderkey", "o_custkey",
-                    (F.col("running_cents").cast("decimal(20,0)") / 100).cast("double").alias("running_total"))
+                    (F.col("sum_cents").cast("decimal(20,0)") / 100).cast("double").alias("running_total"))
 
 
 # --------------------------------------------------------------------------
@@ -135,11 +129,11 @@ FROM conversations
 def transcript(spark, sf_dir):
     """The append-only message list of each conversation as ordered rows:
     0-based position, previous speaker. Rows rather than one array per
-    conversation, so a very long conversation is never one value."""
+    conversation, so a very long conversation is never one value; its turns
+    are dealt by the thousand."""
     c = table(spark, sf_dir, "conversations")
-    r = scan(c, ["conv_id"], ["turn"], tiebreak=[], lag=["role"])
-    return r.select("conv_id", (F.col("row_number") - 1).alias("seq"), "turn", "role", "text",
-                    F.col("lag_role").alias("prev_role"))
+    r = over_buckets(c, ["conv_id"], ["turn"], F.floor(F.col("turn") / 1000), lag={"prev_role": "role"})
+    return r.select("conv_id", (F.col("row_number") - 1).alias("seq"), "turn", "role", "text", "prev_role")
 
 
 # --------------------------------------------------------------------------

@@ -77,7 +77,7 @@ _SHIPPED: set[int] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers (``addPyFile``), once
-    per SparkContext. Python tasks (the ordered scan's ``mapInPandas``) import
+    per SparkContext. Python tasks import
     it there; the driver's own ``sys.path`` is not seen by the workers."""
     import os
     import zipfile
