@@ -231,11 +231,12 @@ def classify_outcome(col) -> Column:
 def parse_verdict(col) -> Column:
     """struct(verdict, target, reason) of a reviewer answer:
     'APPROVE' or 'REJECT [CODE|PLAN]: reason'. REJECT is a substring test, as
-    in the reference; the target and reason are optional."""
+    in the reference; the target and reason are optional. The reason is all that
+    follows, over several lines."""
     c = _c(col)
     rej = F.contains(F.upper(c), F.lit("REJECT"))
     target = F.regexp_extract(c, r"REJECT *\[(CODE|PLAN)\]", 1)
-    reason = F.regexp_extract(c, r"REJECT *(\[[A-Z]+\])? *:? *(.*)$", 2)
+    reason = F.regexp_extract(c, r"(?s)REJECT *(\[[A-Z]+\])? *:? *(.*)$", 2)
     verdict = F.when(rej, F.lit("REJECT")).when(F.contains(F.upper(c), F.lit("APPROVE")), F.lit("APPROVE"))
     return F.struct(verdict.alias("verdict"),
                     F.when(rej & (target != ""), target).alias("target"),

@@ -11,12 +11,14 @@ metadata is small and lives on the driver by nature; table data never does.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erario.functions.text import contains_folded
+from erario.operators.eventlog import folder
 
 # Budget function codes and names (the 12 codes documented for
 # codigo_funcao).
@@ -85,7 +87,7 @@ AUDIT_TABLES = [
         ("run_id", "STRING", "latest run among the task's payloads"),
         ("last_updated", "TIMESTAMP", "time of the status change"),
         ("source", "STRING", "licitacoes, despesas or receitas"),
-    ], ["source"]),
+    ], []),
 ]
 
 
@@ -107,10 +109,15 @@ def create_audit_tables(spark: SparkSession, database: str = "audit", root: str
 
 def refresh_audit_tables(spark: SparkSession, database: str = "audit") -> None:
     """Make what the load has written visible to SQL: register the partitions
-    found under each table's folder and drop those that are gone."""
+    found under each table's folder and drop those that are gone; the ledger's
+    table is set to the version in force."""
     for name, _, _, parts in AUDIT_TABLES:
         if parts:
             spark.sql(f"MSCK REPAIR TABLE `{database}`.`{name}` SYNC PARTITIONS")
+        else:
+            told = spark.sql(f"DESCRIBE TABLE EXTENDED `{database}`.`{name}`").where("col_name = 'Location'").first()
+            base = re.sub(r"/v\d{6}$", "", told.data_type)
+            spark.sql(f"ALTER TABLE `{database}`.`{name}` SET LOCATION '{_q(folder(spark, base))}'")
         spark.catalog.refreshTable(f"`{database}`.`{name}`")
 
 

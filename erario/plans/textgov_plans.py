@@ -167,15 +167,15 @@ def classify_outcomes(spark, sf_dir):
 
 @register("parse_verdicts", "T10", """
 SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN 'APPROVE' ELSE 'REJECT' END AS verdict,
-       CASE turn % 3 WHEN 0 THEN 'CODE' END AS target, CASE WHEN turn % 3 < 2 THEN split_part(text, chr(10), 1) END AS reason
+       CASE turn % 3 WHEN 0 THEN 'CODE' END AS target, CASE WHEN turn % 3 < 2 THEN nullif(ltrim(text, ' '), '') END AS reason
 FROM conversations
 """)
 def parse_verdicts(spark, sf_dir):
-    """Every message's first line as a reviewer's reason."""
+    """Every whole message, of one line or several, as a reviewer's reason."""
     c = table(spark, sf_dir, "conversations")
     t = F.col("turn") % 3
     head = F.when(t == 0, F.lit("REJECT [CODE]: ")).when(t == 1, F.lit("REJECT: ")).otherwise(F.lit("APPROVE: "))
-    v = X.parse_verdict(F.concat(head, F.split("text", "\n", 2)[0]))
+    v = X.parse_verdict(F.concat(head, "text"))
     return c.select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.verdict", "v.target", "v.reason")
 
 

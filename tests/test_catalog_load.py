@@ -8,7 +8,8 @@ from conftest import land
 from pyspark.sql import functions as F
 
 from erario.operators import catalog as C
-from erario.operators.load import ledger, pending_payloads, run_load, touching
+from erario.operators.ledger import ledger_current, pending_tasks, task_grid
+from erario.operators.load import compact_records, ledger, pending_payloads, quarantine, run_load, touching
 from erario.operators.readonly import run_readonly_sql
 from erario.sources.payloads import scan_payloads
 
@@ -58,16 +59,23 @@ def test_load_job_idempotent(spark, tmp_root):
                   if r.mes_referencia == "202402") == [("0162", "202402", None), ("0163", "202402", 90.0)]
     t = spark.read.parquet(silver + "/licitacoes").collect()
     assert [(r.id, r.valor_estimado) for r in t] == [("0162_A_2024", 2.0)]
-    names = ["despesas", "licitacoes", "receitas", "_quarantine", "etl_metadata"]
-    before = {n: _rows(spark, f"{silver}/{n}") for n in names}
-    run_load(spark, landing, silver)  # same load again: nothing but the time stamps changes
-    assert {n: _rows(spark, f"{silver}/{n}") for n in names} == before
-    from erario.operators.ledger import ledger_current
+    names = ["despesas", "licitacoes", "receitas"]
+
+    def state():
+        records = [ledger_current(ledger(spark, silver)), quarantine(spark, silver)]
+        return ({n: _rows(spark, f"{silver}/{n}") for n in names},
+                [sorted(map(str, r.drop("last_updated", "load_id").collect())) for r in records])
+
+    before = state()
+    run_load(spark, landing, silver)  # same load again: nothing but time stamps and load ids changes
+    assert state() == before
+    compact_records(spark, silver, files=1)
+    assert state() == before
     cur = {(r.source, r.municipio_id, r.status, r.record_count) for r in ledger_current(ledger(spark, silver)).collect()}
     assert cur == {("despesas", "0162", "COMPLETED", 3), ("despesas", "0163", "FAILED", 0),
                    ("receitas", "0162", "COMPLETED", 1), ("receitas", "0163", "COMPLETED", 0),
                    ("receitas", "0164", "COMPLETED", 0), ("licitacoes", "0162", "COMPLETED", 2)}
-    q = spark.read.parquet(silver + "/_quarantine").filter(F.col("source") == "despesas")
+    q = quarantine(spark, silver).filter(F.col("source") == "despesas")
     assert sorted(r.quarantine_reason for r in q.collect()) == ["nested_value", "non_numeric_money"]
     todo = pending_payloads(scan_payloads(spark, landing), silver)
     assert [(r.source, r.municipio_id) for r in todo.collect()] == [("despesas", "0163")]
@@ -183,3 +191,81 @@ def test_upsert_load_reads_back_codes_as_text(spark, tmp_root):
             ("0162_A_2024", 2.0, "0162"), ("0162_B_2024", 3.0, "0162")]
     finally:
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+
+
+def test_empty_answers_are_known_requests(spark, tmp_root):
+    """Files of 0 bytes: a refused month completes its task, a 200 without a body
+    is quarantined; names are unescaped; a landed file next to an empty one counts."""
+    landing, silver = tmp_root + "/landing", tmp_root + "/silver"
+    land(landing, "r1", "receitas", "0164", 2024, 1, 404, "")
+    land(landing, "r1", "receitas", "0165", 2024, 1, 200, "")
+    land(landing, "r1", "receitas", "0166", 2024, 1, 200, json.dumps({"data": [{"codigo_receita": "1"}]}), "a.json")
+    land(landing, "r1", "receitas", "0166", 2024, 1, 200, "", "b.json")
+    land(landing, "r 1+%25", "receitas", "0167", 2024, 1, 404, "")
+    got = {(r.municipio_id, r.run_id, r.month, r.http_status, r.body) for r in scan_payloads(spark, landing).collect()}
+    assert {g[:4] for g in got} == {("0164", "r1", 1, 404), ("0165", "r1", 1, 200), ("0166", "r1", 1, 200), ("0167", "r 1+%", 1, 404)}
+    assert len(got) == 4 and sum(g[4] == "" for g in got) == 3
+    assert spark.catalog.listTables() == []
+    run_load(spark, landing, silver, sources=["receitas"], municipios=["0164", "0999"], current_year=2024, lookback=1)
+    state = {(r.municipio_id, r.status, r.record_count) for r in ledger_current(ledger(spark, silver)).collect()}
+    assert state == {("0164", "COMPLETED", 0), ("0165", "FAILED", 0), ("0166", "COMPLETED", 1), ("0167", "COMPLETED", 0),
+                     ("0999", "STARTED", 0)}
+    assert [(r.municipio_id, r.quarantine_reason) for r in quarantine(spark, silver).collect()] == [("0165", "invalid_json")]
+    todo = pending_tasks(task_grid(spark, ["0164", "0999"], ["receitas"], 2024, 1), ledger_current(ledger(spark, silver)))
+    assert [r.municipio_id for r in todo.collect()] == ["0999"]
+
+
+def test_a_load_that_breaks_off_loses_nothing(spark, tmp_root, monkeypatch):
+    from erario.operators import eventlog, load as job
+
+    landing, silver = tmp_root + "/landing", tmp_root + "/silver"
+    land(landing, "r1", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [dict(EXP, codigo_orgao={"a": 1})]}))
+    land(landing, "r1", "despesas", "0163", 2024, 1, 200, json.dumps({"data": [EXP]}))
+    run_load(spark, landing, silver, sources=["despesas"])
+
+    def records():
+        return [sorted(map(str, r.collect())) for r in (ledger(spark, silver), quarantine(spark, silver))]
+
+    before = records()
+    land(landing, "r2", "despesas", "0162", 2024, 1, 200, json.dumps({"data": [EXP]}))
+    real = job.append
+
+    def broken(df, table):  # the quarantine is written, the ledger is not
+        if table.endswith("etl_metadata"):
+            raise RuntimeError("lost")
+        real(df, table)
+
+    monkeypatch.setattr(job, "append", broken)
+    with pytest.raises(RuntimeError):
+        run_load(spark, landing, silver, sources=["despesas"])
+    assert records() == before
+    monkeypatch.setattr(job, "append", real)
+    # a compaction that stops before its pointer is written
+    with monkeypatch.context() as m:
+        m.setattr(eventlog, "_fs", lambda s, p, f=eventlog._fs: f(s, p) if "_versions/" not in p else 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            job.compact_records(spark, silver, files=0)
+    assert records() == before
+    job.compact_records(spark, silver, files=0)
+    job.compact_records(spark, silver, files=0)
+    assert records() == before and eventlog.version(spark, f"{silver}/etl_metadata") == 2
+    run_load(spark, landing, silver, sources=["despesas"])
+    state = {(r.municipio_id, r.status, r.record_count) for r in ledger_current(ledger(spark, silver)).collect()}
+    assert state == {("0162", "COMPLETED", 1), ("0163", "COMPLETED", 1)} and quarantine(spark, silver).collect() == []
+
+
+def test_a_load_appends_its_own_rows_and_writes_few_files(spark, tmp_root):
+    import glob
+
+    landing, silver = tmp_root + "/landing", tmp_root + "/silver"
+    for m in range(1, 13):
+        land(landing, "r1", "despesas", "0162", 2024, m, 200, json.dumps({"data": [EXP] * 30}))
+    run_load(spark, landing, silver, sources=["despesas"])
+    months = glob.glob(f"{silver}/despesas/*/*/*")
+    assert len(months) == 12 and all(1 <= len(glob.glob(f"{m}/*.parquet")) <= 2 for m in months)
+    files = set(glob.glob(f"{silver}/etl_metadata/*/*.parquet"))
+    land(landing, "r1", "despesas", "0163", 2024, 1, 200, json.dumps({"data": [EXP]}))
+    run_load(spark, landing, silver, sources=["despesas"], only_pending=True)
+    added = set(glob.glob(f"{silver}/etl_metadata/*/*.parquet")) - files
+    assert files <= set(glob.glob(f"{silver}/etl_metadata/*/*.parquet"))
+    assert {r.municipio_id for r in spark.read.parquet(*added).collect()} == {"0163"}
