@@ -14,6 +14,7 @@ from erario.functions.dates import month_ref, year_text
 from erario.functions.money import money, money_sum
 from erario.operators import audit as A
 from erario.operators import relational as R
+from erario.operators.intervals import earlier_higher, overlap_join
 from erario.plans.registry import register
 from erario.sources.tables import table
 
@@ -487,9 +488,39 @@ def band_join(spark, sf_dir):
     return j.select("c_custkey", "s_suppkey", "c_nationkey")
 
 
-# --------------------------------------------------------------------------
-# C14: correlated subquery (decorrelated to aggregate + join)
-# --------------------------------------------------------------------------
+_SPAN = "CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 40 ELSE 1000 END"
+
+
+@register("overlap_join", "C13", f"""
+WITH w AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS lo, CAST(o_orderdate AS DATE) + CAST({_SPAN} AS INTEGER) AS hi FROM orders)
+SELECT a.o_orderkey AS order_a, b.o_orderkey AS order_b
+FROM w a JOIN w b ON a.o_custkey = b.o_custkey AND a.lo <= b.hi AND b.lo <= a.hi AND a.o_orderkey < b.o_orderkey
+""")
+def overlap_join_q(spark, sf_dir):
+    """Pairs of orders of one customer whose delivery windows (0 to 1,000 days
+    long) overlap."""
+    day = F.unix_date(F.to_date("o_orderdate")).cast("long")
+    w = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", day.alias("lo"), (day + F.expr(_SPAN)).alias("hi"))
+    pairs = overlap_join(w, w, ("lo", "hi"), ("lo", "hi"), [("o_custkey", "o_custkey")])
+    a, b = F.col("left.o_orderkey"), F.col("right.o_orderkey")
+    return pairs.where(a < b).select(a.alias("order_a"), b.alias("order_b"))
+
+
+# C14: correlated subqueries
+
+@register("rank_by_dominance", "C14", """
+SELECT o_orderkey, (SELECT COUNT(*) FROM orders i WHERE i.o_custkey = o.o_custkey AND i.o_totalprice > o.o_totalprice
+                    AND CAST(i.o_orderdate AS DATE) < CAST(o.o_orderdate AS DATE)) AS earlier_higher
+FROM orders o
+""")
+def rank_by_dominance(spark, sf_dir):
+    """For each order how many earlier orders of its customer were dearer."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
+                                              F.unix_date(F.to_date("o_orderdate")).alias("day"))
+    r = earlier_higher(o, ["o_custkey"], "day", "o_totalprice", F.floor(F.col("o_totalprice") / 20_000))
+    return r.select("o_orderkey", "earlier_higher")
+
+
 
 @register("correlated_subquery", "C14", """
 SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o

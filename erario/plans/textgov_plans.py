@@ -88,15 +88,20 @@ def last_context_free_turn(spark, sf_dir):
     return last_turn(table(spark, sf_dir, "conversations"), exclude_roles=["system"])
 
 
-@register("statement_check", "T7", """
+@register("statement_check", "T7", f"""
 SELECT role, COUNT(*) AS n_messages,
-       CAST(SUM(CASE WHEN starts_with(upper(regexp_replace(text, '^[\\s ]+|[\\s ]+$', '', 'g')), 'SELECT')
-                THEN 1 ELSE 0 END) AS BIGINT) AS n_select
-FROM conversations GROUP BY role
+       CAST(SUM(CASE WHEN starts_with(upper(regexp_replace(s, '^[{X.BLANKS}]+', '')), 'SELECT') THEN 1 ELSE 0 END) AS BIGINT) AS n_select
+FROM (SELECT role, CASE turn % 5 WHEN 0 THEN 'SELECT ' WHEN 1 THEN chr(10) || chr(9) || ' sElEcT' WHEN 2 THEN 'insert select '
+             WHEN 3 THEN '-- select' || chr(10) ELSE '' END || text AS s FROM conversations) GROUP BY role
 """)
 def statement_check(spark, sf_dir):
-    """How many messages would pass the read-only SELECT gate, per role."""
+    """How many messages would pass the read-only SELECT gate, per role; some
+    start with the word in any case and after blanks, some hold it later."""
     c = table(spark, sf_dir, "conversations")
+    kind = F.col("turn") % 5
+    start = (F.when(kind == 0, "SELECT ").when(kind == 1, "\n\t sElEcT").when(kind == 2, "insert select ")
+             .when(kind == 3, "-- select\n").otherwise(""))
+    c = c.select("role", F.concat(start, "text").alias("text"))
     return c.groupBy("role").agg(F.count(F.lit(1)).alias("n_messages"),
                                  F.count(F.when(X.is_readonly_select("text"), 1)).alias("n_select"))
 
@@ -122,15 +127,34 @@ def format_brl(spark, sf_dir):
 
 
 @register("strip_code_fences", "T6", f"""
-SELECT doc_id, regexp_replace(body, '^[{X.BLANKS}]+|[{X.BLANKS}]+$', '', 'g') AS code
-FROM (SELECT doc_id, regexp_replace(replace(replace('  ```sql' || chr(10) || text || chr(10) || '``` ', '```sql', ''), '```', ''),
-                                    'x^', '') AS body FROM documents)
+SELECT doc_id, regexp_replace(replace(replace(t, '```sql', ''), '```', ''), '^[{X.BLANKS}]+|[{X.BLANKS}]+$', '', 'g') AS code,
+       regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '^[{X.BLANKS}]+|[{X.BLANKS}]+$', '', 'g'), '^```(python)?', ''), '```$', ''),
+                      '^[{X.BLANKS}]+|[{X.BLANKS}]+$', '', 'g') AS script
+FROM (SELECT doc_id, '  ```sql' || chr(10) || replace(text, chr(10), chr(10) || '``` a' || chr(10) || '```sql ') || chr(10) || '``` ' AS t,
+             chr(10) || CASE doc_id % 2 WHEN 0 THEN '```python' ELSE '```' END || chr(10) || replace(text, chr(10), chr(10) || '```') || '``` ' AS p
+      FROM documents)
 """)
 def strip_code_fences(spark, sf_dir):
-    """Every document fenced as SQL, and the fences taken off again."""
+    """Every document fenced as SQL and as a script, with fences inside: the SQL
+    variant takes all of them off, the other the outer ones alone."""
     d = table(spark, sf_dir, "documents")
-    fenced = F.concat(F.lit("  ```sql\n"), F.col("text"), F.lit("\n``` "))
-    return d.select("doc_id", X.strip_code_fence(fenced, anywhere=True).alias("code"))
+    sql = F.concat(F.lit("  ```sql\n"), F.replace("text", F.lit("\n"), F.lit("\n``` a\n```sql ")), F.lit("\n``` "))
+    script = F.concat(F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "```python").otherwise("```"), F.lit("\n"),
+                      F.replace("text", F.lit("\n"), F.lit("\n```")), F.lit("``` "))
+    return d.select("doc_id", X.strip_code_fence(sql, anywhere=True).alias("code"), X.strip_code_fence(script).alias("script"))
+
+
+_AUDIT_SQL = """SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM {orders} WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderpriority HAVING count(*) > 1"""
+
+
+@register("readonly_sql", "Q1", _AUDIT_SQL.format(orders="orders"))
+def readonly_sql(spark, sf_dir):
+    """A statement that passes the read-only gate, run over the orders."""
+    from erario.operators.readonly import run_readonly_sql
+
+    table(spark, sf_dir, "orders").createOrReplaceTempView("audit_orders")
+    return run_readonly_sql(spark, _AUDIT_SQL.format(orders="audit_orders"))
 
 
 @register("decode_results", "T8", """
@@ -201,6 +225,31 @@ def trace_log(spark, sf_dir):
             .agg(F.count(F.when(~F.col("corrupt"), 1)).alias("spans"), F.count(F.when(F.col("corrupt"), 1)).alias("corrupt")))
 
 
+@register("etl_log", "A11", """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'INFO' ELSE 'WARNING' END AS level,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS at,
+       CASE WHEN event_id % 3 = 0 THEN 'Traceback (most recent call last):' || chr(10) || '  ' || event_type || chr(10) || 'ValueError: ' || props END AS detail,
+       CAST(CASE WHEN event_id % 3 = 0 THEN 4 ELSE 1 END AS BIGINT) AS n_lines
+FROM events
+""")
+def etl_log(spark, sf_dir):
+    """Events as a landed load log in which every third record has a traceback,
+    read back as whole records, across the splits of its files."""
+    from erario.session import scratch_dir
+    from erario.sources.logs import read_etl_records
+
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_id") % 3
+    level = F.when(kind == 0, "ERROR").when(kind == 1, "INFO").otherwise("WARNING")
+    head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",000 - "), level, F.lit(" - event "), F.col("event_id").cast("string"))
+    trace = F.concat(F.lit("\nTraceback (most recent call last):\n  "), "event_type", F.lit("\nValueError: "), "props")
+    path = scratch_dir(spark, "etl-log")
+    e.select(F.concat(head, F.when(kind == 0, trace).otherwise("")).alias("value")).write.text(path)
+    r = read_etl_records(spark, path)
+    return r.select(F.regexp_extract("message", "^event (.*)$", 1).cast("long").alias("event_id"), "level",
+                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "detail", "n_lines")
+
+
 @register("month_refs", "C7", """
 SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE strftime(l_shipdate, '%Y%m') END AS month_ref
 FROM lineitem
