@@ -3,6 +3,8 @@ texts, ties, repeated rows, empty tables and clashing extra columns."""
 
 import itertools
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -180,6 +182,48 @@ def test_style_tree_keeps_the_text_of_copied_pages(spark):
     assert got == {i: " ".join(t) for i, t in enumerate(texts)} | {1000 + i: " ".join(copied) for i in range(40)}
 
 
+def _neutral(page):
+    """The page with articles, menus and footers as plain blocks of neutral, distinct classes."""
+    page = re.sub(r"<(nav|article|footer|aside|header|main)[^>]*>", lambda m: f'<div class="k{m[1][::-1]}">', page)
+    page = re.sub(r"</(?:nav|article|footer|aside|header|main)>", "</div>", page)
+    return page.replace('class="ad"', 'class="kd"')
+
+
+def test_style_tree_finds_articles_without_names(spark):
+    """Pages whose tags and classes tell nothing: where a host has a tree, its
+    layouts alone give the article."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("html is not null")
+    hosts = pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).count().where("count >= 15").limit(25)
+    rows = pages.join(hosts, F.regexp_extract("url", "://([^/?#]*)", 1) == F.col("host"), "left_semi").collect()
+    plain = spark.createDataFrame([(r.page_id, r.url, _neutral(r.html)) for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split() for r in htmltext.extract(plain).collect()}
+    assert len(got) == len(rows) > 400
+    both = kept = wanted = 0
+    for r in rows:
+        want = Counter(htmltext.named_text(r.html).split())
+        have = Counter(got[r.page_id])
+        assert htmltext.named_text(_neutral(r.html)).split() != list(want)  # names do not help
+        both, kept, wanted = both + (want & have).total(), kept + have.total(), wanted + want.total()
+    assert both >= 0.95 * kept and both >= 0.95 * wanted
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        pages = ["<div>" * n + "text", "<b>" * n + "<p>text" + "</i>" * n, ("<b><div>" + "<i>" * 9 + "</b></b>") * (n // 10) + "text",
+                 "<article>" * n + "text", "<p>" * n + "text" + "</p>" * n, "<ul><li>" * n + "text" + "</section>" * n]
+        start = time.process_time()
+        for page in pages:
+            tree = {k: (1.0, 1.0) for k, _, _ in htmltext.style_counts(page)}
+            assert htmltext.tree_text(page, tree) == htmltext.named_text(page) == "text"
+        return time.process_time() - start
+
+    seconds(1000)
+    few, many = seconds(10_000), seconds(100_000)
+    assert many < 40 * max(few, 0.05)
+
+
 def test_style_tree_removes_branches_with_empty_elements(spark):
     body = ("<html><body><div class=q7>Follow us<br>on X<hr></div><div class=story>{}<div class=t1><img src=a.png>"
             "<p><span></span><i class=icon> </i>Read more<wbr></p></div><p>{}<br>{}</p><p></p>{}</div></body></html>")
