@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, ascii_lower
+from .common import UPPER, LOWER, as_row, ascii_lower, from_row
 
 #: What splits a URL into tokens (the token alphabet is a-z, 0-9 after folding).
 SPLIT = "[^a-z0-9]+"
@@ -92,8 +92,9 @@ def filter_urls(urls: DataFrame, rules: list[Rule], url: str = "url", default: s
     broadcast; URLs are counted and joined as distinct (host, path) pairs.
     """
     spark = urls.sparkSession
-    base = urls.drop(*({"host", "path", "rule", "matched", "verdict"} - {url}))
-    base = base.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
+    kept = [c for c in urls.columns if c not in {"host", "path", "rule", "matched", "verdict"} - {url}]
+    # the row travels as one value, so its columns cannot clash with ours
+    base = urls.select(as_row(kept), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     table = _rule_table(spark, rules)
 
     pages = base.select("host", "path").where("host != '' or path != ''").distinct()
@@ -116,7 +117,13 @@ def filter_urls(urls: DataFrame, rules: list[Rule], url: str = "url", default: s
             .agg(F.min(F.struct(~F.col("listed"), -F.length("rule"), F.col("rule_verdict") != "block",
                                 F.col("rule").alias("rule"), F.col("rule_verdict").alias("v"),
                                 F.col("listed").alias("listed"))).alias("w"))
-            .select("host", "path", F.col("w.rule").alias("matched"), F.col("w.v").alias("_v"),
+            .select("host", "path", F.col("w.rule").alias("matched"), F.col("w.v").alias("found"),
                     F.when(F.col("w.listed"), F.col("w.rule")).alias("rule")))
-    return (base.join(best, ["host", "path"], "left")
-            .withColumn("verdict", F.coalesce("_v", F.lit(default))).drop("_v"))
+    named = (F.col("host") != "") | (F.col("path") != "")
+    judged = base.where(named).join(best, ["host", "path"], "left")
+    # rows without a host fit no rule: they need no join and meet in no task
+    none = [F.lit(None).cast("string").alias(c) for c in ("matched", "found", "rule")]
+    rows = judged.unionByName(base.where(~named).select("row", "host", "path", *none))
+    verdict = F.coalesce("found", F.lit(default)).alias("verdict")
+    own = {"host", "path", "matched", "rule", "verdict"}
+    return rows.select(*[x for c, x in zip(kept, from_row(kept)) if c not in own], "host", "path", "matched", "rule", verdict)

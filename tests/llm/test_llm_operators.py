@@ -541,3 +541,43 @@ def test_language_edges(spark):
     none = langid.predict_languages(_docs(spark, [(1, "some text", None, None), (2, "more", None, None)])).collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
     assert langid.predict_languages(_docs(spark, [])).count() == 0
+
+
+# ------------------------------------------------------------- clashing names
+
+def test_names_that_clash_with_the_operators_own(spark):
+    """Each pipeline stage and the URL filter keep columns named like theirs."""
+    rnd = random.Random(12)
+    rows = [(i, _text(rnd, 60), None, "ab"[i % 2]) for i in range(30)] + [(None, None, None, None), (3, "", None, "a")]
+    extra = ["_v", "_id", "_p", "_again", "_times", "row", "found", "slots", "slot", "row_key", "end", "c0"]
+    df = _docs(spark, rows, extra=False).select("*", *[F.lit(f"own {c}").alias(c) for c in extra])
+
+    def intact(out):
+        assert out.select(*extra).distinct().collect() == [tuple(f"own {c}" for c in extra)]
+        return out
+
+    assert intact(langid.predict_languages(df)).count() == len(rows)
+    assert intact(linededup.dedup_lines(df)).count() == len(rows)
+    assert intact(ngramjoin.one_per_component(df)).count() == len(rows)
+    assert 0 < intact(mixing.apply_mix(df)).count() <= 3 * len(rows)
+    urls = df.select("*", F.concat(F.lit("http://x.example.net/"), "source").alias("url"))
+    got = intact(urlfilter.filter_urls(urls, queries.URL_RULES))
+    assert sorted(Counter(r.rule for r in got.collect()).items(), key=str) == [("net/", 31), (None, 1)]
+
+
+@pytest.mark.parametrize("rows", [
+    [], [(None, None)], [(1, None), (2, "")], [(1, "a b c")] * 3 + [(None, "a b c")], [(1, "a"), (1, "b"), (1, None)]])
+def test_pipeline_stages_on_edge_tables(spark, rows):
+    """Empty tables, NULL and empty texts, repeated ids and rows, through all five stages."""
+    import corpus_pipeline
+
+    docs = _docs(spark, [(d, t, None, "s") for d, t in rows], extra=False)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "/none")
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        if name != "pack":
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+    kept = [(d, t) for d, t in rows if t and re.search(r"[^\W\d_]", t)]
+    assert docs.count() <= 4 * len(kept)
+    if not kept:
+        assert docs.collect() == []
