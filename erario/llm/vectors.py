@@ -6,12 +6,14 @@ threshold: above 1 the bucket and all shorter ones are skipped; a threshold
 near 1 leaves few directions, so coordinates prune (a candidate's component on
 the query's largest coordinates must lie in the feasible range); else lengths
 prune (the sorted bucket is cut where the length alone is too small). What is
-left is verified by its products.
+left is verified by its products. The same bound prunes before the join: a block
+of queries meets only cells whose longest vector can still reach it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,11 @@ CELL_BUCKETS = 16
 #: From this local cosine threshold on, coordinates prune before lengths do.
 COORDINATES_FROM = 0.9
 FOCUS = 3
+#: Lengths are told apart before the join in steps of this ratio. Lengths of
+#: integer vectors are 0 or at least 1, so there are at most about 5,000 steps.
+STEP = 1.01
+#: A frame: vectors of one range partition, as bytes of 64-bit numbers.
+FRAME = "part int, ids binary, width int, v binary, bounds binary, low double, high double"
 
 
 def quantised(vectors: DataFrame, vec: str, factor: int = 256) -> DataFrame:
@@ -38,6 +45,11 @@ def quantised(vectors: DataFrame, vec: str, factor: int = 256) -> DataFrame:
             .select("vec_id", F.transform(vec, lambda x: F.floor(x.cast("double") * factor)).alias("v")))
 
 
+def _level(length: float) -> int:
+    """The step of a length; -1 below 1."""
+    return math.floor(math.log(length) / math.log(STEP)) if length >= 1 else -1
+
+
 def _matrix(rows: pd.Series) -> np.ndarray:
     width = max(map(len, rows), default=0)
     out = np.zeros((len(rows), width), np.int64)
@@ -109,6 +121,43 @@ def _search(q_ids, qm, bounds, buckets: list[_Bucket], k: int) -> list[tuple]:
     return out
 
 
+def _frames(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pack rows ``vec_id, v, bound, place`` in frames of at most ``size`` rows
+    that keep the smallest and the greatest ``place``."""
+    def frame(part: int, rows: pd.DataFrame) -> pd.DataFrame:
+        m = _matrix(rows["v"])
+        return pd.DataFrame({
+            "part": [part], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "width": [m.shape[1]], "v": [m.tobytes()],
+            "bounds": [rows["bound"].to_numpy(np.float64).tobytes()], "low": [rows["place"].min()], "high": [rows["place"].max()]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = TaskContext.get().partitionId(), None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf])
+            while len(held) >= size:
+                yield frame(part, held[:size])
+                held = held[size:]
+        if held is not None and len(held):
+            yield frame(part, held)
+
+    return pack
+
+
+def _unpacked(ids: bytes, width: int, v: bytes) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(ids, np.int64)
+    return numbers, np.frombuffer(v, np.int64).reshape(len(numbers), width)
+
+
+def _pairs(blocks: DataFrame, ends: list[int], first: int) -> DataFrame:
+    """Each block of queries once for every cell after the first that may hold a
+    vector long enough for one of its queries. ``ends[s + 1]`` is the last cell
+    with a length of step s or more; cells are of falling length."""
+    step = F.when(F.col("low") >= 1, F.floor(F.log("low") / math.log(STEP)) - 1).otherwise(-1)  # a step for rounding
+    last = F.get(F.lit(ends), F.greatest(step, F.lit(-1)).cast("int") + 1)  # no cell that long: NULL
+    return blocks.withColumn("last", last).where(F.col("last") > first).withColumn(
+        "cell", F.explode(F.sequence(F.lit(first + 1), "last"))).drop("last")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK,
           bucket_rows: int = BUCKET_ROWS, cell_buckets: int = CELL_BUCKETS) -> DataFrame:
     """Return ``query_id, rank, vec_id, score``: each query's ``k`` best
@@ -117,68 +166,67 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: in
     Both inputs have ``vec_id`` (BIGINT) and ``v`` (array of BIGINT); missing
     components count as 0 and rows with the query's own id are no candidates.
     Repeated candidate rows count each, repeated query ids are searched once.
-    Queries go in blocks against cells of norm buckets; a first cell of the
-    longest vectors gives each query a bound that the others start from. An
-    empty side gives no rows.
+    Queries go in blocks against cells of norm buckets. The first cell, of the
+    longest vectors, gives each query a bound; bound over length is the length a
+    better vector must have, blocks are formed by it, and a block is joined only
+    with the cells that hold such lengths. An empty side gives no rows.
     """
+    spark = candidates.sparkSession
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    sized = saved(candidates.select("vec_id", "v", norm.alias("norm")), "topk-vectors")
+    none = F.lit(float("-inf"))
+    sized = saved(candidates.select("vec_id", "v", none.alias("bound"), norm.alias("place")), "topk-vectors")
     room = bucket_rows * cell_buckets
     # cells of falling length; equal lengths (one hot norm) are dealt on by id
-    dealt = sized.repartitionByRange(max(1, -(-sized.count() // room)), F.desc("norm"), "vec_id")
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, held = TaskContext.get().partitionId(), []
-        for pdf in batches:
-            held += [{"vec_id": i, "v": v} for i, v in zip(pdf["vec_id"].tolist(), pdf["v"])]
-            while len(held) >= room:
-                yield pd.DataFrame({"cell": [cell], "vectors": [held[:room]]})
-                held = held[room:]
-        if held:
-            yield pd.DataFrame({"cell": [cell], "vectors": [held]})
-
-    packed = saved(dealt.select("vec_id", "v").mapInPandas(
-        pack, "cell int, vectors array<struct<vec_id:bigint,v:array<bigint>>>"), "topk-cells")
-    cells = packed.agg(F.min("cell").alias("first"), F.max("cell").alias("last")).first()
-    if cells["first"] is None:
-        return sized.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    asked = queries.dropDuplicates(["vec_id"])
+    dealt = sized.repartitionByRange(max(1, -(-sized.count() // room)), F.desc("place"), "vec_id")
+    cells = saved(dealt.mapInPandas(_frames(room), FRAME).withColumnRenamed("part", "cell"), "topk-cells")
+    # the last cell of each step of lengths: a bounded number of rows
+    step = F.when(F.col("high") >= 1, F.floor(F.log("high") / math.log(STEP))).otherwise(-1)
+    seen = {r["step"]: (r["first"], r["last"]) for r in cells.groupBy(step.alias("step")).agg(
+        F.min("cell").alias("first"), F.max("cell").alias("last")).collect()}
+    if not seen:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    first, last = min(a for a, _ in seen.values()), max(b for _, b in seen.values())
+    ends = [max((b for s, (_, b) in seen.items() if s >= low), default=first) for low in range(-1, max(seen) + 1)]
+    asked = saved(queries.select("vec_id", "v").dropDuplicates(["vec_id"]), "topk-queries")
     n_blocks = max(1, -(-asked.count() // query_block))
-    blocks = (asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-              .groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("asked")))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, buckets = None, []
         for pdf in batches:
-            for asked, vectors, bounds in zip(pdf["asked"], pdf["vectors"], pdf["bounds"]):
-                ids = np.array([r["vec_id"] for r in vectors], np.int64)
-                m = _matrix([r["v"] for r in vectors])
-                order = np.argsort(-(m.astype(np.float64) ** 2).sum(axis=1), kind="stable")
-                buckets = [_Bucket(ids[o], m[o]) for i in range(0, len(ids), bucket_rows)
-                           for o in [order[i:i + bucket_rows]]]
-                q_ids = np.array([r["vec_id"] for r in asked], np.int64)
-                limit = {} if bounds is None else {r["query_id"]: r["bound"] for r in bounds}
-                start = [limit.get(q, -np.inf) for q in q_ids.tolist()]
-                rows = _search(q_ids, _matrix([r["v"] for r in asked]), start, buckets, k)
+            for r in pdf.itertuples(index=False):
+                if held != r.cell_ids:  # the rows of a cell follow each other
+                    ids, m = _unpacked(r.cell_ids, r.cell_width, r.cell_v)
+                    order = np.argsort(-(m.astype(np.float64) ** 2).sum(axis=1), kind="stable")
+                    buckets = [_Bucket(ids[o], m[o]) for i in range(0, len(ids), bucket_rows)
+                               for o in [order[i:i + bucket_rows]]]
+                    held = r.cell_ids
+                q_ids, qm = _unpacked(r.ids, r.width, r.v)
+                rows = _search(q_ids, qm, np.frombuffer(r.bounds, np.float64), buckets, k)
                 yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     found = "query_id long, vec_id long, score long"
-    none = F.lit(None).cast("array<struct<query_id:bigint,bound:double>>")
-    opening = (blocks.withColumn("cell", F.lit(cells["first"])).join(packed, "cell")
-               .select("asked", "vectors", none.alias("bounds")).mapInPandas(search, found))
-    opening = saved(opening, "topk-opening")
-    rest = None
-    if cells["last"] > cells["first"]:
-        by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        kth = (opening.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k)
-               .select("query_id", F.col("score").cast("double").alias("bound"))
-               .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-               .groupBy("block").agg(F.collect_list(F.struct("query_id", "bound")).alias("bounds")))
-        todo = (blocks.join(kth, "block", "left")
-                .withColumn("cell", F.explode(F.sequence(F.lit(cells["first"] + 1), F.lit(cells["last"])))))
-        pairs = n_blocks * (cells["last"] - cells["first"])
-        rest = (todo.join(packed, "cell").select("asked", "vectors", "bounds")
-                .repartition(min(pairs, 10_000)).mapInPandas(search, found))
-    every = opening if rest is None else opening.unionByName(rest)
+    sides = ["ids", "width", "v", "bounds", "cell_ids", "cell_width", "cell_v"]
+    held_cells = cells.select("cell", *[F.col(c).alias(f"cell_{c}") for c in ("ids", "width", "v")])
+    opening_blocks = (asked.select("vec_id", "v", none.alias("bound"), none.alias("place"))
+                      .repartition(n_blocks, "vec_id").mapInPandas(_frames(query_block), FRAME))
+    longest = held_cells.where(F.col("cell") == first).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    opening = saved(opening_blocks.join(longest, "part").select(*sides).mapInPandas(search, found), "topk-opening")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    every = opening
+    if last > first:
+        kth = (opening.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k)
+               .select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound")))
+        # a better product than the bound needs this length; no bound above 0: any
+        reach = F.when((F.col("bound") > 0) & (norm > 0), F.col("bound") / norm).otherwise(none)
+        blocks = saved(asked.join(kth, "vec_id", "left").select(
+            "vec_id", "v", F.coalesce("bound", none).alias("bound"), reach.alias("place"))
+            .repartitionByRange(n_blocks, "place", "vec_id").mapInPandas(_frames(query_block), FRAME), "topk-blocks")
+        # few cells: several tasks share a cell's blocks
+        salts = min(n_blocks, -(-spark.sparkContext.defaultParallelism // (last - first)))
+        tasks = min((last - first) * salts, 10_000)
+        todo = _pairs(blocks, ends, first).withColumn("salt", F.pmod("part", F.lit(salts))).repartition(tasks, "cell", "salt")
+        salted = (held_cells.where(F.col("cell") > first).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+                  .repartition(tasks, "cell", "salt"))
+        every = opening.unionByName(todo.join(salted, ["cell", "salt"]).select(*sides).mapInPandas(search, found))
     return (every.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -285,6 +285,28 @@ def test_top_k_matches_brute_force(spark, seed):
     assert vectors.top_k(v.limit(0), v).count() == 0 and vectors.top_k(v, v.limit(0)).count() == 0
 
 
+def test_top_k_joins_only_cells_that_can_hold_a_better_vector(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    m = rnd.normal(size=(800, 4)) * np.exp(rnd.normal(size=(800, 1)) * 2)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    v = vectors.quantised(df, "embedding")
+    joined, plain = [], vectors._pairs
+
+    def counted(blocks, ends, first):
+        out = plain(blocks, ends, first)
+        joined.append((out.count(), blocks.count() * (max(ends) - first)))
+        return out
+
+    monkeypatch.setattr(vectors, "_pairs", counted)
+    got = [tuple(r) for r in vectors.top_k(v.where("vec_id % 5 = 0"), v, 5, query_block=8, bucket_rows=16, cell_buckets=2).collect()]
+    q = np.floor(256 * m).astype(int)
+    want = [(i, k, c, s) for i in range(0, 800, 5) for k, (s, c) in enumerate(
+        sorted(((int(q[i] @ q[c]), c) for c in range(800) if c != i), key=lambda x: (-x[0], x[1]))[:5], 1)]
+    assert sorted(got) == want
+    (some, every), = joined
+    assert 0 < some < every / 2
+
+
 # --------------------------------------------------------------------- line dedup
 
 def _brute_lines(docs):
