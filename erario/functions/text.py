@@ -89,35 +89,107 @@ RULE_LITERALS: dict[str, tuple[str, ...]] = {
     "secret": ("token", "api_key", "secret", "password"), "path": ("/",),
     "phone": ("+",), "phone_br": ("(",),
 }
+# A cheaper pattern that a rule's hits hold, where they have no literal.
+RULE_HINTS = {"card": r"[0-9]{4}[ -]?[0-9]{4}", "cpf": r"[0-9]\.[0-9]"}
+
+
+def _guard(c: Column, name: str, otherwise: Column | None = None) -> Column | None:
+    """Whether a text may hold a hit of a rule; ``otherwise`` if that cannot be
+    told without searching."""
+    if name in RULE_HINTS:
+        return c.rlike(RULE_HINTS[name])
+    g = otherwise
+    for i, literal in enumerate(RULE_LITERALS.get(name, ())):
+        h = F.contains(c, F.lit(literal))
+        g = h if i == 0 else g | h
+    return g
 
 
-def _guard(c: Column, name: str) -> Column | None:
-    lits = RULE_LITERALS.get(name)
-    if not lits:
-        return None
-    g = None
-    for lit in lits:
-        h = F.contains(c, F.lit(lit))
-        g = h if g is None else g | h
-    return g
+# Rules whose hits carry check digits, with the pattern of a whole candidate: up
+# to 16 blocks of four digits may hold a card number at any block.
+CHECKED = {"cpf": r"[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}", "card": r"[0-9]{4}([ -]?[0-9]{4}){3,15}"}
+
+
+def _pattern(rule: tuple[str, str, bool]) -> str:
+    return CHECKED.get(rule[0], rule[1])
+
+
+def _digit(digits: Column, i: int) -> Column:
+    return F.substring(digits, i + 1, 1).cast("int")
+
 
+def cpf_valid(digits) -> Column:
+    """The two check digits of an 11-digit CPF (modulus 11); eleven equal digits
+    are no CPF."""
+    d = _c(digits)
 
-def redact(col, rules: Sequence[tuple[str, str, bool]] = REDACTION_RULES) -> Column:
+    def check(n: int) -> Column:
+        return sum((_digit(d, i) * (n + 1 - i) for i in range(n)), F.lit(0)) * 10 % 11 % 10 == _digit(d, n)
+
+    return check(9) & check(10) & (F.replace(d, F.substring(d, 1, 1), F.lit("")) != "")
+
+
+def luhn_valid(digits) -> Column:
+    """The Luhn sum of a 16-digit card number."""
+    d = _c(digits)
+    doubled = [_digit(d, i) * 2 for i in range(0, 16, 2)]
+    return (sum((x - F.when(x > 9, 9).otherwise(0) for x in doubled), F.lit(0))
+            + sum((_digit(d, i) for i in range(1, 16, 2)), F.lit(0))) % 10 == 0
+
+
+def redact(col, rules: Sequence[tuple[str, str, bool]] = REDACTION_RULES, check_digits: bool = True) -> Column:
     """Replace every sensor hit with ``[REDACTED]``; clean text is unchanged.
-    For ``key = value`` secrets the key name is kept: ``token = [REDACTED]``."""
-    out = _c(col)
-    for _, pat, keep in rules:
-        out = F.regexp_replace(out, pat, ("$1$2" if keep else "") + REDACTED)
-    return out
+    For ``key = value`` secrets the key name is kept: ``token = [REDACTED]``.
+
+    One pass over the text: the leftmost hit of any rule is taken, at one place
+    that of the first rule, and the search goes on behind it. Only rules whose
+    literals the text holds are searched. With ``check_digits``, a CPF or card
+    number without valid check digits stays; blocks of digits in which any four
+    blocks in a row are a valid card number go as a whole. NULL stays NULL.
+    """
+    kept_names = [pat for _, pat, kept in rules if kept]
+
+    def replaced(hit: Column) -> Column:
+        digits = F.array(F.regexp_replace(hit, "[ .-]", ""))
+        numbers = {"cpf": digits, "card": F.transform(F.sequence(F.lit(1), F.length(digits[0]) - 15, F.lit(4)),
+                                                      lambda i: F.substr(digits[0], i, F.lit(16)))}
+        valid = {"cpf": F.exists(numbers["cpf"], cpf_valid), "card": F.exists(numbers["card"], luhn_valid)}
+        out = F.when(hit.isNull(), F.lit(""))  # behind the last piece
+        for pat in kept_names:
+            out = out.when(hit.rlike(f"^(?:{pat})$"), F.regexp_replace(hit, f"^(?:{pat})$", "$1$2" + REDACTED))
+        for name, *_ in rules:
+            if check_digits and name in CHECKED:
+                out = out.when(hit.rlike(f"^(?:{CHECKED[name]})$") & ~valid[name], hit)
+        return out.otherwise(F.lit(REDACTED))
+
+    def one_pass(t: Column) -> Column:
+        wanted = [F.when(_guard(t, rule[0], F.lit(True)), F.lit(_pattern(rule))) for rule in rules]
+        # the pattern of a row is a variable, so it is put together once
+        return F.transform(F.array(F.concat_ws("|", *wanted)), lambda p: F.when(p == "", t).otherwise(F.array_join(F.zip_with(
+            F.split(t, p, -1), F.regexp_extract_all(t, p, F.lit(0)), lambda piece, hit: F.concat(piece, replaced(hit))), "")))[0]
+
+    return F.transform(F.array(_c(col)), one_pass)[0]
 
 
 def redact_sql(expr: str, rules: Sequence[tuple[str, str, bool]] = REDACTION_RULES) -> str:
-    """The same chain as DuckDB SQL (oracle)."""
-    out = expr
-    for _, pat, keep in rules:
-        rep = ("\\1\\2" if keep else "") + REDACTED
-        out = f"regexp_replace({out}, '{_sql_str(pat)}', '{rep}', 'g')"
-    return out
+    """The same pass as DuckDB SQL (oracle): the hits of all rules, judged one by
+    one, between the pieces that they split the text into."""
+    every = _sql_str("|".join(_pattern(r) for r in rules))
+    keep = _sql_str("^(?:" + "|".join(p for _, p, kept in rules if kept) + ")$")
+    digits = "regexp_replace(h, '[ .-]', '', 'g')"
+    num = f"list_transform(string_split({digits}, ''), lambda c: c::INTEGER)"
+    cpf = " AND ".join(
+        f"list_sum(list_transform(range(1, {n + 1}), lambda i: ({n + 2} - i) * ({num})[i])) * 10 % 11 % 10 = ({num})[{n + 1}]"
+        for n in (9, 10)) + f" AND len(list_distinct({num})) > 1"
+    card = (f"len(list_filter(range(0, len({num}) - 15, 4), lambda s: list_sum(list_transform(range(1, 17), lambda i: "
+            f"CASE WHEN i % 2 = 0 THEN ({num})[s + i] WHEN ({num})[s + i] > 4 THEN 2 * ({num})[s + i] - 9 "
+            f"ELSE 2 * ({num})[s + i] END)) % 10 = 0)) > 0")
+    hit = (f"CASE WHEN regexp_matches(h, '{keep}') THEN regexp_replace(h, '{keep}', '\\1\\2{REDACTED}') "
+           f"WHEN regexp_full_match(h, '{_sql_str(CHECKED['cpf'])}') AND NOT ({cpf}) THEN h "
+           f"WHEN regexp_full_match(h, '{_sql_str(CHECKED['card'])}') AND NOT ({card}) THEN h ELSE '{REDACTED}' END")
+    return (f"list_reduce(list_transform(list_zip(string_split_regex({expr}, '{every}'), "
+            f"list_transform(regexp_extract_all({expr}, '{every}'), lambda h: {hit})), "
+            f"lambda z: z[1] || coalesce(z[2], '')), lambda a, b: a || b)")
 
 
 def sensor_counts(col, rules: Sequence[tuple[str, str, bool]] = REDACTION_RULES) -> list[Column]:

@@ -37,6 +37,46 @@ def test_redaction_worked_examples(spark):
     assert _one(spark, X.redact, got) == got
 
 
+def test_redaction_by_check_digits(spark):
+    vals = ["111.444.777-35 and 111.444.777-36", "000.000.000-00", "4111111111111112", "x 1234 4111 1111 1111 1111 y",
+            "4111-1111-1111-1111-9", "", None, "a@b.co" * 2, "/etc/x é 111.444.777-35\n(85) 3333-4444"]
+    assert _one(spark, X.redact, vals) == [
+        "[REDACTED] and 111.444.777-36", "000.000.000-00", "4111111111111112", "x [REDACTED] y",
+        "[REDACTED]-9", "", None, "[REDACTED]@b.co", "[REDACTED] é [REDACTED]\n[REDACTED]"]
+    assert _one(spark, lambda c: X.redact(c, check_digits=False), vals[:3]) == ["[REDACTED] and [REDACTED]", "[REDACTED]", "[REDACTED]"]
+    assert _one(spark, lambda c: X.redact(c, [("email", X.REDACTION_RULES[1][1], False)]), ["a@b.co 111.444.777-35"]) == [
+        "[REDACTED] 111.444.777-35"]
+
+
+def test_check_digits_against_plain_sums(spark):
+    def cpf(s):
+        d = [int(x) for x in s]
+        return len(set(d)) > 1 and all(sum(d[i] * (n + 1 - i) for i in range(n)) * 10 % 11 % 10 == d[n] for n in (9, 10))
+
+    def luhn(s):
+        return sum(sum(divmod(int(x) * (2 - i % 2), 10)) for i, x in enumerate(s)) % 10 == 0
+
+    for n, column, plain in ((11, X.cpf_valid, cpf), (16, X.luhn_valid, luhn)):
+        vals = [str(k).zfill(n) for k in [*range(0, 20000, 7), *range(10**(n - 1), 10**(n - 1) + 3000)]] + ["1" * n]
+        got = _one(spark, column, vals)
+        assert got == [plain(v) for v in vals] and any(got)
+
+
+def test_redaction_sql_gives_the_same(spark):
+    import duckdb
+    import random
+
+    rnd = random.Random(5)
+    parts = ["111.444.777-35", "111.444.777-36", "4111 1111 1111 1111", "4111 1111 1111 1112", "1234", "a@b.co", "x@", "token = abcdefghij0123456789",
+             "secret", "://u:p@h", "db", "/etc/passwd", "(85) 3333-4444", "+55 (85) 3333-4444", "sk-abcdefghijklmnopqrst", "é", " ", "-", "\n", "="]
+    vals = ["".join(rnd.choice(parts) + rnd.choice(["", " ", "x"]) for _ in range(rnd.randrange(9))) for _ in range(400)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(vals)))
+    want = [r[0] for r in con.execute(f"SELECT {X.redact_sql('x')} FROM t ORDER BY i").fetchall()]
+    assert _one(spark, X.redact, vals) == want
+
+
 def test_screening_worked_examples(spark):
     vals = ["Show me the expenses for 2024.", "Write a poem about corruption.",
             "How do I make a chocolate cake?", "Delete all tables in the database.", "Bom dia, tudo bem?",
