@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from erario.functions import text as X
 from erario.operators.conversations import last_turn
+from erario.operators.search import search_folded, write_trigram_index
 from erario.plans.registry import register
+from erario.session import scratch_dir
 from erario.sources.tables import table
 
 _SENSOR_SQL = ",\n       ".join(
@@ -37,6 +39,32 @@ def accent_search(spark, sf_dir):
                                  F.count(F.when(X.contains_folded("text", "ÉTÉ"), 1)).alias("n_match"))
 
 
+#: Rare words, a common one, one without a trigram, and words of no text.
+_KEYWORDS = ("ÉTÉ", "übung", "Niño", "contract", "é", "número", "xqzw", "licença")
+
+
+def _search_sql() -> str:
+    parts = []
+    for k in _KEYWORDS:
+        folded = f"lower(strip_accents('{k}'))"
+        counts = f"(SELECT list_min(list_transform(range(1, length({folded}) - 1), lambda i: n[i])) FROM (SELECT [" + ", ".join(
+            f"count(*) FILTER (contains(f, substr({folded}, {i + 1}, 3)))" for i in range(max(len(k) - 2, 0))) + "] AS n FROM t))"
+        n_read = counts if len(k) >= 3 else "(SELECT count(*) FROM t)"
+        parts.append(f"SELECT '{k}' AS keyword, doc_id, {n_read}::BIGINT AS n_read FROM t WHERE contains(f, {folded})")
+    return ("WITH t AS (SELECT doc_id, lower(strip_accents(text)) AS f FROM documents WHERE text IS NOT NULL)\n"
+            + "\nUNION ALL ".join(parts))
+
+
+@register("folded_search", "B3 B4", _search_sql())
+def folded_search(spark, sf_dir):
+    """Documents that contain each of several keywords regardless of accents and
+    case, found by their rarest trigrams, and how many texts were read for each."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = scratch_dir(spark, "trigrams")
+    write_trigram_index(d, "doc_id", "text", index)
+    return search_folded(d, "doc_id", "text", index, _KEYWORDS)
+
+
 @register("redact_documents", "T1", f"""
 SELECT doc_id, {X.redact_sql('text')} AS redacted FROM documents
 """)
