@@ -156,18 +156,31 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MARKS = r"^[ \t]*((?:>[ \t]?)*)"
 _INTRO = r"(?i)^\s*\S.{0,200}\b(?:wrote|writes|schrieb|schreibt|escribió|écrit|a écrit)\s*:\s*$"
+_WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 
 @register("op7_quote_linking", rf"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
         string_split_regex(coalesce(text, ''), '\r\n|\n|\r') AS l FROM conversations),
-e AS (SELECT *, list_transform(l, lambda x: length(regexp_replace(regexp_extract(x, '{_MARKS}', 1), '[^>]', '', 'g'))) AS v FROM m),
-k AS (SELECT conv_id, turn, unnest(v) AS level, trim(regexp_replace(lower(regexp_replace(unnest(l), '{_MARKS}', '')),
-        '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS p FROM e),
-own AS (SELECT conv_id, p, min(turn) AS source FROM k WHERE level = 0 AND p <> '' GROUP BY 1, 2),
-q AS (SELECT k.conv_id, k.turn, source, count(*) AS n FROM k JOIN own USING (conv_id, p)
-      WHERE level = 1 AND source < k.turn GROUP BY 1, 2, 3),
-b AS (SELECT conv_id, turn, sum(n) AS n_quoted, max({{'n': n, 's': source}}).s AS quoted FROM q GROUP BY 1, 2),
+e AS (SELECT *, row_number() OVER () AS msg,
+        list_transform(l, lambda x: length(regexp_replace(regexp_extract(x, '{_MARKS}', 1), '[^>]', '', 'g'))) AS v FROM m),
+k AS (SELECT msg, conv_id, turn, unnest(range(len(l))) AS i, unnest(v) AS level, trim(regexp_replace(lower(regexp_replace(unnest(l),
+        '{_MARKS}', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS p FROM e),
+x AS (SELECT *, sum(new) OVER (PARTITION BY msg ORDER BY i) AS run FROM (SELECT *,
+        CASE WHEN lag(level) OVER (PARTITION BY msg ORDER BY i) = level THEN 0 ELSE 1 END AS new FROM k)),
+y AS (SELECT * EXCLUDE (new), sum(new) OVER (PARTITION BY msg, run ORDER BY i) AS part FROM (SELECT * EXCLUDE (new),
+        CASE WHEN lag(p) OVER (PARTITION BY msg, run ORDER BY i) = '' THEN 1 ELSE 0 END AS new FROM x)),
+z AS (SELECT conv_id, turn, level, p, string_agg(nullif(p, ''), ' ') OVER (PARTITION BY msg, run ORDER BY i {_WHOLE}) AS in_run,
+        string_agg(nullif(p, ''), ' ') OVER (PARTITION BY msg, run, part ORDER BY i {_WHOLE}) AS in_part FROM y),
+own AS (SELECT conv_id, h, min(turn) AS source FROM (SELECT conv_id, turn, unnest([in_run, in_part, p]) AS h FROM z
+        WHERE level = 0 AND p <> '') GROUP BY 1, 2),
+q AS (SELECT z.conv_id, z.turn, level, coalesce(a.source, b.source, c.source) AS source, count(*) AS n FROM z
+      LEFT JOIN own a ON a.conv_id = z.conv_id AND a.h = in_run AND a.source < turn
+      LEFT JOIN own b ON b.conv_id = z.conv_id AND b.h = in_part AND b.source < turn
+      LEFT JOIN own c ON c.conv_id = z.conv_id AND c.h = p AND c.source < turn
+      WHERE level > 0 AND p <> '' GROUP BY 1, 2, 3, 4),
+b AS (SELECT conv_id, turn, sum(n) AS n_quoted, max({{'n': n, 's': source}}).s AS quoted FROM q WHERE source IS NOT NULL
+      GROUP BY conv_id, turn, level QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level) = 1),
 t AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT DISTINCT conv_id, turn FROM m)),
 a AS (SELECT t.conv_id, t.turn, coalesce(quoted, prev) AS reply_to, n_quoted FROM t LEFT JOIN b USING (conv_id, turn)),
 r AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM a WHERE reply_to IS NULL

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from erario.llm import chat, langid
+from erario.llm import chat, langid, queries
 
 
 # ------------------------------------------------------------ quotation linking
@@ -94,6 +94,21 @@ def test_nested_quotes_against_plain_linking(spark, seed):
     assert sum(n > 0 for _, _, n, *_ in want.values()) > 50 and max(x[3] for x in want.values()) > 2
 
 
+def test_quote_linking_sql_on_nested_quotes(spark, tmp_path):
+    """The given conversations hold no quotes, so the SQL is held against these too."""
+    import duckdb
+
+    rnd = random.Random(3)
+    rows = [(c, t, rnd.choice(["user", "bot", None]), text) for c in range(25) for t, text in _conversation(rnd, rnd.randrange(1, 30))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.QUERIES["op7_quote_linking"](spark, str(tmp_path))
+    columns = sorted(found.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES['op7_quote_linking']})").fetchall()
+    assert sorted(map(tuple, found.select(*columns).collect()), key=str) == sorted(want, key=str)
+
+
 # ------------------------------------------------------------------ language ID
 
 def _ranked(texts, size):
