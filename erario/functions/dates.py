@@ -59,3 +59,23 @@ def normalize_month_ref(mes, year) -> Column:
     return (F.when(yyyymm_ok, m)
             .when(mm_ok & y.rlike("^[0-9]{4}$"), F.concat(y, m))
             .when(single & y.rlike("^[0-9]{4}$"), F.concat(y, F.lit("0"), m)))
+
+
+def julian_day(ts) -> Column:
+    """Days since noon of 24 November 4714 BC (proleptic Gregorian) as a double,
+    what SQL's ``julianday`` gives: 2440587.5 at the start of 1970, UTC."""
+    return F.unix_micros(_c(ts).cast("timestamp")) / F.lit(86_400_000_000.0) + F.lit(2440587.5)
+
+
+def shift_months(d, n) -> Column:
+    """The date ``n`` months on. A day that the month does not have runs on into
+    the next (31 January and a month: 2 or 3 March), as ``date(d, '+n month')``
+    does; ``add_months`` would give the month's last day."""
+    day = _c(d).cast("date")
+    return F.date_add(F.add_months(F.trunc(day, "month"), n), F.dayofmonth(day) - 1)
+
+
+def months_apart(later, earlier) -> Column:
+    """Calendar months from one date's month to another's, days aside."""
+    a, b = _c(later).cast("date"), _c(earlier).cast("date")
+    return (F.year(a) - F.year(b)) * 12 + F.month(a) - F.month(b)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from erario.functions.dates import month_ref, year_text
+from erario.functions.dates import julian_day, month_ref, months_apart, shift_months, year_text
 from erario.functions.money import money, money_sum
 from erario.operators import audit as A
 from erario.operators import relational as R
@@ -619,3 +619,39 @@ def scalar_functions(spark, sf_dir):
         F.when(F.col("c_acctbal") < 0, F.lit("debt")).otherwise(F.lit("credit")).alias("balance_kind"),
         F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("B")).alias("segment_or_b"),
     )
+
+
+@register("date_functions", "§2.9 S10", """
+SELECT l_orderkey, l_linenumber,
+       epoch(l_shipdate) / 86400.0 + 2440587.5 AS julian_shipped,
+       CAST(floor((epoch(l_shipdate) - epoch(o_orderdate)) / 86400.0) AS BIGINT) AS days_to_ship,
+       strftime(CAST(date_trunc('month', l_shipdate) + INTERVAL 1 MONTH AS DATE) + CAST(day(l_shipdate) - 1 AS INTEGER), '%Y-%m-%d') AS due_next_month,
+       strftime(CAST(date_trunc('month', l_shipdate) - INTERVAL 11 MONTH AS DATE) + CAST(day(l_shipdate) - 1 AS INTEGER), '%Y-%m-%d') AS eleven_before,
+       strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS month_start,
+       strftime(last_day(l_shipdate), '%Y-%m-%d') AS month_end,
+       CAST(date_diff('month', o_orderdate, l_shipdate) AS INTEGER) AS months_to_ship,
+       CAST(dayofweek(l_shipdate) AS INTEGER) AS weekday,
+       CAST(dayofyear(l_shipdate) AS INTEGER) AS day_of_year,
+       CAST(epoch(l_shipdate) AS BIGINT) AS unix_shipped
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+""")
+def date_functions(spark, sf_dir):
+    """Julian days, month arithmetic and date parts of every lineitem and its order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    li = li.join(o, li.l_orderkey == o.o_orderkey)
+    shipped = F.col("l_shipdate").cast("timestamp")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        julian_day("l_shipdate").alias("julian_shipped"),
+        F.floor(julian_day("l_shipdate") - julian_day("o_orderdate")).alias("days_to_ship"),
+        text(shift_months("l_shipdate", 1)).alias("due_next_month"),
+        text(shift_months("l_shipdate", -11)).alias("eleven_before"),
+        text(F.trunc("l_shipdate", "month")).alias("month_start"),
+        text(F.last_day("l_shipdate")).alias("month_end"),
+        months_apart("l_shipdate", "o_orderdate").alias("months_to_ship"),
+        (F.dayofweek(shipped) - 1).alias("weekday"),
+        F.dayofyear(shipped).alias("day_of_year"),
+        F.unix_seconds(shipped).alias("unix_shipped"),
+    )

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from erario.functions.dates import month_bounds, normalize_month_ref
+from erario.functions.dates import julian_day, month_bounds, months_apart, normalize_month_ref, shift_months
 from erario.operators.decode import decode_rows
 from erario.operators.readonly import ReadOnlyViolation, check_readonly, run_readonly_sql
 from erario.operators.traces import span_stats, trace_rollup
@@ -114,3 +114,17 @@ def test_not_in_three_valued_logic(spark):
     assert not_in(outer, "k", with_null, "k").count() == 0
     empty = spark.createDataFrame([], "k int")
     assert sorted((r.k is None, r.k) for r in not_in(outer, "k", empty, "k").collect()) == [(False, 1), (False, 2), (True, None)]
+
+
+def test_julian_days_and_months_as_the_reference_engine_gives_them(spark):
+    import sqlite3
+
+    days = ["2024-01-31", "2023-01-31", "2024-02-29", "2023-12-31 18:30:15", "1969-12-31 06:00:00", "2000-03-01", None]
+    lite = sqlite3.connect(":memory:")
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "i int, d string").selectExpr("i", "cast(d as timestamp) AS d")
+    rows = sorted(df.select("i", julian_day("d").alias("j"), *[shift_months("d", n).cast("string").alias(f"m{n}") for n in (1, 13, -1)],
+                            months_apart("d", F.lit("2023-11-15")).alias("apart")).collect())
+    for r, d in zip(rows, days):
+        want = lite.execute("SELECT julianday(?1), date(?1, '+1 month'), date(?1, '+13 month'), date(?1, '-1 month')", (d,)).fetchone()
+        assert tuple(r)[2:5] == want[1:] and (r.j is want[0] or abs(r.j - want[0]) < 1e-8)
+    assert [r.apart for r in rows] == [2, -10, 3, 1, -647, -284, None]
