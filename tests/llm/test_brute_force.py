@@ -1,4 +1,4 @@
-"""Quotation linking and language ID against plain versions of their rules."""
+"""Quotation linking, language ID and packing against plain versions of their rules."""
 
 import random
 import re
@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from erario.llm import chat, langid, queries
+from erario.llm import chat, langid, packing, queries
 
 
 # ------------------------------------------------------------ quotation linking
@@ -148,3 +148,65 @@ def test_out_of_place_distance_against_plain_sums(spark, size):
     got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in langid.predict_languages(df, size=size, sample_docs=10**6).collect()}
     assert {i: x[:2] for i, x in got.items()} == {i: x[:2] for i, x in want.items()}
     assert all(abs(got[i][2] - want[i][2]) < 1e-12 for i in want)
+
+
+# ---------------------------------------------------------------------- packing
+
+def _best_fit(sizes, length, most, min_cut):
+    """(doc, start, size) by window in the order of emission, and what stays open."""
+    opened, emitted = [], []
+
+    def used(window):
+        return sum(n for _, _, n in window)
+
+    for doc, n in enumerate(sizes):
+        start = 0
+        while n >= length:
+            emitted.append([(doc, start, length)])
+            start, n = start + length, n - length
+        if not n:
+            continue
+        fitting = [w for w in opened if used(w) + n <= length]
+        if not fitting and len(opened) == most:
+            fullest = max(opened, key=used)
+            opened.remove(fullest)
+            emitted.append(fullest)
+            gap = length - used(fullest)
+            if gap >= min_cut:
+                fullest.append((doc, start, gap))
+                start, n = start + gap, n - gap
+        if not fitting:
+            opened.append([])
+            fitting = [opened[-1]]
+        best = max(fitting, key=used)
+        best.append((doc, start, n))
+        if used(best) == length:
+            opened.remove(best)
+            emitted.append(best)
+    return emitted, opened
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_windows_against_plain_best_fit(seed):
+    rnd = random.Random(seed)
+    length, most, min_cut = rnd.choice([8, 32, 100]), rnd.choice([1, 3, 8]), rnd.choice([1, 4, 1000])
+    sizes = [rnd.choice([rnd.randrange(1, length), rnd.randrange(1, 3 * length), length, 1]) for _ in range(200)]
+    packer = packing.Packer(length, most, min_cut, 7)
+    for doc, n in enumerate(sizes):
+        packer.add(doc, 0, bytes(4 * n), n)
+        assert len(packer.open) <= most
+    emitted, opened = _best_fit(sizes, length, most, min_cut)
+    got = {}
+    for doc, start, n, _, total, sequence, offset in packer.take():
+        assert total == sizes[doc] and offset == sum(k for _, _, k in got.get(sequence, []))
+        got.setdefault(sequence, []).append((doc, start, n))
+    assert got == dict(enumerate(emitted, 7))
+    assert [[(d, s, len(i) // 4) for d, s, i, _ in pieces] for _, pieces in packer.open] == opened
+    held = sum(n for w in opened for _, _, n in w)
+    packer.close()
+    ends = {}
+    for _, _, n, _, _, sequence, offset in packer.take():
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + n
+    # nothing is lost, and what is not whole has a power of two, so it needs no padding
+    assert sum(ends.values()) == held and all(n == length or n & (n - 1) == 0 for n in ends.values())
