@@ -48,3 +48,23 @@ def run_window_counts(spark: SparkSession, source_dir: str, file_glob: str, wind
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
+
+
+def late_counts(events: DataFrame, emitted: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value",
+                window: str = "1 day") -> DataFrame:
+    """What came too late for its window: per window and key the events (and
+    their total) that ``events``, all that were read, hold beyond ``emitted``,
+    the stream's result so far. Windows after the last emitted one are open and
+    not counted; a window that lost nothing has no row.
+
+    The stream drops late rows without a trace (its metric counts partial
+    aggregates, not events), so they are found by counting the events again."""
+    last = emitted.agg(F.max("window_start")).first()[0]
+    every = window_counts(events, ts, key, value, window).where(F.col("window_start") <= F.lit(last))
+    known = emitted.select("window_start", F.col(key).alias("k"), F.col("n_events").alias("n"), F.col("total_value").alias("t"))
+    known = known.withColumnRenamed("window_start", "w")
+    late = every.join(known, (F.col("window_start") == F.col("w")) & F.col(key).eqNullSafe(F.col("k")), "left")
+    money = lambda c: F.coalesce(F.col(c).cast("decimal(18,2)"), F.lit(0))
+    return (late.select("window_start", key, (F.col("n_events") - F.coalesce("n", F.lit(0))).alias("n_late"),
+                        (money("total_value") - money("t")).cast("double").alias("total_late"))
+            .where("n_late > 0"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from erario.operators.ledger import ledger_current
 from erario.operators.load import ledger, run_load
-from erario.streaming.events import run_window_counts, window_counts
+from erario.streaming.events import late_counts, run_window_counts, window_counts
 from erario.streaming.payload_feed import start_payload_feed
 
 EXP = {"codigo_funcao": "10", "codigo_elemento_despesa": "339039", "valor_pago_no_mes": 80.0}
@@ -67,3 +67,23 @@ def test_window_counts_batch_equals_stream_for_closed_windows(spark):
     assert s == b and len(s) > 0
     # the open last day is not emitted
     assert streamed.select("window_start").distinct().count() == batch.select("window_start").distinct().count() - 1
+
+
+def test_late_events_are_counted(spark, tmp_root):
+    source, sink, ck = tmp_root + "/in", tmp_root + "/sink", tmp_root + "/ck"
+
+    def arrive(rows):
+        df = spark.createDataFrame(rows, "t string, event_type string, value double")
+        df.selectExpr("cast(t as timestamp) AS ts", "event_type", "value").coalesce(1).write.mode("append").parquet(source)
+        return run_window_counts(spark, source, "*.parquet", sink=sink, checkpoint=ck)
+
+    emitted = arrive([("2024-01-01 05:00:00", "a", 1.0), ("2024-01-02 05:00:00", "a", 2.0), ("2024-01-04 05:00:00", None, 4.0)])
+    events = spark.read.parquet(source)
+    assert emitted.count() == 2 and late_counts(events, emitted).collect() == []
+    # a and b of the first day are late, the third day's window has closed without an event
+    emitted = arrive([("2024-01-01 06:00:00", "a", 0.25), ("2024-01-01 07:00:00", "b", 3.5), ("2024-01-01 08:00:00", "b", None),
+                      ("2024-01-04 06:00:00", None, 1.0), ("2024-01-06 00:00:00", "a", 9.0)])
+    got = sorted(map(tuple, late_counts(spark.read.parquet(source), emitted).collect()))
+    assert got == [("2024-01-01 00:00:00", "a", 1, 0.25), ("2024-01-01 00:00:00", "b", 2, 3.5)]
+    assert ("2024-01-04 00:00:00", None, 2, 5.0) in set(map(tuple, emitted.collect()))
+    assert late_counts(events, emitted.limit(0)).collect() == []
