@@ -73,7 +73,8 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
         cells = spans.select(name, "key", F.inline(cover(lo, F.col("hi"), levels)))
         level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
         at = points.select(other, "key", "lo", level).select(other, "key", "level", _down(F.col("lo"), F.col("level")).alias("cell"))
-        return cells.join(at, ["key", "level", "cell"]).select("left", "right")
+        # the planner takes the cells for as few as the rows they come from: never broadcast
+        return cells.join(at.hint("merge"), ["key", "level", "cell"]).select("left", "right")
 
     # equal starts belong to the first case alone
     return within(a, b, "left", "right", F.col("lo")).unionByName(within(b, a, "right", "left", F.col("lo") + 1))

@@ -62,6 +62,15 @@ def test_a_hot_customer_is_no_square(spark):
     assert got.agg(F.max("earlier_higher")).first()[0] == 1999
 
 
+def test_cells_of_a_small_table_are_not_broadcast(spark, tmp_root):
+    """A table's file size tells nothing of the cells its rows are cut into."""
+    spark.range(500).select(F.col("id").alias("k"), F.col("id").alias("lo"), (F.col("id") + 9).alias("hi")).write.parquet(f"{tmp_root}/spans")
+    df = spark.read.parquet(f"{tmp_root}/spans")
+    got = overlap_join(df, df, ("lo", "hi"), ("lo", "hi"), [("k", "k")])
+    assert got.count() == 500
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_log_records_across_splits(spark, tmp_root):
     head = "2024-01-0{} 10:00:00,123 - {} - message {}"
     first = ["lost line", head.format(1, "ERROR", 1), "Traceback:", "  File \"x\"", "ValueError: é", head.format(2, "INFO", 2)]
