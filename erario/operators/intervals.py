@@ -8,15 +8,17 @@ size, cell) gives every pair once, whatever the lengths, and a hot key is spread
 over its cells.
 
 ``earlier_higher``: for each row the rows of its key with an earlier time and a
-higher value, as the correlated subquery would count them. Times that differ
-agree down to one bit, where the earlier has 0: per bit the rows of equal higher
-bits are merged by value, rows with 0 are counted and rows with 1 ask. Output
-and work are n and n log(times), not pairs.
+higher value, as the correlated subquery would count them. The rows of a key with
+few are compared in one array. Of the other keys, times that differ agree down to
+one digit, where the earlier has the smaller: per digit the rows of equal higher
+digits are merged by value, and each asks for those of smaller digits above it.
+Output and work are n and n log(times), not pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,11 @@ from pyspark.sql import functions as F
 from erario.operators.upsert import stage
 from erario.operators.windows import over_buckets
 
+#: Keys of up to this many rows are compared row by row.
+FEW = 128
+#: Bits of a time taken at once: each row is there once for every digit of its time.
+DIGIT = 2
+
 
 def _down(c: Column, bits: Column) -> Column:
     return F.call_function("shiftright", c, bits)
@@ -80,6 +87,23 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     return within(a, b, "left", "right", F.col("lo")).unionByName(within(b, a, "right", "left", F.col("lo") + 1))
 
 
+def _by_digits(known: DataFrame, first: int, last: int) -> DataFrame:
+    """``id, n`` of the rows ``key, t, v, b, id`` that have any earlier, higher one."""
+    levels = max(-(-(last - first).bit_length() // DIGIT), 1)
+    t = F.col("t") - F.lit(first)
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    top = (1 << DIGIT) - 1
+    asked = known.select("key", "v", "b", "id", t.alias("t"), level).select(
+        "key", "v", "b", "id", "level", _down(F.col("t"), (F.col("level") + 1) * DIGIT).alias("cell"),
+        _down(F.col("t"), F.col("level") * DIGIT).bitwiseAND(F.lit(top).cast("long")).alias("digit"))
+    asked = asked.withColumns({f"below{d}": (F.col("digit") < d).cast("long") for d in range(1, top + 1)})
+    # of equal values those of later digits come first, so they do not count their equals
+    merged = over_buckets(asked, ["key", "level", "cell"], [("v", False), ("digit", False), "id"], F.col("b"),
+                          running={f"above{d}": f"below{d}" for d in range(1, top + 1)})
+    above = reduce(lambda c, d: c.when(F.col("digit") == d, F.col(f"above{d}")), range(1, top + 1), F)
+    return merged.select("id", above.alias("above")).where("above > 0").groupBy("id").agg(F.sum("above").alias("n"))
+
+
 def earlier_higher(df: DataFrame, by: Sequence[str], time: str, value: str, bucket: Column,
                    out: str = "earlier_higher") -> DataFrame:
     """``df`` with ``out``: the number of rows of the same key with a smaller
@@ -97,17 +121,16 @@ def earlier_higher(df: DataFrame, by: Sequence[str], time: str, value: str, buck
         F.col(time).cast("long").alias("t"), F.col(value).alias("v"), bucket.alias("b"),
         F.monotonically_increasing_id().alias("id")), "dominance")
     known = rows.where("t is not null and v is not null")
-    first, last = known.agg(F.min("t"), F.max("t")).first()
-    bits = ((last or 0) - (first or 0)).bit_length()
-    t = F.col("t") - F.lit(first or 0)
-    level = F.explode(F.sequence(F.lit(0), F.lit(max(bits, 1) - 1))).alias("level")
-    asked = known.select("key", "v", "b", "id", t.alias("t"), level).select(
-        "key", "v", "b", "id", "level", _down(F.col("t"), F.col("level") + 1).alias("cell"),
-        _down(F.col("t"), F.col("level")).bitwiseAND(F.lit(1).cast("long")).alias("late"))
-    asked = asked.withColumn("early", 1 - F.col("late"))
-    # of equal values those that ask come first, so they do not count their equals
-    merged = over_buckets(asked, ["key", "level", "cell"], [("v", False), ("late", False), "id"], F.col("b"),
-                          running={"above": "early"})
-    counts = merged.where("late = 1 and above > 0").groupBy("id").agg(F.sum("above").alias("n"))
+    # a key of few rows is one array, whose pairs are compared; only the others are cut by digits
+    many = known.groupBy("key").count().where(F.col("count") > FEW).select("key")
+    lists = (known.join(many, "key", "left_anti").groupBy("key")
+             .agg(F.collect_list(F.struct("t", "v", "id")).alias("all")))
+    few = lists.select(F.inline(F.transform("all", lambda r: F.struct(r["id"].alias("id"), F.size(F.filter(
+        "all", lambda o: (o["t"] < r["t"]) & (o["v"] > r["v"]))).cast("long").alias("n")))))
+    hot = known.join(many, "key", "left_semi")
+    first, last = hot.agg(F.min("t"), F.max("t")).first()
+    counts = few.where("n > 0")
+    if first is not None:
+        counts = counts.unionByName(_by_digits(hot, first, last))
     return (rows.join(counts, "id", "left")
             .select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(rest)], F.coalesce("n", F.lit(0)).cast("long").alias(out)))

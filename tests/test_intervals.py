@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from erario.operators import intervals
 from erario.operators.intervals import cover, earlier_higher, overlap_join
 from erario.sources.logs import read_etl_records
 
@@ -71,6 +72,20 @@ def test_cells_of_a_small_table_are_not_broadcast(spark, tmp_root):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("few", [0, 40, 1000])
+def test_dominance_is_the_same_by_arrays_and_by_digits(spark, monkeypatch, few):
+    monkeypatch.setattr(intervals, "FEW", few)
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice([None, *range(-90, 90)]), float(rnd.randint(-15, 15))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k int, day int, v double")
+    got = earlier_higher(df, ["k"], "day", "v", F.floor(F.col("v") / 4))
+    known = [r for r in rows if r[2] is not None]
+    assert {r.id: r.earlier_higher for r in got.collect()} == {
+        r[0]: 0 if r[2] is None else sum(o[1] == r[1] and o[2] < r[2] and o[3] > r[3] for o in known) for r in rows}
+    # rows are repeated for the digits of their times only in keys of many rows
+    assert ("explode(sequence" in got._jdf.queryExecution().analyzed().toString()) == (few < 1000)
+
+
 def test_log_records_across_splits(spark, tmp_root):
     head = "2024-01-0{} 10:00:00,123 - {} - message {}"
     first = ["lost line", head.format(1, "ERROR", 1), "Traceback:", "  File \"x\"", "ValueError: é", head.format(2, "INFO", 2)]
