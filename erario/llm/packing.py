@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, saved
+from .common import frugal, release_memory, saved
 
 LENGTH = 2048
 OPEN = 32
@@ -92,6 +92,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.words = _Words(Tokenizer.from_file(path), cached)
+        release_memory()  # reading the file takes twice what the vocabulary keeps
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in _WHOLE):

@@ -603,3 +603,12 @@ def test_pipeline_stages_on_edge_tables(spark, rows):
     assert docs.count() <= 4 * len(kept)
     if not kept:
         assert docs.collect() == []
+
+
+def test_a_loaded_vocabulary_keeps_no_memory_of_its_file(monkeypatch):
+    from erario.llm import packing, queries
+
+    freed = []
+    monkeypatch.setattr(packing, "release_memory", lambda: freed.append(1))
+    tokenizer = packing.WordTokenizer(queries.vocabulary())
+    assert freed == [1] and tokenizer.encode("the word") == tokenizer.words.whole("the word")
