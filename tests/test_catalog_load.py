@@ -269,3 +269,27 @@ def test_a_load_appends_its_own_rows_and_writes_few_files(spark, tmp_root):
     added = set(glob.glob(f"{silver}/etl_metadata/*/*.parquet")) - files
     assert files <= set(glob.glob(f"{silver}/etl_metadata/*/*.parquet"))
     assert {r.municipio_id for r in spark.read.parquet(*added).collect()} == {"0163"}
+
+
+def test_a_query_lands_its_own_source(spark):
+    """A load of tenders does not wait for the files of expenses and revenue; a
+    source that is there is not written again."""
+    from conftest import SF_SMALL
+    from erario.plans import load_plans
+
+    key = (spark.sparkContext.applicationId, SF_SMALL)
+    before = load_plans._LANDED.pop(key, None)
+    try:
+        root, _ = load_plans.landed(spark, SF_SMALL, ["licitacoes"])
+        tenders = {r.path for r in scan_payloads(spark, root).collect()}
+        assert {r.source for r in scan_payloads(spark, root).collect()} == {"licitacoes"}
+        assert load_plans.landed(spark, SF_SMALL, ["licitacoes", "receitas"])[0] == root
+        rows = scan_payloads(spark, root).collect()
+        assert {r.path for r in rows if r.source == "licitacoes"} == tenders
+        assert {r.source for r in rows} == {"licitacoes", "receitas"}
+        # one file a request, and the empty bodies
+        assert len({(r.run_id, r.source, r.municipio_id, r.year, r.month, r.http_status) for r in rows}) == len(rows)
+        assert {r.municipio_id for r in rows} >= {"900000", "900001", "900002", "900003"}
+    finally:
+        if before:
+            load_plans._LANDED[key] = before
