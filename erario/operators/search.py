@@ -24,20 +24,18 @@ def trigrams(folded) -> Column:
     return F.array_distinct(F.regexp_extract_all(folded, F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
-def _bucket(gram: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
-
-
 def write_trigram_index(texts: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS) -> None:
-    """Write the postings ``gram, key`` of every row, in folders by bucket of the
-    gram and sorted by it within a file, so that a search reads only its grams'
-    row groups. Rows of one gram may lie in several files: a gram of every text
-    is no single task's work. Rows with a NULL key or text have no postings."""
-    postings = (texts.where(F.col(key).isNotNull())
-                .select(F.col(key).alias("key"), F.explode(trigrams(accent_fold(text))).alias("gram"))
-                .withColumn("bucket", _bucket(F.col("gram"), buckets)))
-    (postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram")
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    """Write the postings ``gram, key`` of every row. The texts are dealt out
+    evenly, however few files hold them. Each task sorts its postings by gram and
+    writes them where it made them: the many postings are not shuffled, a search
+    skips the pages without its grams, and a gram of every text is no single
+    task's work. Rows with a NULL key or text have no postings. ``buckets`` is
+    accepted as before; the files need none.
+    """
+    dealt = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).repartition(key, text)
+    postings = (dealt
+                .select(F.col(key).alias("key"), F.explode(trigrams(accent_fold(text))).alias("gram")))
+    postings.sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
 
 
 def _grams_of(spark: SparkSession, keywords: Sequence[str]) -> dict[str, tuple[str, list[str]]]:
@@ -57,8 +55,7 @@ def search_folded(texts: DataFrame, key: str, text: str, index: str, keywords: S
     a keyword regardless of accents and case, and the number of rows read for
     that keyword.
 
-    ``index`` is what ``write_trigram_index`` wrote for these texts, with as many
-    ``buckets``. A keyword of fewer than three characters has no trigram: all
+    ``index`` is what ``write_trigram_index`` wrote for these texts. A keyword of fewer than three characters has no trigram: all
     rows are read for it (the empty keyword is in every text). Rows with a NULL
     key or text are not found; rows with the same key are found each for itself.
     Repeated keywords count once; without keywords there are no rows.
@@ -68,8 +65,7 @@ def search_folded(texts: DataFrame, key: str, text: str, index: str, keywords: S
     held = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = texts.schema[key].dataType.simpleString()
     wanted = sorted({g for _, grams in known.values() for g in grams})
-    postings = spark.read.schema(f"key {kind}, gram string, bucket int").parquet(index).where(
-        F.col("bucket").isin(*[_bucket(F.lit(g), buckets) for g in wanted]) & F.col("gram").isin(wanted))
+    postings = spark.read.schema(f"key {kind}, gram string").parquet(index).where(F.col("gram").isin(wanted))
     # one row for each trigram of the keywords
     sizes = {r["gram"]: r["count"] for r in postings.groupBy("gram").count().collect()} if wanted else {}
     read, by_gram, everywhere = {}, {}, []

@@ -1,5 +1,6 @@
 """Folded search by trigrams against reading every text."""
 
+import os
 import random
 import unicodedata
 
@@ -42,3 +43,14 @@ def test_search_without_texts_or_keywords(spark, tmp_root):
     write_trigram_index(df, "doc_id", "text", tmp_root + "/one")
     assert search_folded(df, "doc_id", "text", tmp_root + "/one", []).count() == 0
     assert search_folded(df, "doc_id", "text", tmp_root + "/one", ["zzz"]).count() == 0
+
+
+def test_postings_are_written_where_they_are_made(spark, tmp_root):
+    rows = [(i, f"text number {i} with a common part") for i in range(200)] + [(200, None), (None, "no key")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    write_trigram_index(df, "doc_id", "text", tmp_root + "/index")
+    files = [os.path.join(d, f) for d, _, found in os.walk(tmp_root + "/index") for f in found if f.endswith(".parquet")]
+    assert {os.path.dirname(f) for f in files} == {tmp_root + "/index"}  # no postings dealt by gram
+    held = [[r.gram for r in spark.read.parquet(f).collect()] for f in files]
+    assert all(grams == sorted(grams) for grams in held)
+    assert sum(map(len, held)) == sum(len({t[i:i + 3] for i in range(len(t) - 2)}) for _, t in rows[:200])
