@@ -1,6 +1,7 @@
 """Catalog (B1-B3, B5) and the end-to-end load job."""
 
 import json
+import os
 import uuid
 
 import pytest
@@ -293,3 +294,33 @@ def test_a_query_lands_its_own_source(spark):
     finally:
         if before:
             load_plans._LANDED[key] = before
+
+
+def test_bundles_load_as_single_files_do(spark, tmp_root):
+    """Responses in bundles and in files of their own make the same tables, and
+    a load reads the landing once."""
+    from erario.sources import payloads as P
+
+    item = {"codigo_elemento_despesa": "1", "valor_pago_no_mes": 1.5}
+    responses = [("r9", "despesas", "0162", 2024, m, 200, json.dumps({"data": [item] * m})) for m in (1, 2, 3)]
+    responses += [("r10", "despesas", "0162", 2024, 2, 200, '{"data":[]}'), ("r10", "despesas", "0162", 2024, 3, 404, "no"),
+                  ("r9", "licitacoes", "7", 2024, 1, 200, "")]
+    got = []
+    for name in ("files", "bundles"):
+        landing, silver = f"{tmp_root}/{name}", f"{tmp_root}/silver-{name}"
+        if name == "files":
+            for r in responses:
+                land(landing, *r)
+        else:
+            rows = spark.createDataFrame(responses, "run_id string, source string, municipio_id string, year int, month int, "
+                                                    "http_status int, body string")
+            os.makedirs(landing)
+            P.write_bundles(rows, landing)
+            assert len({r.path for r in scan_payloads(spark, landing).collect()}) == len(responses)
+        run_load(spark, landing, silver, sources=["despesas", "licitacoes"])
+        assert run_load(spark, landing, silver, sources=["despesas"], only_pending=True)["despesas"] == {"saved": 0, "quarantined": 0}
+        saved = spark.read.parquet(f"{silver}/despesas").select("id", "municipio_id", "mes_referencia", "valor_pago")
+        state = ledger_current(ledger(spark, silver)).select("municipio_id", "source", "status", "record_count")
+        got.append((sorted(map(tuple, saved.collect())), sorted(map(tuple, state.collect()))))
+    assert got[0] == got[1] and len(got[0][0]) == 4
+    assert ("7", "licitacoes", "FAILED", 0) in got[0][1]
